@@ -28,27 +28,26 @@ def _text(c) -> Column:
 
 @lru_cache(maxsize=1)
 def _width_table() -> tuple[str, str]:
-    """Characters whose compatibility form is one ASCII or one CJK character, by rule."""
+    """Full-width forms and wide spaces whose compatibility form is one character, by rule."""
     source, target = [], []
-    for code in range(0x80, 0xFFFF):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
+    for code in (0x00A0, 0x3000, *range(0xFF01, 0xFFEF)):
         folded = unicodedata.normalize("NFKC", chr(code))
-        if len(folded) == 1 and folded != chr(code) and (
-            folded.isascii() or "一" <= folded <= "鿿"
-        ):
+        if len(folded) == 1 and folded != chr(code):
             source.append(chr(code))
             target.append(folded)
     return "".join(source), "".join(target)
 
 
 def norm_text(c) -> Column:
-    """Full-width and compatibility characters to their plain form, in the JVM.
+    """Full-width forms and wide spaces to their plain form, in the JVM.
 
-    Exact for text whose compatibility forms are single characters. For text with combining
-    sequences or multi-character forms use ``python_text.nfkc`` once at ingest.
+    Rows without such characters, nearly all, pay one scan. Rarer compatibility characters and
+    combining sequences are the job of ``python_text.nfkc``, to be applied once at ingest.
     """
-    return F.translate(_text(c), *_width_table())
+    text = _text(c)
+    return F.when(
+        text.rlike("[\u00a0\u3000\uff01-\uffee]"), F.translate(text, *_width_table())
+    ).otherwise(text)
 
 
 def squeeze(c) -> Column:

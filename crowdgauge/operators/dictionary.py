@@ -134,7 +134,7 @@ def quoteable(stocks: DataFrame) -> DataFrame:
 def known_terms(stocks: DataFrame) -> DataFrame:
     names = F.concat(F.array("ticker"), F.coalesce("aliases", F.array().cast(NO_STRINGS)),
                      F.coalesce("ambiguous", F.array().cast(NO_STRINGS)))
-    return stocks.select(F.lower(F.explode(names)).alias("term")).distinct()
+    return stocks.select(F.explode(F.transform(names, lambda x: F.lower(x))).alias("term")).distinct()
 
 
 def tracked_queries(dictionary: Dictionary, tracked: DataFrame) -> DataFrame:
@@ -232,13 +232,13 @@ def match_terms_of(dictionary: Dictionary, tracked: DataFrame | None = None) ->
     )
 
 
-def inlined(terms: DataFrame, limit: int = MAX_INLINE_TERMS) -> DataFrame | None:
-    """The terms as a local relation, or None when there are more than ``limit``.
+def inlined(terms: DataFrame, limit: int = MAX_INLINE_TERMS) -> tuple[DataFrame | None, list]:
+    """The terms as a local relation with their rows, or None when there are more than ``limit``.
 
     Reads at most ``limit`` + 1 short rows to prove the bound.
     """
     rows = terms.limit(limit + 1).collect()
     if len(rows) > limit:
-        return None
+        return None, []
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in terms.schema.fields)
-    return small_table(terms.sparkSession, [tuple(r) for r in rows], ddl)
+    return small_table(terms.sparkSession, [tuple(r) for r in rows], ddl), rows

@@ -27,16 +27,31 @@ def term_key(term: Column, symbol: Column) -> Column:
     ).otherwise(other)
 
 
-def text_keys(lower: Column, raw: Column | None = None) -> Column:
+def _char_class(chars) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+
+
+def text_keys(lower: Column, raw: Column | None = None, keys: list[str] | None = None) -> Column:
     """Distinct keys of a text: its words, the pairs and singles starting with any other
-    character, a marker for punctuation-only terms, and the words holding a capital letter."""
-    parts = [
-        F.regexp_extract_all(lower, F.lit("[0-9a-z]+"), F.lit(0)),
-        F.regexp_extract_all(lower, F.lit(f"(?=({OTHER_CHAR}[\\s\\S]))"), F.lit(1)),
-        F.regexp_extract_all(lower, F.lit(OTHER_CHAR), F.lit(0)),
-        F.when(lower.rlike(r"[&.\- ]"), F.array(F.lit(""))).otherwise(
-            F.array().cast("array<string>")),
-    ]
+    character, a marker for punctuation-only terms, and the words holding a capital letter.
+
+    With the list of keys a dictionary uses, characters none of them starts with are skipped.
+    """
+    pair_start = single = OTHER_CHAR
+    marker = True
+    if keys is not None:
+        odd = [k for k in keys if k and not k.isalnum() or not k.isascii()]
+        pairs, singles = {k[0] for k in odd if len(k) > 1}, {k for k in odd if len(k) == 1}
+        pair_start = _char_class(pairs) if pairs else None
+        single = _char_class(singles) if singles else None
+        marker = "" in keys
+    parts = [F.split(lower, "[^0-9a-z]+")]
+    if pair_start:
+        parts.append(F.regexp_extract_all(lower, F.lit(f"(?=({pair_start}[\\s\\S]))"), F.lit(1)))
+    if single:
+        parts.append(F.regexp_extract_all(lower, F.lit(f"({single})"), F.lit(1)))
+    if marker:
+        parts.append(F.array(F.lit("")))
     if raw is not None:
         parts.append(F.regexp_extract_all(
             raw, F.lit("(?<![A-Za-z0-9])(?=[0-9a-z]*[A-Z])[A-Za-z0-9]+"), F.lit(0)))
@@ -52,8 +67,10 @@ def match_terms(texts: DataFrame, terms: DataFrame, keep: list[str], lower: str
     one joins on keys alone; only candidates that need the text meet it again, by ``text_id``.
     """
     symbol = (F.col("kind") == "symbol") if "kind" in terms.columns else F.lit(False)
-    small = inlined(terms)
-    keyed = (terms if small is None else small).withColumn("_key", term_key(F.col("term"), symbol))
+    keyed = terms.withColumn("_key", term_key(F.col("term"), symbol))
+    small, listed = inlined(keyed)
+    keyed = keyed if small is None else small
+    known = None if small is None else [r["_key"] for r in listed]
     whole_word = F.col("term") == F.col("_key")
     found = F.when(
         T.is_latin_term(F.col("term")),
@@ -64,7 +81,7 @@ def match_terms(texts: DataFrame, terms: DataFrame, keep: list[str], lower: str
                            F.lit(r"\E(?![A-Za-z0-9])"))
         found = F.when(symbol, F.rlike(F.col("_raw"), bounded)).otherwise(found)
     body = [F.col(lower).alias("_low"), *([F.col(raw).alias("_raw")] if raw else [])]
-    keys = F.explode(text_keys(F.col(lower), F.col(raw) if raw else None)).alias("_key")
+    keys = F.explode(text_keys(F.col(lower), F.col(raw) if raw else None, known)).alias("_key")
     if small is not None:
         joined = texts.select(*keep, *body, keys).join(F.broadcast(keyed), "_key")
         return joined.filter(whole_word | found).drop("_key", "_low", "_raw")
@@ -210,7 +227,7 @@ def topic_hits(texts: DataFrame, dictionary: Dictionary, keep: list[str], text:
     """Distinct (text, tag) pairs."""
     low = texts.withColumn("lower_text", F.lower(T.norm_text(text)))
     terms = dictionary.topics.select(
-        "ord", "tag", F.lower(F.explode("aliases")).alias("term")
+        "ord", "tag", F.explode(F.transform("aliases", lambda a: F.lower(a))).alias("term")
     ).filter("term <> ''").withColumnRenamed("ord", "tag_ord")
     return match_terms(low, terms, keep).select(*keep, "tag_ord", "tag").distinct()
 
