@@ -39,28 +39,29 @@ GRAM_SIZES = (1, 2, 4, 8, 16, 32)
 def _gram_size(needle: Column) -> Column:
     size = F.lit(GRAM_SIZES[0])
     for n in GRAM_SIZES[1:]:
-        size = F.when(F.length(needle) >= n, F.lit(n)).otherwise(size)
+        size = F.when(F.length(needle) >= 2 * n - 1, F.lit(n)).otherwise(size)
     return size
 
 
 def find_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """(quote_id, text_id) pairs where a text of the whole corpus contains the quote verbatim.
 
-    A quote is looked up by its opening gram (its first 1, 2, 4 … 32 characters, whatever its
-    length allows); a text offers its distinct grams of the sizes in use. The equi-join leaves
-    few candidates for the exact test.
+    A text is cut into consecutive blocks of n characters; a quote of at least 2n − 1 characters
+    must cover one whole block wherever it occurs, so it offers its n possible opening blocks.
+    An equi-join on the block leaves few candidates for the exact test. The short side offers
+    many keys, the corpus only 1/n of its length.
     """
     q = quotes.select("quote_id", T.norm_for_hash("quote").alias("needle")).filter("needle <> ''")
-    q = q.withColumn("size", _gram_size(F.col("needle"))).withColumn(
-        "gram", F.substring(F.col("needle"), F.lit(1), F.col("size")))
+    q = q.withColumn("size", _gram_size(F.col("needle")))
     sizes = q.agg(F.sort_array(F.collect_set("size")).alias("s")).scalar()
-    t = texts.select("text_id", T.norm_for_hash("text").alias("hay")).withColumn("_sizes", sizes)
-    grams = F.array_distinct(F.flatten(F.transform("_sizes", lambda n: F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.length("hay") - n + 1, F.lit(1))),
-                 lambda p: p + n - 1 <= F.length("hay")),
-        lambda p: F.substring(F.col("hay"), p, n)))))
-    offered = t.select("text_id", "hay", F.explode(grams).alias("gram"))
-    return offered.join(q, "gram").filter(F.contains("hay", F.col("needle"))).select(
+    asked = q.select("quote_id", "needle", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.least("size", F.length("needle") - F.col("size") + 1)),
+        lambda p: F.substring(F.col("needle"), p, F.col("size"))))).alias("gram"))
+    blocks = F.array_distinct(F.flatten(F.transform("_sizes", lambda n: F.regexp_extract_all(
+        F.col("hay"), F.concat(F.lit(".{"), n.cast("string"), F.lit("}")), F.lit(0)))))
+    offered = texts.select("text_id", T.norm_for_hash("text").alias("hay")).withColumn(
+        "_sizes", sizes).select("text_id", "hay", F.explode(blocks).alias("gram"))
+    return offered.join(asked, "gram").filter(F.contains("hay", F.col("needle"))).select(
         "quote_id", "text_id").distinct()
 
 
