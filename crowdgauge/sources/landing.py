@@ -22,9 +22,13 @@ def read_jsonl(spark: SparkSession, folder: str, files: str, schema: str) -> Dat
     source = lines.select(
         F.trim("value").alias("value"), F.col("_metadata.file_name").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_seq"))
+    return parse_lines(source.withColumn("line_no", F.struct("_file", "_block", "_seq")), schema)
+
+
+def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """Parse JSON text lines (value, line_no); blank lines are skipped."""
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return source.filter("value <> ''").select(
-        F.struct("_file", "_block", "_seq").alias("line_no"), parsed.alias("r")).select("r.*", "line_no")
+    return lines.filter(F.trim("value") != "").select("line_no", parsed.alias("r")).select("r.*", "line_no")
 
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
