@@ -135,6 +135,15 @@ def term_count(text, term) -> Column:
     ).otherwise(plain.cast("int"))
 
 
+def at_most_once(lower_text, term) -> Column:
+    """Is the term mentioned at most ASIDE_MAX_HITS times in normalised lower-case text?"""
+    low, t = _text(lower_text), F.lower(_text(term))
+    plain = (F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)
+    return F.when(t == "", F.lit(True)).when(plain <= K.ASIDE_MAX_HITS, F.lit(True)).when(
+        is_latin_term(term), F.regexp_count(low, bounded_pattern(term)) <= K.ASIDE_MAX_HITS
+    ).otherwise(F.lit(False))
+
+
 def excerpt(text, pos, width: int = K.NOTE_TRUNC) -> Column:
     """A window of the text around the position, keeping the opening."""
     s = _text(text)

@@ -32,17 +32,21 @@ REPLY_ARROW = "↳ "
 
 def note_items(mentions: DataFrame, notes: DataFrame, cutoff_ms: int) -> DataFrame:
     """Canonical notes with readable prose, as excerpts around the first mention."""
-    window = mentions.filter(F.col("content_time_ms") >= cutoff_ms)
-    full = T.clean_tags(T.note_text("title", "note_desc"))
-    rows = heat.note_mentions(window, notes).filter(F.col("dup_group_id").isNull()).select(
-        "ticker", F.col("source_id").alias("id"), full.alias("full"), "matched_alias",
-        F.coalesce("likes", F.lit(0)).alias("likes"), F.col("publish_time_ms").alias("ts"),
+    window = heat.grouped(mentions.filter(F.col("content_time_ms") >= cutoff_ms), "note")
+    n = notes.filter(F.col("dup_group_id").isNull()).select(
+        F.col("note_id").alias("source_id"), T.clean_tags(T.note_text("title", "note_desc")).alias("full"),
+        F.coalesce("liked_count", F.lit(0)).alias("likes"), F.col("publish_time_ms").alias("ts"),
         F.col("note_url").alias("url"))
-    rows = rows.withColumns({
-        "pos": T.term_position("full", "matched_alias"),
-        "hits": T.term_count("full", "matched_alias"),
-    }).select("ticker", "id", "likes", "ts", "url", T.excerpt("full", "pos").alias("text"),
-              T.is_aside("full", "hits").alias("aside"))
+    rows = n.join(window, "source_id").withColumnRenamed("source_id", "id")
+    # The prepared text travels inside the array so that it is computed once, not per mention.
+    rows = rows.select("id", "likes", "ts", "url", F.inline(F.transform("named", lambda m: F.struct(
+        m["ticker"].alias("ticker"), m["matched_alias"].alias("matched_alias"), F.col("full").alias("full")))))
+    rows = rows.select(
+        "ticker", "id", "likes", "ts", "url", "full", "matched_alias",
+        T.term_position("full", "matched_alias").alias("pos"),
+        ((F.length("full") >= K.ASIDE_MIN_LEN) & T.at_most_once(
+            F.lower(T.norm_text("full")), "matched_alias")).alias("aside"))
+    rows = rows.select("ticker", "id", "likes", "ts", "url", T.excerpt("full", "pos").alias("text"), "aside")
     return rows.withColumn("substance", T.substance("text")).filter(
         F.col("substance") >= K.MIN_NOTE_SUBSTANCE)
 

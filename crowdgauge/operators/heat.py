@@ -52,40 +52,77 @@ def comment_mentions(mentions: DataFrame, comments: DataFrame) -> DataFrame:
     return mentions.filter("source_type = 'comment'").join(c, "source_id")
 
 
-def scored_sources(mentions: DataFrame, notes: DataFrame, comments: DataFrame, cutoff_ms: int,
-                   non_stocks: DataFrame) -> DataFrame:
-    """One row per window mention with everything the score needs; texts are reduced to their
-    quote before anything is shuffled again."""
-    window = with_kind(mentions.filter(F.col("content_time_ms") >= cutoff_ms), non_stocks)
-    base = ["ticker", "is_index", *SOURCE, "content_time_ms", "likes"]
-    canonical = F.col("dup_group_id").isNull()
-    body = T.clean_tags(T.note_text("title", "note_desc"))
-    prose = F.lower(T.strip_hashtags(T.norm_text(
-        F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("note_desc", F.lit(""))))))
-    n = note_mentions(window, notes).select(*base, "matched_alias", canonical.alias("canonical"),
-                                            body.alias("text"), prose.alias("prose"))
-    n = n.select(
-        *base, "canonical",
-        T.is_aside("text", T.term_count("text", "matched_alias")).alias("aside"),
-        T.has_term("prose", "matched_alias").alias("in_prose"),
-        (T.substance("text") >= K.QUOTE_MIN_SUBSTANCE).alias("readable"),
-        F.substring("text", 1, K.TOP_QUOTE_LEN).alias("quote"),
-    )
+def grouped(mentions: DataFrame, source_type: str) -> DataFrame:
+    """(source_id, named): the mentions of each source as one array, at most one per entity.
+
+    Joining sources with this array keeps the join one to one, so a text is shuffled and
+    prepared once however many entities it names.
+    """
+    extra = ["is_index"] if "is_index" in mentions.columns else []
+    return mentions.filter(F.col("source_type") == source_type).groupBy("source_id").agg(
+        F.collect_list(F.struct("ticker", "matched_alias", "content_time_ms", *extra)).alias("named"))
+
+
+def scored_sources(mentions: DataFrame, notes: DataFrame, comments: DataFrame,
+                   cutoffs: dict[str, int], non_stocks: DataFrame,
+                   source_cutoff_ms: int | None = None) -> DataFrame:
+    """One row per mention and window with everything the score needs. Fan-out is counted in the
+    source's own array, so no window function is needed.
+
+    Where mention times equal source times, as in tables this library writes, pass the cutoff as
+    ``source_cutoff_ms`` too: old sources are then skipped at the scan.
+    """
+    window = with_kind(mentions.filter(F.col("content_time_ms") >= min(cutoffs.values())), non_stocks)
+
+    def exploded(df: DataFrame, prepared: list[str]) -> DataFrame:
+        """One row per (window, mention). Prepared columns travel inside the array: Spark would
+        otherwise put off computing them and repeat it for every row of the explode."""
+        def inside(name: str, cutoff: int) -> Column:
+            return F.transform(
+                F.filter("named", lambda m: m["content_time_ms"] >= cutoff),
+                lambda m: F.struct(F.lit(name).alias("window"), m.alias("m")))
+
+        per_window = F.concat(*[inside(*w) for w in cutoffs.items()])
+        peers = F.transform(per_window, lambda x: F.struct(
+            x["window"].alias("window"), x["m"].alias("m"),
+            F.size(F.filter(per_window, lambda y: (y["window"] == x["window"]) & (
+                y["m"]["is_index"] == x["m"]["is_index"]))).alias("k"),
+            *[F.col(c).alias(c) for c in prepared]))
+        return df.select("source_id", "likes", "canonical", F.explode(peers).alias("x")).select(
+            "source_id", "likes", "canonical", "x.window", "x.m.ticker", "x.m.matched_alias",
+            "x.m.content_time_ms", F.col("x.k").alias("fanout"), *[f"x.{c}" for c in prepared])
+
+    if source_cutoff_ms is not None:
+        notes = notes.filter(F.col("publish_time_ms") >= source_cutoff_ms)
+        comments = comments.filter(F.col("create_time_ms") >= source_cutoff_ms)
+    canonical = F.col("dup_group_id").isNull().alias("canonical")
+    raw = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("note_desc", F.lit("")))
+    # Texts are prepared where they are scanned, before the join moves them.
+    n = notes.select(F.col("note_id").alias("source_id"), F.col("liked_count").alias("likes"), canonical,
+                     T.clean_tags(T.note_text("title", "note_desc")).alias("text"),
+                     F.lower(T.strip_hashtags(T.norm_text(raw))).alias("prose"))
+    n = n.select("source_id", "likes", "canonical", F.lower(T.norm_text("text")).alias("low"),
+                 "prose", F.length("text").alias("chars"), F.substring("text", 1, K.TOP_QUOTE_LEN).alias("quote"),
+                 (T.substance("text") >= K.QUOTE_MIN_SUBSTANCE).alias("readable"))
+    n = exploded(n.join(grouped(window, "note"), "source_id"), ["low", "prose", "chars", "quote", "readable"]).select(
+        F.lit("note").alias("source_type"), "source_id", "window", "ticker", "content_time_ms", "likes",
+        "fanout", "canonical", "readable", "quote",
+        ((F.col("chars") >= K.ASIDE_MIN_LEN) & T.at_most_once("low", "matched_alias")).alias("aside"),
+        T.has_term("prose", "matched_alias").alias("in_prose"))
     line = T.squeeze("content")
-    c = comment_mentions(window, comments).select(
-        *base, canonical.alias("canonical"), F.lit(False).alias("aside"),
-        F.lit(True).alias("in_prose"),
-        (T.substance(line) >= K.QUOTE_MIN_SUBSTANCE).alias("readable"),
-        F.substring(line, 1, K.TOP_QUOTE_LEN).alias("quote"),
-    )
+    c = comments.select(F.col("comment_id").alias("source_id"), F.col("like_count").alias("likes"), canonical,
+                        F.substring(line, 1, K.TOP_QUOTE_LEN).alias("quote"),
+                        (T.substance(line) >= K.QUOTE_MIN_SUBSTANCE).alias("readable"))
+    c = exploded(c.join(grouped(window, "comment"), "source_id"), ["quote", "readable"]).select(
+        F.lit("comment").alias("source_type"), "source_id", "window", "ticker", "content_time_ms", "likes",
+        "fanout", "canonical", "readable", "quote", F.lit(False).alias("aside"), F.lit(True).alias("in_prose"))
     return n.unionByName(c)
 
 
 def _stats(sources: DataFrame, groups: list[str]) -> DataFrame:
-    peers = Window.partitionBy(*SOURCE, *[g for g in groups if g != "ticker"], "is_index")
     k = F.col("fanout")
     is_note, canonical = F.col("source_type") == "note", F.col("canonical")
-    rows = sources.withColumn("fanout", F.count(F.lit(1)).over(peers)).withColumns({
+    rows = sources.withColumns({
         "w": (1.0 / k) * F.when(F.col("aside"), K.ASIDE_WEIGHT).otherwise(1.0),
         "focused": (k <= K.FOCUS_MAX_FANOUT) & F.col("in_prose"),
     })
@@ -117,21 +154,17 @@ def _stats(sources: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def compute_stats(mentions: DataFrame, notes: DataFrame, comments: DataFrame, window_ms: int,
-                  now_ms: int, non_stocks: DataFrame) -> DataFrame:
+                  now_ms: int, non_stocks: DataFrame, prune_sources: bool = False) -> DataFrame:
     """Per-entity statistics of one window: raw and canonical counts, focused mentions, score,
     latest item and top quote."""
-    sources = scored_sources(mentions, notes, comments, now_ms - window_ms, non_stocks)
+    cut = now_ms - window_ms
+    sources = scored_sources(mentions, notes, comments, {"": cut}, non_stocks, cut if prune_sources else None)
     return _stats(sources, ["ticker"])
 
 
-def compute_windows(mentions: DataFrame, notes: DataFrame, comments: DataFrame,
-                    windows_ms: dict[str, int], now_ms: int, non_stocks: DataFrame) -> DataFrame:
+def compute_windows(mentions: DataFrame, notes: DataFrame, comments: DataFrame, windows_ms: dict[str, int],
+                    now_ms: int, non_stocks: DataFrame, prune_sources: bool = False) -> DataFrame:
     """Statistics of several windows from one scan: adds a ``window`` column."""
-    widest = max(windows_ms.values())
-    sources = scored_sources(mentions, notes, comments, now_ms - widest, non_stocks)
-    member = F.filter(F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(now_ms - w).alias("cutoff"))
-        for name, w in windows_ms.items()
-    ]), lambda x: F.col("content_time_ms") >= x["cutoff"])
-    inside = sources.withColumn("window", F.explode(F.transform(member, lambda x: x["name"])))
-    return _stats(inside, ["window", "ticker"])
+    cutoffs = {name: now_ms - w for name, w in windows_ms.items()}
+    first = min(cutoffs.values()) if prune_sources else None
+    return _stats(scored_sources(mentions, notes, comments, cutoffs, non_stocks, first), ["window", "ticker"])

@@ -34,6 +34,7 @@ def run_cycle(notes: DataFrame, comments: DataFrame, dictionary: Dictionary, now
     marked_notes, marked_comments = dedup.recompute(notes, comments, context_ms, now_ms, radius)
     mentions = matching.extract_mentions(marked_notes, marked_comments, dictionary, context_ms, now_ms, tracked, run_id)
     stats = heat.compute_windows(mentions, marked_notes, marked_comments,
-                                 {"fresh": fresh_ms, "context": context_ms}, now_ms, non_stocks(dictionary))
+                                 {"fresh": fresh_ms, "context": context_ms}, now_ms, non_stocks(dictionary),
+                                 prune_sources=True)
     fresh = stats.filter("window = 'fresh'").drop("window")
     return Cycle(marked_notes, marked_comments, mentions, stats, snapshot_rows(fresh, run_id, now_ms))

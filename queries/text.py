@@ -148,9 +148,9 @@ def _(t):
     return t.raw("events").select("event_id", F.round(V.like_weight(F.col("user_id") - 20), 6).alias("w"))
 
 
-@Q.add("m03_rounding", "", "SELECT event_id, round(value * 0.123457, 2) AS score, round(value * 0.123457, 1) AS share, round(value * 0.123457, 4) AS close, round(value * 0.123457, 6) AS cost, CAST(round_even(value * 0.123457, 0) AS BIGINT) AS pct FROM events")
+@Q.add("m03_rounding", "", "SELECT event_id, round(value * 0.1234567891, 2) AS score, round(value * 0.1234567891, 1) AS share, round(value * 0.1234567891, 4) AS close, round(value * 0.1234567891, 6) AS cost, CAST(round_even(value * 0.1234567891, 0) AS BIGINT) AS pct FROM events")
 def _(t):
-    v = F.col("value") * 0.123457
+    v = F.col("value") * 0.1234567891
     return t.raw("events").select("event_id", F.round(v, 2).alias("score"), F.round(v, 1).alias("share"), F.round(v, 4).alias("close"),
                                   F.round(v, 6).alias("cost"), F.bround(v, 0).cast("bigint").alias("pct"))
 
