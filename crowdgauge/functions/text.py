@@ -69,8 +69,13 @@ def strip_hashtags(c) -> Column:
     return F.regexp_replace(_text(c), TOPIC_TAG, " ")
 
 
+def only(c: Column, outside: str) -> Column:
+    """Drop every run matching ``outside``; splitting and joining beats replacing match by match."""
+    return F.array_join(F.split(c, outside), "")
+
+
 def norm_for_hash(c) -> Column:
-    return F.regexp_replace(F.lower(norm_text(c)), "[^0-9a-z一-鿿]+", "")
+    return only(F.lower(norm_text(c)), "[^0-9a-z一-鿿]+")
 
 
 def substance(c) -> Column:
@@ -79,7 +84,7 @@ def substance(c) -> Column:
     s = _text(c)
     for pattern in (URL, HASHTAG, HANDLE, EMOJI_TAG):
         s = F.regexp_replace(s, pattern, " ")
-    prose = F.regexp_replace(norm_text(s), "[^0-9a-zA-Z一-鿿]+", "")
+    prose = only(norm_text(s), "[^0-9a-zA-Z一-鿿]+")
     return F.length(prose) + F.regexp_count(prose, F.lit(CJK))
 
 
