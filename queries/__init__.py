@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text", "dictionary", "mentions", "heat", "boards"]
+MODULES = ["text", "dictionary", "mentions", "heat", "boards", "snapshots", "dedup", "evidence"]
 
 
 def load():
