@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text", "dictionary", "mentions", "heat", "boards", "snapshots", "dedup", "evidence"]
+MODULES = ["text", "dictionary", "mentions", "heat", "boards", "snapshots", "dedup", "evidence",
+           "ratings", "scoreboard", "ledger", "logs", "landing", "streams"]
 
 
 def load():

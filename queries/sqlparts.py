@@ -285,7 +285,7 @@ part("prints", "items", """
 
 # ---- tables derived from events, orders, conversations, parts ----
 
-part("ev", "", "SELECT *, epoch_ms(ts) AS ms FROM events")
+part("ev", "", "SELECT *, epoch_us(ts) // 1000 AS ms FROM events")
 part("snaps", "ev", """
   SELECT upper(substr(event_type, 1, 3)) || (user_id % 6) AS ticker, ms // 86400000 * 86400000 AS snapped_at_ms,
          round(sum(value), 2) AS score, count(*) AS mentions, count(*) FILTER (value < 50) AS note_count,
