@@ -38,15 +38,14 @@ def note_items(mentions: DataFrame, notes: DataFrame, cutoff_ms: int) -> DataFra
         F.coalesce("liked_count", F.lit(0)).alias("likes"), F.col("publish_time_ms").alias("ts"),
         F.col("note_url").alias("url"))
     rows = n.join(window, "source_id").withColumnRenamed("source_id", "id")
-    # The prepared text travels inside the array so that it is computed once, not per mention.
-    rows = rows.select("id", "likes", "ts", "url", F.inline(F.transform("named", lambda m: F.struct(
-        m["ticker"].alias("ticker"), m["matched_alias"].alias("matched_alias"), F.col("full").alias("full")))))
-    rows = rows.select(
-        "ticker", "id", "likes", "ts", "url", "full", "matched_alias",
-        T.term_position("full", "matched_alias").alias("pos"),
-        ((F.length("full") >= K.ASIDE_MIN_LEN) & T.at_most_once(
-            F.lower(T.norm_text("full")), "matched_alias")).alias("aside"))
-    rows = rows.select("ticker", "id", "likes", "ts", "url", T.excerpt("full", "pos").alias("text"), "aside")
+    # Positions are computed inside the array, ahead of the explode: the filter on the excerpt
+    # below would otherwise be rewritten in terms of the whole text and repeat the search.
+    low = rows.withColumn("low", F.lower(T.norm_text("full")))
+    found = low.select("id", "likes", "ts", "url", F.inline(F.transform("named", lambda m: F.struct(
+        m["ticker"].alias("ticker"), F.col("full").alias("full"),
+        T.term_position(F.col("low"), m["matched_alias"]).alias("pos"),
+        ((F.length("full") >= K.ASIDE_MIN_LEN) & T.at_most_once(F.col("low"), m["matched_alias"])).alias("aside")))))
+    rows = found.select("ticker", "id", "likes", "ts", "url", T.excerpt("full", "pos").alias("text"), "aside")
     return rows.withColumn("substance", T.substance("text")).filter(
         F.col("substance") >= K.MIN_NOTE_SUBSTANCE)
 

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from crowdgauge import fixtures
 from crowdgauge.operators import dedup, evidence, heat, matching
 from crowdgauge.plans.cycle import non_stocks
+from crowdgauge.session import checkpointed
 from crowdgauge.sources import corpus, sample_tables
 
 from .sqlparts import sql
 
 
+# Tables several queries read are written once per session and folder, as a pipeline would.
+WRITTEN: dict[tuple, DataFrame] = {}
+
+
 class Tables:
     """The test tables as this library's tables, built on demand."""
 
@@ -24,6 +29,12 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def written(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in WRITTEN:
+            WRITTEN[key] = checkpointed(build())
+        return WRITTEN[key]
+
     def raw(self, name: str) -> DataFrame:
         return corpus.table(self.spark, self.dir, name)
 
@@ -47,35 +58,40 @@ class Tables:
 
     @cached_property
     def notes(self) -> DataFrame:
-        return sample_tables.marked_notes(self.spark, self.dir)
+        return self.written("notes", lambda: sample_tables.marked_notes(self.spark, self.dir))
 
     @cached_property
     def comments(self) -> DataFrame:
-        return sample_tables.marked_comments(self.spark, self.dir)
+        return self.written("comments", lambda: sample_tables.marked_comments(self.spark, self.dir))
 
     @cached_property
     def mentions(self) -> DataFrame:
-        """Mentions of the context window; built from the unmarked tables, which hold the same text."""
-        return matching.extract_mentions(
+        """Mentions of the context window, written once as the mention table is; built from the
+        unmarked tables, which hold the same text."""
+        return self.written("mentions", lambda: matching.extract_mentions(
             corpus.notes(self.spark, self.dir), corpus.comments(self.spark, self.dir),
-            self.dictionary, self.context, self.now, self.tracked, 7)
+            self.dictionary, self.context, self.now, self.tracked, 7))
 
     @cached_property
     def stats(self) -> DataFrame:
-        return heat.compute_stats(self.mentions, self.notes, self.comments, self.context, self.now, self.outside)
+        return self.written("stats", lambda: heat.compute_stats(
+            self.mentions, self.notes, self.comments, self.context, self.now, self.outside))
 
     @cached_property
     def windows(self) -> DataFrame:
-        return heat.compute_windows(self.mentions, self.notes, self.comments,
-                                    {"fresh": self.fresh, "context": self.context}, self.now, self.outside)
+        return self.written("windows", lambda: heat.compute_windows(
+            self.mentions, self.notes, self.comments, {"fresh": self.fresh, "context": self.context},
+            self.now, self.outside))
 
     @cached_property
     def items(self) -> DataFrame:
-        return evidence.gather(self.mentions, self.notes, self.comments, self.context, self.now)
+        return self.written("items", lambda: evidence.gather(
+            self.mentions, self.notes, self.comments, self.context, self.now))
 
     @cached_property
     def fingerprinted(self) -> DataFrame:
-        return dedup.fingerprinted(corpus.notes(self.spark, self.dir), "word", 3, "md5")
+        return self.written("fingerprinted", lambda: dedup.fingerprinted(
+            corpus.notes(self.spark, self.dir), "word", 3, "md5"))
 
 
 class Registry:
