@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan as licenses
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -31,3 +32,37 @@ WITH d AS (SELECT doc_id, {ASCII_LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)"""
+
+
+@query
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    at = " UNION ALL ".join(
+        f"SELECT doc_id, i AS place, {quoted(label)} AS label FROM (SELECT doc_id, words, unnest(range(len(words))) AS i FROM w) WHERE "
+        + " AND ".join(f"words[i + {k + 1}] = {quoted(x)}" for k, x in enumerate(phrase.split(" ")))
+        for phrase, label in licenses.PHRASES.items())
+    templates = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.TEMPLATES.items())
+    return f"""
+WITH d AS (SELECT doc_id, {ASCII_LOWER} AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '{licenses.WORD}') AS words FROM d),
+places AS ({at}),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+                list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY doc_id),
+templates AS (SELECT label, list_distinct(regexp_extract_all({ASCII_LOWER.replace("text", "body")}, '{licenses.WORD}')) AS tokens
+              FROM (VALUES {templates}) AS v(label, body)),
+lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{licenses.WORD}') AS words FROM d),
+near AS (SELECT doc_id, label, len(list_intersect(tokens, words)) / len(tokens) AS share FROM lines, templates
+         WHERE len(list_intersect(tokens, words)) * 100 >= {licenses.THRESHOLD_PERCENT} * len(tokens)),
+found AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(share) AS share FROM near GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+ORACLES["op8_license_scans"] = _license_sql()
