@@ -53,3 +53,18 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def arrow_schema(ddl: str):
+    """The Arrow schema that ``mapInArrow`` results of this DDL must have."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def batch_of(schema, columns: list[list]):
+    """A record batch from Python columns; integers keep all their digits, nulls stay null."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

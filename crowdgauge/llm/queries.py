@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan as licenses
+from . import warc
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -66,3 +67,18 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
 ORACLES["op8_license_scans"] = _license_sql()
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.resolved(warc.read_warc(spark, path))
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f"""
