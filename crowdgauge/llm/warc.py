@@ -129,9 +129,10 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
     percent-encoded. Pages with a null id are written as responses. ``records_per_file`` bounds a file,
     which is read back as one value."""
     path = path or fresh_path(pages.sparkSession, "warc")
+    schema = arrow_schema("value string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, part, row = arrow_schema("value string"), TaskContext.get().partitionId(), 0
+        part, row = TaskContext.get().partitionId(), 0
         for b in batches:
             out = []
             for page_id, url, html, digest, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -220,25 +221,25 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Segments are put together; ``problem`` is null, or says why a record has no payload to trust: its
     segments are missing or too long (``segments``), the framing is broken (``framing``) or the bytes
     don't fit the digest (``digest``). Empty archives have no rows."""
+    part_schema, record_schema = arrow_schema(PART), arrow_schema(RECORD)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(PART)
         for b in batches:
             for content in b.column(0):
                 content = content.as_py()
                 found = parse(gzip.decompress(content) if content[:2] == GZIP else content)
                 while rows := [part_of(*r) for r in islice(found, 256)]:
-                    yield batch_of(schema, list(zip(*rows, strict=True)))
+                    yield batch_of(part_schema, list(zip(*rows, strict=True)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(RECORD)
         for b in batches:
             if b.num_rows:
                 rows = [whole(dict(f), d) for f, d in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-                yield batch_of(schema, list(zip(*rows, strict=True)))
+                yield batch_of(record_schema, list(zip(*rows, strict=True)))
 
     def gather(group: pa.Table) -> pa.Table:
         rows = zip(*(group[c].to_pylist() for c in ("number", "total", "fields", "block")), strict=True)
-        return pa.Table.from_batches([batch_of(arrow_schema(RECORD), [[x] for x in joined(list(rows))])])
+        return pa.Table.from_batches([batch_of(record_schema, [[x] for x in joined(list(rows))])])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     parts = files.mapInArrow(run, PART)
