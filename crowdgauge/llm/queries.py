@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan as licenses
+from . import quality
 from . import warc
 from .common import table
 from .exact_dedup import exact_dedup
@@ -82,3 +83,9 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
 FROM f"""
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_rules(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
