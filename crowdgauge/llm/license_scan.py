@@ -103,7 +103,8 @@ def similar_blocks(blocks: DataFrame, templates: DataFrame) -> DataFrame:
     templates = templates.join(ordered, "label").withColumn("ranked", F.col("ranks.token"))
     prefixes = templates.select("label", "size", "need", "ranked", F.posexplode(
         F.slice("ranked", F.lit(1), F.col("size") - F.col("need") + 1)).alias("place", "token"))
-    met = (blocks.withColumn("token", F.explode("tokens")).join(prefixes, "token")
+    # The prefixes are as large as the caller's templates, which stand in the call: a size known beforehand.
+    met = (blocks.withColumn("token", F.explode("tokens")).join(F.broadcast(prefixes), "token")
            .filter("size(tokens) >= need and size - place >= need"))
     shared = F.size(F.array_intersect("tokens", "ranked"))
     first = F.array_min(F.transform(F.array_intersect("ranked", "tokens"), lambda t: F.array_position("ranked", t))) - 1

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan as licenses
 from . import quality
+from . import toxicity as tox
 from . import warc
 from .common import table
 from .exact_dedup import exact_dedup
@@ -89,3 +90,9 @@ FROM f"""
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_rules(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tox.toxicity(docs, tox.trained(docs, table(spark, sf_dir, "labels")))
