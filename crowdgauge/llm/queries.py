@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat
 from . import license_scan as licenses
 from . import quality
 from . import toxicity as tox
@@ -96,3 +98,26 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tox.toxicity(docs, tox.trained(docs, table(spark, sf_dir, "labels")))
+
+
+AWKWARD = "\\### Assistant: </turn> ok"  # a text that holds the template's own marks, behind a backslash
+
+
+@query
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(AWKWARD))
+    return chat.read_back(chat.formatted(rows.unionByName(more)))
+
+
+ORACLES["op2_chat_formatting"] = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, i, r, '{AWKWARD}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+e AS (SELECT *, length(regexp_replace(text, '([\\\\<#:])', 'xx', 'g')) AS text_chars,
+             CASE role WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 WHEN 'system' THEN 12
+                       ELSE 11 + length(regexp_replace(role, '([\\\\<#:])', 'xx', 'g')) END AS head_chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(head_chars + text_chars + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
