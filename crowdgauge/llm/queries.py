@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat
 from . import license_scan as licenses
+from . import packing
 from . import quality
 from . import toxicity as tox
 from . import warc
@@ -121,3 +122,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(head_chars + text_chars + 8)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
