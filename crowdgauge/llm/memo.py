@@ -5,10 +5,11 @@ from __future__ import annotations
 
 class Memo:
     """Two generations of at most ``size`` entries: what is asked for again moves to the young one, and the old
-    one goes when the young one is full."""
+    one goes when the young one is full. Keys longer than ``longest`` are not kept, so that a memory of texts is bounded
+    in bytes, too."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size: int, longest: int = 64):
+        self.size, self.longest, self.young, self.old = size, longest, {}, {}
 
     def get(self, key):
         got = self.young.get(key)
@@ -17,6 +18,8 @@ class Memo:
         return got
 
     def put(self, key, value):
+        if len(key) > self.longest:
+            return value
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
         self.young[key] = value

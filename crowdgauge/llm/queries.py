@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import chat
 from . import license_scan as licenses
 from . import packing
+from . import pieces
 from . import quality
 from . import toxicity as tox
 from . import warc
@@ -127,3 +128,8 @@ FROM e GROUP BY conv_id"""
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"))
