@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat
 from . import license_scan as licenses
+from . import ngram_join
 from . import packing
 from . import pieces
 from . import quality
@@ -133,3 +134,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), width=3, percent=90)
