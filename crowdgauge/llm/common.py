@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+FILTER_BITS = 1 << 24  # size of a filter over ids: 2 MB, whatever the number of ids
+
+
+def filter_place(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+
+def filter_table(ids: DataFrame) -> DataFrame:
+    """(bucket, bits): a bit for each hashed id; at most FILTER_BITS / 32768 rows of 4 KB."""
+    place = ids.select((filter_place(F.col("id")) + 1).alias("place"))
+    return place.groupBy((F.bitmap_bucket_number("place") - 1).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows surely not among ``ids``, rows that may be), by a filter of fixed size: of the two only the second, as large as
+    ``ids`` and a little more, needs a join by id. Rows with a null id are among the first."""
+    row, hit, bits = (f"{n}_{uuid.uuid4().hex}" for n in ("place", "hit", "bits"))
+    table = filter_table(ids.select(F.col(ids.columns[0]).cast("long").alias("id")).filter("id is not null"))
+    table = F.broadcast(table.select(F.col("bucket").alias(hit), F.col("bits").alias(bits)))
+    placed = docs.withColumn(row, filter_place(F.col(id_col).cast("long")))
+    joined = placed.join(table, (F.floor(placed[row] / 32768) == table[hit]), "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(F.col(row) % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.floor(byte / F.pow(F.lit(2.0), F.col(row) % 8)) % 2 == 1, F.lit(False)) & F.col(id_col).isNotNull()
+    return tuple(joined.filter(c).select(*docs.columns) for c in (~bit, bit))
+
+
 def arrow_schema(ddl: str):
     """The Arrow schema that ``mapInArrow`` results of this DDL must have."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -68,3 +96,19 @@ def batch_of(schema, columns: list[list]):
     import pyarrow as pa
 
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def filtered(docs: DataFrame, text_col: str, decider: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of ``docs`` whose texts a decider keeps, with all columns as they are. ``decider`` is called once per task and
+    gives a function of a list of texts; null texts are passed as empty."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        decide = decider()
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(decide([t or "" for t in b.column(place).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,12 +15,13 @@ the table says so and these rows, and only these, are joined by digest and whole
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_and_text, written
+from .common import ascii_lower, id_and_text, split_by_ids, written
 
 SALTS = 16
 
@@ -61,8 +62,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were. Of rows that
-    repeat the winning id one stays."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    rows = docs.dropDuplicates([id_col])
-    return rows.join(kept, rows[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    """``docs`` with one row of each group of equal texts, all columns as they were.
+
+    Of rows that repeat the winning id one stays. Rows with a null id are compared among themselves. Only rows that
+    may go, by a filter of fixed size over the ids in question, are joined by id; the others pass as they are
+    read."""
+    found = written(exact_dedup(docs, id_col, text_col).select("doc_id", "kept"), "dedup-decisions").filter("doc_id is not null")
+    goes = found.filter("not kept").select("doc_id").distinct()
+    asked = goes.unionByName(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    passed, open_rows = split_by_ids(docs, asked, id_col)
+    norm = f"norm_{uuid.uuid4().hex}"
+    nameless = passed.filter(F.col(id_col).isNull()).withColumn(norm, ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))
+    stays = open_rows.join(goes.withColumnRenamed("doc_id", id_col), id_col, "left_anti").dropDuplicates([id_col]).select(*docs.columns)
+    return passed.filter(F.col(id_col).isNotNull()).unionByName(stays).unionByName(nameless.dropDuplicates([norm]).drop(norm))

@@ -25,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, id_and_text, written
+from .common import FILTER_BITS, arrow_schema, batch_of, filter_place, filter_table, id_and_text, split_by_ids, written
 from .components import components
 
 GROUP_SETS = 256
-FILTER_BITS = 1 << 24  # size of the filter that lets only sets with company through; a constant, 2 MB
 SEED = np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd constant to spread hashes
 
 
@@ -78,11 +77,11 @@ def shingler_for(width: int) -> Shingler:
 
 
 def size_class(n: int, percent: int, known: list[tuple[int, int]]) -> int:
-    """The class of a size; ``known`` is grown as needed. A class reaches up to its smallest size over the threshold,
-    so sets that can be similar are in the same class or in neighbours."""
+    """The class of a size; ``known`` is grown as needed. A class reaches up to its smallest size over the squared
+    threshold, so sets that can be similar are in the same class or in neighbours."""
     while not known or known[-1][1] < n:
         low = known[-1][1] + 1 if known else 1
-        known.append((low, max(low, low * 100 // percent)))
+        known.append((low, max(low, low * 10_000 // percent**2)))
     lo, hi = 0, len(known) - 1
     while lo < hi:
         mid = (lo + hi) // 2
@@ -192,9 +191,13 @@ def tree_links(ids: list[int], sets: list[np.ndarray], roots: list[int], sides:
     return links
 
 
-def prints_of(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, digest, keys): size and digest of each text's set, and its keys; digest is null without n-grams."""
-    schema = arrow_schema(ddl := "doc_id long, n long, digest binary, keys array<long>")
+ROW = "key long, hub long, id long, n long, digest binary"
+
+
+def prints_and_keys(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ROW without hubs, from one pass over the texts: a print (id, n, digest) for each document, with a null
+    digest if it has no n-grams, and a row (key, id) for each key of its set."""
+    schema = arrow_schema(ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -204,45 +207,53 @@ def prints_of(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                sets = [shingler.shingles(t.as_py()) for t in part.column(1)]
-                yield batch_of(schema, [
-                    part.column(0).to_pylist(), list(map(len, sets)),
-                    [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    [keys_of(s, percent, known).view(np.int64) if len(s) else [] for s in sets]])
+                ids, sets = part.column(0).to_pylist(), [shingler.shingles(t.as_py()) for t in part.column(1)]
+                none = [None] * len(ids)
+                yield batch_of(schema, [none, none, ids, list(map(len, sets)), [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]])
+                keyed = [(i, keys_of(s, percent, known)) for i, s in zip(ids, sets, strict=True) if i is not None and len(s)]
+                if keyed:
+                    key = np.concatenate([k for _, k in keyed]).view(np.int64)
+                    one = np.repeat(np.array([i for i, _ in keyed], np.int64), [len(k) for _, k in keyed])
+                    empty = pa.nulls(len(key), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(key), empty, pa.array(one), empty, pa.nulls(len(key), pa.binary())], schema=schema)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, ddl)
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, ROW)
 
 
-def edges_of(keys: DataFrame) -> DataFrame:
-    """(key, hub, id): every member of a key with the key's smallest member, from rows (key, id) that stream by in
-    order; memory holds one batch."""
-    schema = arrow_schema(ddl := "key long, hub long, id long")
+def with_hubs(rows: DataFrame) -> DataFrame:
+    """Prints as they are, and for every key the members other than its smallest one, with that as ``hub``. Rows are dealt
+    by key and stream by in order; memory holds one batch. Keys of one set alone end here."""
+    schema = arrow_schema(ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_hub = None
         for b in batches:
+            prints = b.filter(b.column(3).is_valid())
+            if prints.num_rows:
+                yield prints
+            b = b.filter(b.column(3).is_null())
             if not b.num_rows:
                 continue
-            key, one = b.column(0).to_numpy(), b.column(1).to_numpy()
+            key, one = b.column(0).to_numpy(), b.column(2).to_numpy()
             start = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
             place = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
             hub = np.where(place >= 0, one[np.maximum(place, 0)], 0 if last_hub is None else last_hub)
             last_key, last_hub = key[-1], hub[-1]
-            keep = hub != one
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, hub, one)], schema=schema)
+            keep = np.nonzero(hub != one)[0]
+            if len(keep):
+                empty = pa.nulls(len(keep), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(hub[keep]), pa.array(one[keep]), empty, pa.nulls(len(keep), pa.binary())],
+                                                 schema=schema)
 
-    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, ddl)
+    dealt = F.coalesce("key", F.xxhash64("id", F.lit(1)))
+    return rows.repartition(dealt).sortWithinPartitions("key", "id").mapInArrow(run, ROW)
 
 
 def filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit for each hashed id, at most FILTER_BITS of them whatever the number of ids."""
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
-    rows = (ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect())
+    """The bits of ``filter_table``: 2 MB, whatever the number of ids."""
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
-        at = (r["bucket"] - 1) * 4096
+    for r in filter_table(ids).collect():
+        at = r["bucket"] * 4096
         bits[at:at + 4096] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
@@ -265,7 +276,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col:
                 yield batch_of(schema, [part.column(0).to_pylist(), [shingler.shingles(t.as_py()).view(np.int64) for t in part.column(1)]])
 
     rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
-    return rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place")).mapInArrow(run, ddl)
+    return rows.select("doc_id", "text", filter_place(F.col("doc_id")).alias("place")).mapInArrow(run, ddl)
 
 
 def links_of(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -319,12 +330,14 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     blank texts have an empty set and link with nothing. Repeated rows get the same answer each; an id that carries
     different texts links by any of them. A row with a null id has the component of rows with the same set, or
     none. Other columns are not read; no rows in, no rows out."""
-    prints = written(prints_of(docs, width, percent, id_col, text_col), "prints")
+    rows = written(with_hubs(prints_and_keys(docs, width, percent, id_col, text_col)), "prints")
+    prints = rows.filter("n is not null").select(F.col("id").alias("doc_id"), "n", "digest")
     named = prints.filter("digest is not null and doc_id is not null")
     reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # A set's keys are taken from the row of its smallest id.
-    lead = named.join(reps.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
-    edges = written(edges_of(lead.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))), "edges")
+    # Of equal sets one goes on. A hub is the smallest of its key and so of its own set.
+    copies = named.join(reps, "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("id"), "rep").distinct()
+    edges = written(rows.filter("hub is not null").select("key", "hub", "id").join(copies, "id", "left")
+                    .select("key", "hub", F.coalesce("rep", "id").alias("id")).filter("hub <> id").distinct(), "edges")
     wanted = edges.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
     sets = written(sets_of(docs, wanted, width, id_col, text_col), "sets")
     first = written(links_of(hub_groups(edges, group_sets), sets, percent), "links")
@@ -333,3 +346,12 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     ends = components(first.unionByName(second)).select(F.col("node").alias("rep"), "root")
     return prints.select("doc_id", "n", "digest").join(reps, "digest", "left").join(ends, "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id, all columns as they were. Rows with a null id
+    stay. Only rows that may go are joined by id."""
+    found = ngram_join(docs, width, percent, id_col, text_col)
+    goes = written(found.filter("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    passed, open_rows = split_by_ids(docs, goes, id_col)
+    return passed.unionByName(open_rows.join(goes.withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(*docs.columns))

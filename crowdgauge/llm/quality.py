@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, id_and_text
+from .common import arrow_schema, batch_of, filtered, id_and_text
 
 SAMPLE_ROWS = 6_000  # bound of the labelled rows that the trees are fitted on
 MIN_WORDS = 50
@@ -198,6 +198,14 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, m
     return grow(x, y, monotone=places)
 
 
+def verdicts(texts: list[str], forest: Forest, min_score: float) -> tuple[list, list[bool], list[float], list[bool]]:
+    """(BASE per text, base_failed, score, kept)."""
+    base, x = zip(*map(statistics, texts), strict=True)
+    score = forest.score(np.array(x, float)).tolist()
+    failed = [n < MIN_WORDS or 100 * r > MAX_REPEAT_PERCENT * n for n, *_, r in base]
+    return base, failed, score, [not f and s >= min_score for f, s in zip(failed, score, strict=True)]
+
+
 def quality_rules(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """(doc_id, BASE, base_failed, score, kept), one row per input row, from one pass without a shuffle.
 
@@ -209,12 +217,13 @@ def quality_rules(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            base, x = zip(*(statistics(t.as_py()) for t in b.column(1)), strict=True)
-            score = forest.score(np.array(x, float))
-            failed = [n < MIN_WORDS or 100 * r > MAX_REPEAT_PERCENT * n for n, *_, r in base]
-            kept = [not f and s >= min_score for f, s in zip(failed, score.tolist(), strict=True)]
-            yield batch_of(schema, [b.column(0).to_pylist(), *map(list, zip(*base, strict=True)), failed, score.tolist(), kept])
+            if b.num_rows:
+                base, failed, score, kept = verdicts(b.column(1).to_pylist(), forest, min_score)
+                yield batch_of(schema, [b.column(0).to_pylist(), *map(list, zip(*base, strict=True)), failed, score, kept])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, ddl)
+
+
+def passing(docs: DataFrame, forest: Forest, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, all columns as they were, in one pass without a join."""
+    return filtered(docs, text_col, lambda: lambda texts: verdicts(texts, forest, min_score)[3])
