@@ -11,9 +11,9 @@ matched against the tree by walking it: the overlap of a path is counted once fo
 left where its overlap, with all that either side has left, can't reach the threshold. What is reached is exact.
 
 Large groups: a first round joins each key's members with its smallest one, in chunks. This already ties
-together nearly all of a large group of near copies. A second round takes only keys whose members are not yet in
-one component, in blocks against blocks, and only pairs of different components, so no link between components is
-lost and no group is spelled out as pairs.
+together nearly all of a large group of near copies, and settles every hub with one chunk. A second round takes only
+keys of hubs with more chunks whose members are not yet in one component, in blocks against blocks, and only pairs of
+different components, so no link between components is lost and no group is spelled out as pairs.
 """
 
 from __future__ import annotations
@@ -296,20 +296,26 @@ def links_of(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return groups.join(sets, "id").select("grp", "id", "root", "side", "s").groupBy("grp").applyInArrow(run, "a long, b long")
 
 
-def hub_groups(edges: DataFrame, size: int) -> DataFrame:
-    """First round: each hub with its members, in chunks of about ``size``."""
-    pairs = edges.select("hub", "id").distinct()
-    chunks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / size).alias("chunks"))
-    dealt = pairs.join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+def chunked_hubs(edges: DataFrame, size: int) -> DataFrame:
+    """(hub, chunks): how many chunks of about ``size`` members a hub has."""
+    return edges.select("hub", "id").distinct().groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / size).alias("chunks"))
+
+
+def hub_groups(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """First round: each hub with its members, in chunks."""
+    dealt = edges.select("hub", "id").distinct().join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     heads = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("hub", "chunk", F.col("hub").alias("id"))
     return dealt.select("hub", "chunk", "id").unionByName(heads).select(
         F.concat_ws("-", "hub", "chunk").alias("grp"), "id", F.col("id").alias("root"), F.lit(2).alias("side"))
 
 
-def open_groups(edges: DataFrame, roots: DataFrame, size: int) -> DataFrame:
+def open_groups(edges: DataFrame, chunks: DataFrame, roots: DataFrame, size: int) -> DataFrame:
     """Second round: keys whose members are in several components, once for each set of members, in blocks of about
-    ``size``: every block against itself and against every later one."""
-    members = edges.select("key", "id").unionByName(edges.select("key", F.col("hub").alias("id"))).distinct()
+    ``size``: every block against itself and against every later one.
+
+    The first round has met a hub with all its members, and members of one chunk with each other. So only keys of hubs
+    with more chunks than one are looked at, and of these the members without the hub."""
+    members = edges.join(chunks.filter("chunks > 1").select("hub"), "hub", "left_semi").select("key", "id").distinct()
     rooted = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed_keys = (rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
                                             F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
@@ -340,9 +346,10 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
                     .select("key", "hub", F.coalesce("rep", "id").alias("id")).filter("hub <> id").distinct(), "edges")
     wanted = edges.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
     sets = written(sets_of(docs, wanted, width, id_col, text_col), "sets")
-    first = written(links_of(hub_groups(edges, group_sets), sets, percent), "links")
+    chunks = written(chunked_hubs(edges, group_sets), "chunks")
+    first = written(links_of(hub_groups(edges, chunks), sets, percent), "links")
     roots = written(components(first), "roots")
-    second = written(links_of(open_groups(edges, roots, group_sets), sets, percent), "links")
+    second = written(links_of(open_groups(edges, chunks, roots, group_sets), sets, percent), "links")
     ends = components(first.unionByName(second)).select(F.col("node").alias("rep"), "root")
     return prints.select("doc_id", "n", "digest").join(reps, "digest", "left").join(ends, "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
