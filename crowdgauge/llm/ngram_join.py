@@ -6,6 +6,9 @@ parts: two sets of the wanted similarity differ in at most ``d`` n-grams, a boun
 sets of a key may be similar, and similar sets share one. Sizes come in classes, and a set has keys for its own
 class and for the next one, so that sets of neighbouring sizes meet.
 
+Groups met by chance are thinned out by sketches: a byte for each range of a finer partition, which shows how many
+n-grams two sets differ in at least. What is left gets its sets.
+
 In a group the sets are put in one global order, frequent n-grams first, and stored in a prefix tree. A set is
 matched against the tree by walking it: the overlap of a path is counted once for all sets below it, and a subtree is
 left where its overlap, with all that either side has left, can't reach the threshold. What is reached is exact.
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, arrow_schema, batch_of, filter_place, filter_table, id_and_text, split_by_ids, written
+from .common import arrow_schema, batch_of, id_and_text, split_by_ids, written
 from .components import components
 
 GROUP_SETS = 256
@@ -117,6 +120,42 @@ def keys_of(s: np.ndarray, percent: int, known: list[tuple[int, int]]) -> np.nda
     return np.unique(np.concatenate(out))
 
 
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """One byte for each of 2^k ranges of the hash space, about as many as the set has n-grams: sums of their hashes. Two
+    sets differ in at least as many n-grams as sketches in bytes. Sums of neighbours give the sketch with half the ranges."""
+    ranges = 1 << (len(s).bit_length() - 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s ^ SEED), dtype=np.uint64)])
+    edges = np.arange(ranges + 1, dtype=np.float64) * 2.0**64 / ranges
+    at = np.concatenate([[0], np.searchsorted(s, edges[1:-1].astype(np.uint64)), [len(s)]])
+    return (sums[at[1:]] - sums[at[:-1]]).astype(np.uint8)
+
+
+def have_partners(sizes: list[int], sketches: list[np.ndarray], roots: list[int], sides: list[int], percent: int) -> np.ndarray:
+    """Which members of a group have another one that, by sizes and sketches, may be similar."""
+    levels: list[dict[int, np.ndarray]] = [{len(x): x} for x in sketches]
+
+    def at_level(k: int, ranges: int) -> np.ndarray:
+        have = levels[k]
+        if ranges not in have:
+            x = have[min(have)]
+            while len(x) > ranges:
+                x = x[0::2] + x[1::2]
+            have[ranges] = x
+        return have[ranges]
+
+    found = np.zeros(len(sizes), bool)
+    for a in range(len(sizes)):
+        for b in range(a):
+            if found[a] and found[b] or roots[a] == roots[b] or not (sides[a] == 2 or sides[b] == 2 or sides[a] != sides[b]):
+                continue
+            n, m = sizes[a], sizes[b]
+            if 100 * min(n, m) >= percent * max(n, m):
+                ranges = min(len(sketches[a]), len(sketches[b]))
+                if np.count_nonzero(at_level(a, ranges) != at_level(b, ranges)) <= (n + m) * (100 - percent) // (100 + percent):
+                    found[a] = found[b] = True
+    return found
+
+
 class PrefixTree:
     """Sets in a global order as a prefix tree: in lexicographic order each set continues a path that it shares with
     the one before up to ``shared``. Sets are rows of ranks, frequent n-grams first."""
@@ -191,12 +230,12 @@ def tree_links(ids: list[int], sets: list[np.ndarray], roots: list[int], sides:
     return links
 
 
-ROW = "key long, hub long, id long, n long, digest binary"
+ROW = "key long, hub long, id long, n long, digest binary, sketch binary"
 
 
 def prints_and_keys(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of ROW without hubs, from one pass over the texts: a print (id, n, digest) for each document, with a null
-    digest if it has no n-grams, and a row (key, id) for each key of its set."""
+    """Rows of ROW without hubs, from one pass over the texts: a print (id, n, digest, sketch) for each document, the last
+    two null if it has no n-grams, and a row (key, id) for each key of its set."""
     schema = arrow_schema(ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +248,14 @@ def prints_and_keys(docs: DataFrame, width: int, percent: int, id_col: str, text
                 part = b.slice(at, 500)
                 ids, sets = part.column(0).to_pylist(), [shingler.shingles(t.as_py()) for t in part.column(1)]
                 none = [None] * len(ids)
-                yield batch_of(schema, [none, none, ids, list(map(len, sets)), [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]])
+                yield batch_of(schema, [none, none, ids, list(map(len, sets)), [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                                        [sketch_of(s).tobytes() if len(s) else None for s in sets]])
                 keyed = [(i, keys_of(s, percent, known)) for i, s in zip(ids, sets, strict=True) if i is not None and len(s)]
                 if keyed:
                     key = np.concatenate([k for _, k in keyed]).view(np.int64)
                     one = np.repeat(np.array([i for i, _ in keyed], np.int64), [len(k) for _, k in keyed])
-                    empty = pa.nulls(len(key), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(key), empty, pa.array(one), empty, pa.nulls(len(key), pa.binary())], schema=schema)
+                    empty, none = pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(key), empty, pa.array(one), empty, none, none], schema=schema)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, ROW)
 
@@ -241,27 +281,16 @@ def with_hubs(rows: DataFrame) -> DataFrame:
             last_key, last_hub = key[-1], hub[-1]
             keep = np.nonzero(hub != one)[0]
             if len(keep):
-                empty = pa.nulls(len(keep), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(hub[keep]), pa.array(one[keep]), empty, pa.nulls(len(keep), pa.binary())],
-                                                 schema=schema)
+                empty, none = pa.nulls(len(keep), pa.int64()), pa.nulls(len(keep), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(hub[keep]), pa.array(one[keep]), empty, none, none], schema=schema)
 
     dealt = F.coalesce("key", F.xxhash64("id", F.lit(1)))
     return rows.repartition(dealt).sortWithinPartitions("key", "id").mapInArrow(run, ROW)
 
 
-def filter_of(ids: DataFrame) -> np.ndarray:
-    """The bits of ``filter_table``: 2 MB, whatever the number of ids."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in filter_table(ids).collect():
-        at = r["bucket"] * 4096
-        bits[at:at + 4096] = np.frombuffer(r["bits"], np.uint8)
-    return bits
-
-
 def sets_of(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(id, s): the sets of the documents in ``ids``, made anew from the texts. Texts are not shuffled: a filter of fixed
     size lets through the ids asked for and a few more."""
-    bits = filter_of(ids)
     schema = arrow_schema(ddl := "id long, s array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,14 +298,28 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col:
 
         shingler = shingler_for(width)
         for b in batches:
-            place = b.column(2).to_numpy()
-            asked = np.nonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)[0]
-            for at in range(0, len(asked), 500):
-                part = b.take(pa.array(asked[at:at + 500]))
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 yield batch_of(schema, [part.column(0).to_pylist(), [shingler.shingles(t.as_py()).view(np.int64) for t in part.column(1)]])
 
-    rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
-    return rows.select("doc_id", "text", filter_place(F.col("doc_id")).alias("place")).mapInArrow(run, ddl)
+    return split_by_ids(id_and_text(docs, id_col, text_col), ids, "doc_id")[1].mapInArrow(run, ddl)
+
+
+GROUP = "grp string, id long, root long, side int"
+
+
+def possible(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The rows of groups (GROUP) that may be similar to another of their group, by sketches (id, n, sketch), which are a
+    tenth of the sets in size. Most groups that met by chance end here."""
+    schema = arrow_schema(GROUP)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pa.array(np.argsort(group["id"].to_numpy(), kind="stable")))
+        sizes, roots, sides = (group[c].to_pylist() for c in ("n", "root", "side"))
+        found = have_partners(sizes, [np.frombuffer(x.as_py(), np.uint8) for x in group["sketch"]], roots, sides, percent)
+        return group.filter(pa.array(found)).select([f.name for f in schema]).cast(schema)
+
+    return groups.join(sketches, "id").select("grp", "id", "root", "side", "n", "sketch").groupBy("grp").applyInArrow(run, GROUP)
 
 
 def links_of(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -337,19 +380,24 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     different texts links by any of them. A row with a null id has the component of rows with the same set, or
     none. Other columns are not read; no rows in, no rows out."""
     rows = written(with_hubs(prints_and_keys(docs, width, percent, id_col, text_col)), "prints")
-    prints = rows.filter("n is not null").select(F.col("id").alias("doc_id"), "n", "digest")
+    prints = rows.filter("n is not null").select(F.col("id").alias("doc_id"), "n", "digest", "sketch")
     named = prints.filter("digest is not null and doc_id is not null")
     reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # Of equal sets one goes on. A hub is the smallest of its key and so of its own set.
     copies = named.join(reps, "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("id"), "rep").distinct()
     edges = written(rows.filter("hub is not null").select("key", "hub", "id").join(copies, "id", "left")
                     .select("key", "hub", F.coalesce("rep", "id").alias("id")).filter("hub <> id").distinct(), "edges")
-    wanted = edges.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
-    sets = written(sets_of(docs, wanted, width, id_col, text_col), "sets")
+    # An id that carries different texts has a sketch for each.
+    sketches = named.select(F.col("doc_id").alias("id"), "n", "sketch").distinct()
     chunks = written(chunked_hubs(edges, group_sets), "chunks")
-    first = written(links_of(hub_groups(edges, chunks), sets, percent), "links")
+
+    def round_of(groups: DataFrame) -> DataFrame:
+        left = written(possible(groups, sketches, percent), "possible")
+        return written(links_of(left.distinct(), sets_of(docs, left.select("id").distinct(), width, id_col, text_col), percent), "links")
+
+    first = round_of(hub_groups(edges, chunks))
     roots = written(components(first), "roots")
-    second = written(links_of(open_groups(edges, chunks, roots, group_sets), sets, percent), "links")
+    second = round_of(open_groups(edges, chunks, roots, group_sets))
     ends = components(first.unionByName(second)).select(F.col("node").alias("rep"), "root")
     return prints.select("doc_id", "n", "digest").join(reps, "digest", "left").join(ends, "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))

@@ -232,3 +232,15 @@ def test_pipeline_stages(spark):
             left = [(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()]
             assert [(i, c) for i, _, c in brute(left[:250], 5, 80) if i != c] == []
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == ids and kept.agg(F.min("length")).first()[0] >= 1
+
+
+def test_sketches_never_overstate_differences():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**64, 4_000, dtype=np.uint64)
+    for n, m in ((1, 1), (7, 9), (100, 120), (255, 300), (900, 1_100), (2_000, 2_400)):
+        a, b = (np.unique(rng.choice(pool[: n + m // 8], k)) for k in (n, m))
+        x, y = map(ngram_join.sketch_of, (a, b))
+        while len(x) != len(y):
+            x, y = (v[0::2] + v[1::2] if len(v) == max(len(x), len(y)) else v for v in (x, y))
+        assert np.count_nonzero(x != y) <= len(np.setxor1d(a, b))
+        assert (x == y).all() == (len(np.setxor1d(a, b)) == 0) or len(x) < 8
