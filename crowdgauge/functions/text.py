@@ -181,5 +181,8 @@ def sha256_hex(c) -> Column:
 
 
 def search_match(c, query: str) -> Column:
-    """Case-insensitive for ASCII letters; ``%`` and ``_`` in the query are wildcards."""
-    return F.lower(_text(c)).like("%" + query.lower() + "%")
+    """Case-insensitive for ASCII letters only; ``%`` and ``_`` in the query are wildcards, a backslash is
+    itself."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    folded = query.translate(str.maketrans(upper, upper.lower())).replace("\\", "\\\\")
+    return F.translate(_text(c), upper, upper.lower()).like("%" + folded + "%")

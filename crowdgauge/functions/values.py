@@ -73,7 +73,7 @@ SENTIMENT_SCHEMA = "bullish bigint, bearish bigint, neutral bigint"
 
 def sentiment(c) -> Column:
     """Decode the sentiment JSON; NULL when it is not an object."""
-    return F.from_json(_c(c), SENTIMENT_SCHEMA)
+    return F.when(F.from_json(_c(c), "map<string,string>").isNotNull(), F.from_json(_c(c), SENTIMENT_SCHEMA))
 
 
 def lean(c) -> Column:

@@ -61,8 +61,7 @@ def grouped(mentions: DataFrame, source_type: str) -> DataFrame:
     extra = ["is_index"] if "is_index" in mentions.columns else []
     arrays = mentions.filter(F.col("source_type") == source_type).groupBy("source_id").agg(
         F.collect_list(F.struct("ticker", "matched_alias", "content_time_ms", *extra)).alias("named"))
-    # Both sides grow together and keys are unique: hash the short arrays, never sort the texts.
-    return arrays.hint("shuffle_hash")
+    return arrays
 
 
 def scored_sources(mentions: DataFrame, notes: DataFrame, comments: DataFrame,

@@ -11,10 +11,10 @@ from .dictionary import Dictionary, known_terms
 from .matching import has_context
 from .tables import insert_absent
 
+# Defaults of arguments: top-k reports and shown excerpts. Tests for words always see whole texts.
 PREFILTER = 200
 CANDIDATE_NOTES = 50
 SHOWN_CHARS = 400
-SCANNED_CHARS = 200
 EVIDENCE_CHARS = 300
 
 
@@ -25,27 +25,27 @@ def unmatched_notes(notes: DataFrame, mentions: DataFrame, cutoff_ms: int) -> Da
 
 
 def candidates(notes: DataFrame, mentions: DataFrame, dictionary: Dictionary, cutoff_ms: int,
-               limit: int = CANDIDATE_NOTES, chars: int = SCANNED_CHARS) -> DataFrame:
-    """(item, note_id, likes, text): of the 200 most liked unmatched notes, the first ``limit``
-    that hold a context word. Text is shown cut; the context test sees all of it."""
+               limit: int = CANDIDATE_NOTES, prefilter: int = PREFILTER) -> DataFrame:
+    """(item, note_id, likes, text): of the ``prefilter`` most liked unmatched notes, the first ``limit``
+    that hold a context word, with their whole texts."""
     order = [F.desc("likes"), F.asc("note_id")]
     top = unmatched_notes(notes, mentions, cutoff_ms).select(
         "note_id", F.coalesce("liked_count", F.lit(0)).alias("likes"),
         F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("note_desc", F.lit("")))).alias("text"),
-    ).orderBy(*order).limit(PREFILTER)
+    ).orderBy(*order).limit(prefilter)
     fit = has_context(top.filter("text <> ''"), dictionary, ["note_id"])
     kept = top.join(fit, "note_id", "left_semi").orderBy(*order).limit(limit)
     return kept.select(
-        F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias("item"), "note_id", "likes",
-        F.substring("text", 1, chars).alias("text"))
+        F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias("item"), "note_id", "likes", "text")
 
 
-def vet(suggested: DataFrame, pool: DataFrame, dictionary: Dictionary, now_ms: int) -> DataFrame:
+def vet(suggested: DataFrame, pool: DataFrame, dictionary: Dictionary, now_ms: int,
+        chars: int = EVIDENCE_CHARS) -> DataFrame:
     """Suggested (item, term, ticker, evidence) that hold up against the candidate notes.
 
     The ticker must be valid, the term unknown and found verbatim in a note: the cited one, else
-    the first. Evidence that is not verbatim is replaced by the note's text. The pool has at most
-    CANDIDATE_NOTES rows and is offered to each suggestion as one array.
+    the first. Whole texts are searched; only the quote is cut, to ``chars``. Evidence that is not verbatim is
+    replaced by the note's text. The pool has at most as many rows as ``candidates`` was asked for and is offered to each suggestion as one array.
     """
     listed = pool.agg(F.array_sort(F.collect_list(F.struct(
         "item", "note_id", "text", T.norm_for_hash("text").alias("norm")))).alias("p")).scalar()
@@ -62,7 +62,7 @@ def vet(suggested: DataFrame, pool: DataFrame, dictionary: Dictionary, now_ms: i
     proof = T.norm_for_hash("evidence")
     quote = F.when((F.col("evidence") != "") & F.contains("n.norm", proof), F.col("evidence")).otherwise(F.col("n.text"))
     return found.select(
-        "term", F.col("ticker").alias("guessed_ticker"), F.substring(quote, 1, EVIDENCE_CHARS).alias("evidence_quote"),
+        "term", F.col("ticker").alias("guessed_ticker"), F.substring(quote, 1, chars).alias("evidence_quote"),
         F.col("n.note_id").alias("evidence_note_id"), F.lit(now_ms).alias("suggested_at_ms"))
 
 

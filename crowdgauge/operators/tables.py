@@ -124,4 +124,4 @@ def listing(rows: DataFrame, status: str, limit: int | None = None) -> DataFrame
 
 
 def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
-    return runs.orderBy(F.desc("id")).limit(min(limit, 100))
+    return runs.orderBy(F.desc("id")).limit(limit)

@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Texts cost far more work per byte than a scan does: read them in small splits.
+    "spark.sql.files.maxPartitionBytes": "32m",
 }
 
 

@@ -22,19 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input has fewer splits than the session has cores; a large
-    input already has more splits and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _published(doc_id):
     return F.lit(NOW_MS) - (doc_id * 7919 % AGE_MINUTES) * 60_000
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     i = F.col("doc_id")
     return d.select(
         i.cast("string").alias("note_id"),

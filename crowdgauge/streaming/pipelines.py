@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from .. import constants as K
 from ..functions import values as V
 from ..operators.tables import upsert
 from ..operators.trend import new_snapshots
+from ..session import ensure_checkpoint_dir
 from ..sources.store import KeyedTable
 
 
@@ -105,7 +107,18 @@ def marker_alarms(lines: DataFrame, marker: str = K.CAPTCHA_MARKER, threshold: i
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drive a stream through everything available into an in-memory table (tests, small checks)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Drive a stream through everything available and read what it wrote.
+
+    Results and progress are files in the shared folder, so nothing gathers on the driver and a restarted run takes
+    up where it stopped. In complete and update mode each trigger writes a version of its own; the last one is
+    read."""
+    spark = stream.sparkSession
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").option("path", f"{root}/rows").start()
+    else:
+        q = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/rows/version={n}")).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(stream.schema).parquet(f"{root}/rows" if mode == "append" else f"{root}/rows/version={q.lastProgress['batchId']}")
+    return rows

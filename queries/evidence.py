@@ -138,11 +138,9 @@ def submissions(t):
 
 
 @Q.add("j19_quotes_from_ids", "items", """SELECT ticker AS submission_id, coalesce(string_agg(text, '|' ORDER BY CASE item_no WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END) FILTER (item_no IN (3, 1, 2)), '') AS quotes
-  FROM items GROUP BY 1 HAVING count(*) >= 3""")
+  FROM items GROUP BY 1""")
 def _(t):
-    big = t.items.groupBy("ticker").count().filter("count >= 3").select("ticker")
-    s = submissions(t).join(big, "ticker", "left_semi")
-    return QT.quotes_from_ids(s, t.items).select("submission_id", F.array_join("quotes", "|").alias("quotes"))
+    return QT.quotes_from_ids(submissions(t), t.items).select("submission_id", F.array_join("quotes", "|").alias("quotes"))
 
 
 @Q.add("j20_verify_quotes", "items", f"""
@@ -190,7 +188,7 @@ POOL = f"""SELECT row_number() OVER (ORDER BY likes DESC, note_id) AS item, * FR
 
 @Q.add("c13_slang_candidates", "notes mentions", f"SELECT item, note_id, likes, substr(full_text, 1, 400) AS text FROM ({POOL.format(30)})")
 def _(t):
-    return S.candidates(t.notes, t.mentions, t.dictionary, t.now - t.context, 30, S.SHOWN_CHARS)
+    return S.candidates(t.notes, t.mentions, t.dictionary, t.now - t.context, 30).withColumn("text", F.substring("text", 1, S.SHOWN_CHARS))
 
 
 @Q.add("s09_prefilter_then_quota", "notes mentions", f"SELECT item, note_id FROM ({POOL.format(5)})")
@@ -203,7 +201,7 @@ SUG = """SELECT item_id % 9 AS item, split_part(text, ' ', CAST(item_id % 5 + 1
 
 
 @Q.add("c14_vetted_suggestions", "notes mentions stocks", f"""
-  WITH pool AS (SELECT *, substr(full_text, 1, 200) AS text FROM ({POOL.format(50)})), s AS ({SUG}),
+  WITH pool AS (SELECT *, full_text AS text FROM ({POOL.format(50)})), s AS ({SUG}),
   ok AS (SELECT *, upper(ticker) AS tk FROM s WHERE trim(term) <> '' AND regexp_full_match(upper(ticker), '[A-Z]{{1,5}}') AND upper(term) <> upper(ticker) AND {norm_hash('term')} <> ''
     AND lower(term) NOT IN (SELECT lower(unnest(list_concat([ticker], list_concat(aliases, ambiguous)))) FROM stocks)),
   f AS (SELECT ok.*, p.note_id, p.text AS ptext, row_number() OVER (PARTITION BY ok.item, ok.term, ok.tk, ok.evidence ORDER BY p.item <> ok.item, p.item) AS rn
@@ -212,9 +210,8 @@ SUG = """SELECT item_id % 9 AS item, split_part(text, ' ', CAST(item_id % 5 + 1
   FROM f WHERE rn = 1""")
 def _(t):
     pool = S.candidates(t.notes, t.mentions, t.dictionary, t.now - t.context)
-    wide = S.candidates(t.notes, t.mentions, t.dictionary, t.now - t.context, chars=1_000_000)
     i = F.col("item_id")
     a = t.raw("benchmark").select((i % 9).cast("int").alias("item"), F.split_part("text", F.lit(" "), (i % 5 + 1).cast("int")).alias("term"),
                                   F.when(i % 7 == 0, "bad1").otherwise("abc").alias("ticker"), F.when(i % 2 == 0, F.col("text")).otherwise("").alias("evidence"))
-    b = wide.select("item", F.split_part("text", F.lit(" "), F.lit(3)).alias("term"), F.lit("xyz").alias("ticker"), F.substring("text", 5, 30).alias("evidence"))
+    b = pool.select("item", F.split_part("text", F.lit(" "), F.lit(3)).alias("term"), F.lit("xyz").alias("ticker"), F.substring("text", 5, 30).alias("evidence"))
     return S.vet(a.unionByName(b), pool, t.dictionary, t.now).select("term", "guessed_ticker", "evidence_note_id", "evidence_quote").distinct()

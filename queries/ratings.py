@@ -52,11 +52,12 @@ def _(t):
     return R.is_current(first.unionByName(last), a)
 
 
-@Q.add("c11_rating_intake", "prints", """SELECT ticker, outcome FROM (SELECT ticker, 'ok' AS outcome FROM prints UNION ALL SELECT ticker, 'stale_evidence' FROM prints UNION ALL SELECT 'NOPE', 'no_items')""")
+@Q.add("c11_rating_intake", "prints stocks", """SELECT ticker, outcome FROM (SELECT ticker, 'ok' AS outcome FROM prints UNION ALL SELECT ticker, 'stale_evidence' FROM prints
+  UNION ALL SELECT ticker, 'no_items' FROM stocks WHERE ticker NOT IN (SELECT ticker FROM prints))""")
 def _(t):
     p = E.fingerprints(t.items)
     subs = p.select("ticker", F.explode(F.array("evidence_hash", "input_hash")).alias("evidence_hash"))
-    none = t.raw("region").limit(1).select(F.lit("NOPE").alias("ticker"), F.lit("x").alias("evidence_hash"))
+    none = t.dictionary.stocks.select("ticker").join(p.select("ticker"), "ticker", "left_anti").withColumn("evidence_hash", F.lit("x"))
     return R.intake(subs.unionByName(none), p).select("ticker", "outcome")
 
 
@@ -80,11 +81,12 @@ def _(t):
     return rating_queue(t.stats, items, t.dictionary, history(t, items)).select("ticker", "evidence_items")
 
 
-@Q.add("c17_staging", "prints", f"""SELECT ticker, CASE WHEN {EVEN} THEN 'skipped_unchanged' ELSE 'prepared' END AS state FROM prints UNION ALL SELECT 'NOPE', 'no_items'""")
+@Q.add("c17_staging", "prints stocks", f"""SELECT ticker, CASE WHEN {EVEN} THEN 'skipped_unchanged' ELSE 'prepared' END AS state FROM prints
+  UNION ALL SELECT ticker, 'no_items' FROM stocks WHERE ticker NOT IN (SELECT ticker FROM prints)""")
 def _(t):
     items = t.items
     p = E.fingerprints(items)
-    cand = p.select("ticker").unionByName(t.raw("region").limit(1).select(F.lit("NOPE").alias("ticker")))
+    cand = p.select("ticker").unionByName(t.dictionary.stocks.select("ticker").join(p.select("ticker"), "ticker", "left_anti"))
     return R.staged(cand, p, history(t, items), t.now).select("ticker", "state")
 
 

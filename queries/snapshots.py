@@ -124,7 +124,7 @@ def _(t):
     return TB.enum_violations(t.analyses, "status", ("ok", "error")).select("ticker", "run_id")
 
 
-@Q.add("s10_recent_runs", "ledger", "SELECT id, started_at_ms FROM ledger ORDER BY id DESC LIMIT 100")
+@Q.add("s10_recent_runs", "ledger", "SELECT id, started_at_ms FROM ledger ORDER BY id DESC LIMIT 500")
 def _(t):
     return TB.recent_runs(t.runs, 500).select("id", "started_at_ms")
 

@@ -14,13 +14,13 @@ def stream(t, name):
     return t.spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", f"{name}.parquet").load(t.dir)
 
 
-@Q.add("st05_sliding_heat", "", """SELECT epoch_ms(w) AS window_start_ms, event_type AS ticker, count(*) AS mentions FROM (
-  SELECT event_type, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS w FROM events) GROUP BY 1, 2""")
+@Q.add("st05_sliding_heat", "", """SELECT epoch_ms(w) AS window_start_ms, event_type AS ticker, count(*) AS mentions, round(sum(value), 4) AS heat FROM (
+  SELECT event_type, value, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS w FROM events) GROUP BY 1, 2""")
 def _(t):
     from crowdgauge.sources.sample_tables import ms_of
-    e = stream(t, "events").select(F.timestamp_millis(ms_of(F.col("ts"))).alias("event_time"), F.col("event_type").alias("ticker"), F.lit(1.0).alias("w"))
+    e = stream(t, "events").select(F.timestamp_millis(ms_of(F.col("ts"))).alias("event_time"), F.col("event_type").alias("ticker"), F.col("value").cast("decimal(18,4)").alias("w"))
     out = SP.run_available(SP.sliding_heat(e), "st05_sliding_heat", "complete")
-    return out.select("window_start_ms", "ticker", "mentions")
+    return out.select("window_start_ms", "ticker", "mentions", F.round(F.col("heat").cast("double"), 4).alias("heat"))
 
 
 @Q.add("st08_keyword_counts", "", "SELECT source AS keyword, count(*) AS count FROM documents GROUP BY 1")

@@ -171,9 +171,9 @@ def _(t):
     return t.analyses.select("ticker", "run_id", V.lean("sentiment_counts").alias("net"))
 
 
-@Q.add("m07_json_encode", "ana", "SELECT ticker, run_id, sentiment_counts AS j FROM ana WHERE run_id % 7 <> 0")
+@Q.add("m07_json_encode", "ana", "SELECT ticker, run_id, CASE WHEN run_id % 7 <> 0 THEN sentiment_counts END AS j FROM ana")
 def _(t):
-    return t.analyses.filter("run_id % 7 <> 0").select("ticker", "run_id", F.to_json(V.sentiment("sentiment_counts")).alias("j"))
+    return t.analyses.select("ticker", "run_id", F.to_json(V.sentiment("sentiment_counts")).alias("j"))
 
 
 @Q.add("m09_arrays", "", """SELECT doc_id, array_to_string(w[1:4], '|') AS first4, CAST(len(list_distinct(w)) AS BIGINT) AS kinds, array_to_string(list_sort(list_distinct(w))[1:5], '|') AS low5
@@ -208,9 +208,9 @@ def _(t):
 
 
 @Q.add("p07_substance_floors", "", f"""SELECT doc_id, s >= 15 AS note_ok, s >= 6 AS comment_ok, s >= 20 AS quote_ok FROM (
-    SELECT doc_id, {substance('split_part(text, chr(10), 1)')} AS s FROM documents)""")
+    SELECT doc_id, {substance('text')} AS s FROM documents)""")
 def _(t):
-    s = T.substance(F.substring_index("text", "\n", 1))
+    s = T.substance("text")
     return t.raw("documents").select("doc_id", (s >= K.MIN_NOTE_SUBSTANCE).alias("note_ok"), (s >= K.MIN_COMMENT_SUBSTANCE).alias("comment_ok"), (s >= K.QUOTE_MIN_SUBSTANCE).alias("quote_ok"))
 
 
@@ -234,10 +234,10 @@ def _(t):
     return t.events.select("event_id", V.age_hours(1706000000000, "ms").alias("age_h"))
 
 
-@Q.add("p13_sentiment_sign", "ana", "SELECT ticker, run_id, CASE WHEN bull > bear THEN 'bull' WHEN bull < bear THEN 'bear' ELSE 'neut' END AS sign FROM ana WHERE run_id % 7 <> 0")
+@Q.add("p13_sentiment_sign", "ana", "SELECT ticker, run_id, CASE WHEN run_id % 7 = 0 THEN 'neut' WHEN bull > bear THEN 'bull' WHEN bull < bear THEN 'bear' ELSE 'neut' END AS sign FROM ana")
 def _(t):
     s = V.sentiment("sentiment_counts")
-    return t.analyses.filter("run_id % 7 <> 0").select("ticker", "run_id", V.sentiment_sign(s["bullish"], s["bearish"]).alias("sign"))
+    return t.analyses.select("ticker", "run_id", V.sentiment_sign(s["bullish"], s["bearish"]).alias("sign"))
 
 
 @Q.add("p16_split_list", "", """SELECT p_partkey, array_to_string(list_filter([w, b], lambda x: x IS NOT NULL AND x <> ''), '|') AS items FROM (
