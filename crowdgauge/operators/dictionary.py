@@ -185,11 +185,34 @@ def trap_phrases(dictionary: Dictionary) -> Column:
 
 TERM_COLUMNS = (
     "kind string, term string, ticker string, alias string, ord int, collision boolean, "
-    "supersedes array<string>"
+    "supersedes array<string>, guard string"
 )
 MAX_INLINE_TERMS = 50_000
 
 
+def symbol_guards(symbols: DataFrame) -> DataFrame:
+    """(ticker, guard): for symbols that stand inside longer ones, look-arounds that turn down such places.
+
+    At a place the longest symbol is meant: in ``BRK.B`` the symbol ``BRK`` is not. Only symbols with a separator
+    can hold another one, so only their bounded stretches are joined with the symbols."""
+    edge = "[A-Za-z0-9]"
+    pieces = symbols.filter(F.col("ticker").rlike("[^A-Za-z0-9]")).select(
+        "ticker", F.array_remove(F.split("ticker", f"(?<={edge})(?!{edge})|(?<!{edge})(?={edge})"), "").alias("p"))
+    places = pieces.select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("i")).select(
+        "p", "i", F.explode(F.sequence(F.lit(1), F.size("p") - F.col("i") + 1)).alias("n")).filter("n < size(p)")
+
+    def text(start, length):
+        return F.array_join(F.slice("p", start, length), "")
+
+    i, n = F.col("i"), F.col("n")
+    inner = places.select(text(i, n).alias("ticker"), text(F.lit(1), i - 1).alias("pre"),
+                          text(i + n, F.size("p") - n - i + 1).alias("post"))
+    behind = F.when(F.col("pre") == "", F.lit("")).otherwise(F.concat(F.lit(f"(?<=(?<!{edge})\\Q"), "pre", F.lit("\\E)")))
+    guard = F.concat(F.lit("(?!"), behind, F.lit("\\Q"), "ticker", "post", F.lit(f"\\E(?!{edge}))"))
+    return inner.join(symbols, "ticker", "left_semi").select("ticker", guard.alias("g")).groupBy("ticker").agg(
+        F.array_join(F.array_sort(F.collect_set("g")), "").alias("guard"))
+
+
 def match_terms_of(dictionary: Dictionary, tracked: DataFrame | None = None) -> DataFrame:
     """Every string the matcher looks for, one row each (TERM_COLUMNS)."""
     stocks = with_array_defaults(dictionary.stocks).select(
@@ -223,12 +246,14 @@ def match_terms_of(dictionary: Dictionary, tracked: DataFrame | None = None) ->
         F.lit(None).cast("string").alias("ticker"), F.array().cast(NO_STRINGS).alias("supersedes"),
         F.lit("context").alias("kind"), F.col("word").alias("alias"), F.lit(0).alias("ord"))
     collisions = dictionary.collisions.select("ticker", F.lit(True).alias("collision")).distinct()
+    guards = symbol_guards(listed.filter("kind = 'symbol'").select("ticker").distinct())
     return (
         listed.unionByName(ctx).filter(F.col("alias") != "")
-        .join(collisions, "ticker", "left")
+        .join(collisions, "ticker", "left").join(guards, "ticker", "left")
         .select("kind", F.when(F.col("kind") == "symbol", F.col("alias")).otherwise(
             F.lower("alias")).alias("term"), "ticker", "alias", "ord",
-            F.coalesce("collision", F.lit(False)).alias("collision"), "supersedes")
+            F.coalesce("collision", F.lit(False)).alias("collision"), "supersedes",
+            F.when(F.col("kind") == "symbol", F.coalesce("guard", F.lit(""))).otherwise("").alias("guard"))
     )
 
 

@@ -71,13 +71,14 @@ def match_terms(texts: DataFrame, terms: DataFrame, keep: list[str], lower: str
     small, listed = inlined(keyed)
     keyed = keyed if small is None else small
     known = None if small is None else [r["_key"] for r in listed]
-    whole_word = F.col("term") == F.col("_key")
+    guard = F.col("guard") if "guard" in terms.columns else F.lit("")
+    whole_word = (F.col("term") == F.col("_key")) & (guard == "")
     found = F.when(
         T.is_latin_term(F.col("term")),
         F.rlike(F.col("_low"), T.bounded_pattern(F.col("term"))),
     ).otherwise(F.contains(F.col("_low"), F.col("term")))
     if raw:
-        bounded = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.col("term"),
+        bounded = F.concat(F.lit(r"(?<![A-Za-z0-9])"), guard, F.lit(r"\Q"), F.col("term"),
                            F.lit(r"\E(?![A-Za-z0-9])"))
         found = F.when(symbol, F.rlike(F.col("_raw"), bounded)).otherwise(found)
     body = [F.col(lower).alias("_low"), *([F.col(raw).alias("_raw")] if raw else [])]

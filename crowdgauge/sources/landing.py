@@ -9,6 +9,7 @@ from .. import constants as K
 from .. import schemas as S
 from ..functions import text as T
 from ..functions import values as V
+from ..functions.python_text import nfkc
 from ..operators.tables import upsert
 
 NOTE_FILES = "search_contents_*.jsonl"
@@ -67,11 +68,12 @@ def quarantine(landed: DataFrame, ids: list[str], time: str) -> tuple[DataFrame,
 
 
 def note_rows(landed: DataFrame, run_id: int, window_ms: int, now_ms: int) -> DataFrame:
-    """Usable notes of the window in table form; of several lines for a note the last wins."""
+    """Usable notes of the window in table form; of several lines for a note the last wins. Texts are stored
+    in exact compatibility form, so that matching, hashes and excerpts all see the same characters."""
     ts = V.normalize_ts("time")
     usable, _ = quarantine(landed, ["note_id"], "time")
     rows = usable.filter(ts >= now_ms - window_ms).select(
-        "note_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("desc", F.lit("")).alias("note_desc"),
+        "note_id", nfkc("title").alias("title"), nfkc("desc").alias("note_desc"),
         F.col("type").alias("note_type"), ts.alias("publish_time_ms"),
         *[V.parse_count(c).alias(c) for c in ("liked_count", "collected_count", "comment_count", "share_count")],
         "note_url", "tag_list", "source_keyword", "nickname",
@@ -100,8 +102,9 @@ def comment_rows(landed: DataFrame, notes: DataFrame, run_id: int, window_ms: in
     ts = V.normalize_ts("create_time")
     usable, _ = quarantine(landed, ["comment_id", "note_id"], "create_time")
     norm = T.norm_for_hash("content")
-    rows = usable.filter(ts >= now_ms - window_ms).join(notes.select("note_id"), "note_id", "left_semi").select(
-        "comment_id", "note_id", "parent_comment_id", F.coalesce("content", F.lit("")).alias("content"),
+    known = usable.filter(ts >= now_ms - window_ms).join(notes.select("note_id"), "note_id", "left_semi")
+    rows = known.withColumn("content", nfkc("content")).select(
+        "comment_id", "note_id", "parent_comment_id", "content",
         ts.alias("create_time_ms"), V.parse_count("like_count").alias("like_count"),
         V.parse_count("sub_comment_count").alias("sub_comment_count"), "nickname",
         F.when(F.length(norm) >= K.MIN_COMMENT_DEDUP_LEN, norm).alias("content_norm_hash"),

@@ -71,3 +71,23 @@ def test_day_partitions(spark, tmp_path):
     got = read_window(spark, str(tmp_path / "d"), "t", NOW - HOUR)
     assert [r["k"] for r in got.collect()] == ["x"]
     assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compatibility_forms_are_resolved_at_ingest(spark, tmp_path):
+    import json
+
+    from crowdgauge import schemas as S
+    from crowdgauge.sources import landing as L
+
+    (tmp_path / "search_contents_1.jsonl").write_text(json.dumps({"note_id": "1", "title": "ten \u338f bag", "desc": "\ufb01ne \u2163", "time": "1700000000000"}) + "\n")
+    landed = L.read_jsonl(spark, str(tmp_path), L.NOTE_FILES, S.LANDING_NOTE)
+    row = L.note_rows(landed, 1, 10**12, 1_700_000_000_000).first()
+    assert (row["title"], row["note_desc"]) == ("ten kg bag", "fine IV")
+
+
+def test_search_takes_backslashes_and_folds_ascii_only(spark):
+    from crowdgauge.functions import text as T
+
+    rows = spark.createDataFrame([("a\\b",), ("A\\B",), ("\u00c9",), ("x",)], "t string")
+    assert rows.filter(T.search_match("t", "a\\B")).count() == 2
+    assert rows.filter(T.search_match("t", "\u00e9")).count() == 0

@@ -7,6 +7,8 @@ STOCKS = [
     ("AAPL", "苹果", "tech", None, [], ["苹果"], [], None),
     ("ALL", "Allstate", "", None, [], [], [], None),
     ("BRK", "b", "", None, [], [], [], None),
+    ("BRK.B", "b", "", None, [], [], [], None),
+    ("X.BRK", "b", "", None, [], [], [], None),
     ("QQQ", "纳指", "ETF指数", None, ["纳斯达克"], [], [], None),
     ("TQQQ", "三倍", "", None, ["三倍纳斯达克"], [], ["QQQ"], None),
     ("SPY", "标普", "ETF指数", None, ["s&p 500"], [], [], None),
@@ -26,6 +28,13 @@ def test_safe_alias_and_symbol(spark):
     assert found(spark, "BRKX xBRK brk") == {}
 
 
+def test_longest_symbol_wins(spark):
+    assert found(spark, "buy BRK.B now") == {"BRK.B": "ticker_symbol"}
+    assert found(spark, "buy X.BRK now") == {"X.BRK": "ticker_symbol"}
+    assert found(spark, "buy BRK.B and BRK.") == {"BRK.B": "ticker_symbol", "BRK": "ticker_symbol"}
+    assert found(spark, "buy BRK.BX or aX.BRK") == {"BRK": "ticker_symbol"}
+
+
 def test_ambiguous_needs_context_or_target(spark):
     assert found(spark, "苹果很好吃") == {}
     assert found(spark, "美股 苹果") == {"AAPL": "alias+context"}
