@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -40,10 +40,22 @@ def read_comments(spark: SparkSession, folder: str) -> DataFrame:
     return read_jsonl(spark, folder, COMMENT_FILES, S.LANDING_COMMENT)
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, lineno, line) of text logs; one file is one run's log."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("lineno", "line"))
+def read_logs(spark: SparkSession, path: str, tail_lines: int | None = None) -> DataFrame:
+    """(file, lineno, line) of text logs; one file is one run's log. ``tail_lines`` keeps the end of each file.
+
+    Files are read in splits. A line's number is its place in its split plus the lines of the splits before it, so only
+    one row per split is ordered, never the lines of a file."""
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+    splits = lines.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    per_file = Window.partitionBy("file").orderBy("block")
+    splits = splits.withColumn("before", F.sum("n").over(per_file) - F.col("n")).withColumn(
+        "total", F.sum("n").over(Window.partitionBy("file"))).drop("n")
+    placed = lines.join(splits, ["file", "block"]).withColumn("lineno", F.col("before") + F.col("seq") - F.col("first"))
+    if tail_lines is not None:
+        placed = placed.filter(F.col("lineno") >= F.col("total") - tail_lines)
+    return placed.select("file", "lineno", "line")
 
 
 def line_counts(spark: SparkSession, folder: str, prefixes=("search_contents", "search_comments")) -> DataFrame:

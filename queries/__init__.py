@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["text", "dictionary", "mentions", "heat", "boards", "snapshots", "dedup", "evidence",
-           "ratings", "scoreboard", "ledger", "logs", "landing", "streams"]
+           "ratings", "scoreboard", "ledger", "logs", "landing", "streams", "files"]
 
 
 def load():
