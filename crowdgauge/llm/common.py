@@ -105,10 +105,13 @@ def filtered(docs: DataFrame, text_col: str, decider: Callable[[], Callable[[lis
 
     def run(batches):
         import pyarrow as pa
+        from crowdgauge.llm.memo import held
 
+        held(None)
         decide = decider()
         for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(decide([t or "" for t in b.column(place).to_pylist()]), pa.bool_()))
+            for at in range(0, b.num_rows, 1_000):
+                part = b.slice(at, 1_000)
+                yield part.filter(pa.array(decide([t or "" for t in part.column(place).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -48,7 +48,7 @@ class Shingler:
     def __init__(self, width: int):
         from .memo import Memo
 
-        self.width, self.words = width, Memo(400_000)
+        self.width, self.words = width, Memo(200_000)
 
     def word(self, w: bytes) -> int:
         import xxhash
@@ -69,16 +69,6 @@ class Shingler:
         return np.unique(total)
 
 
-SHINGLERS: dict[int, Shingler] = {}
-
-
-def shingler_for(width: int) -> Shingler:
-    """One for each Python worker."""
-    if width not in SHINGLERS:
-        SHINGLERS[width] = Shingler(width)
-    return SHINGLERS[width]
-
-
 def size_class(n: int, percent: int, known: list[tuple[int, int]]) -> int:
     """The class of a size; ``known`` is grown as needed. A class reaches up to its smallest size over the squared
     threshold, so sets that can be similar are in the same class or in neighbours."""
@@ -240,9 +230,9 @@ def prints_and_keys(docs: DataFrame, width: int, percent: int, id_col: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        from crowdgauge.llm.ngram_join import shingler_for
+        from crowdgauge.llm.memo import held
 
-        shingler, known = shingler_for(width), []
+        shingler, known = held(("shingles", width), lambda: Shingler(width)), []
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -294,9 +284,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col:
     schema = arrow_schema(ddl := "id long, s array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from crowdgauge.llm.ngram_join import shingler_for
+        from crowdgauge.llm.memo import held
 
-        shingler = shingler_for(width)
+        shingler = held(("shingles", width), lambda: Shingler(width))
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)

@@ -73,16 +73,6 @@ class WordEncoder:
         return self.chunk(w) if got is None else got
 
 
-ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder_for(path: str) -> WordEncoder:
-    """One encoder for each Python worker, so that tasks share what it remembers."""
-    if path not in ENCODERS:
-        ENCODERS[path] = WordEncoder(path)
-    return ENCODERS[path]
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32): the ids of a text and an end id, cut at ``capacity``. ``row``
     tells rows apart that repeat an id. Null and empty texts are the end id alone; a null id stays null; other
@@ -92,9 +82,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from crowdgauge.llm.packing import encoder_for
+        from crowdgauge.llm.memo import held
 
-        encoder = encoder_for(path)
+        encoder = held(("words", path), lambda: WordEncoder(path))
         for b in batches:
             rows = []
             for doc_id, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):

@@ -164,14 +164,6 @@ class PieceTable:
 
 # A run of piece marks with what follows up to the next mark or line end, or line ends.
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
-TABLES: dict[str, PieceTable] = {}
-
-
-def table_for(path: str) -> PieceTable:
-    """One table for each Python worker."""
-    if path not in TABLES:
-        TABLES[path] = PieceTable(path)
-    return TABLES[path]
 
 
 def encode_pieces(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,9 +188,9 @@ def _mapped(docs: DataFrame, model: str | None, id_col: str, text_col: str, ddl:
     path, schema = model or default_model(), arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from crowdgauge.llm.pieces import table_for
+        from crowdgauge.llm.memo import held
 
-        table = table_for(path)
+        table = held(("pieces", path), lambda: PieceTable(path))
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):

@@ -108,7 +108,7 @@ def test_toxicity_learns_only_from_rows_it_may_read(spark):
 
 
 def test_pieces_equal_the_library(spark):
-    table = pieces.table_for(pieces.default_model())
+    table = pieces.PieceTable(pieces.default_model())
     rng = random.Random(4)
     vocabulary = list(table.ids)
     texts = ["", " ", "  two  spaces\n\n end ", "naïve 日本 😀 \x00 ▁", "x" * 3_000, "the " * 5_000]
