@@ -1,8 +1,10 @@
 """As-of join without pairing every left row with every right row of a key.
 
-Both sides are laid on one time line per (key, time bucket) and the right-hand value is carried
-along it. The value current at the start of each bucket comes from a second, tiny time line that
-holds one row per bucket. A key with a third of all rows is thus split over its buckets.
+The left side is first folded to its distinct (key, time) pairs, so a key that holds a third of all rows costs no
+more than its different times. Both sides are then laid on one time line per (key, time bucket), at most two rows per
+time, and the right-hand value is carried along it; the value current at the start of each bucket comes from a
+second, tiny time line with one row per bucket. The left rows look their pair up by an equi-join, which
+adaptive execution may split.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ def asof_join(left: DataFrame, right: DataFrame, key: list[str], left_at: str, r
     r = right.filter(F.col(right_at).isNotNull()).select(
         *key, (F.col(right_at) * sign).cast("bigint").alias("_t"), F.lit(side_right).alias("_side"),
         payload.alias("_v"))
-    l_cols = F.struct(*[F.col(c) for c in left.columns])
-    rows = left.select(*key, (F.col(left_at) * sign).cast("bigint").alias("_t"),
-                       F.lit(1).alias("_side"), l_cols.alias("_l"))
+    rows = left.filter(F.col(left_at).isNotNull()).select(
+        *key, F.col(left_at).cast("bigint").alias("_at_left")).distinct().select(
+        *key, (F.col("_at_left") * sign).alias("_t"), F.lit(1).alias("_side"), F.col("_at_left").alias("_l"))
     both = r.unionByName(rows, allowMissingColumns=True).withColumn(
         "_b", F.floor(F.col("_t") / bucket))
     line = Window.partitionBy(*key, "_b").orderBy("_t", "_side")
@@ -38,9 +40,11 @@ def asof_join(left: DataFrame, right: DataFrame, key: list[str], left_at: str, r
         F.col("_v").isNotNull(), F.col("_t"))).alias("_last"))
     buckets = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(*key, "_b", F.last("_last", ignorenulls=True).over(buckets).alias("_carry"))
-    found = inside.join(carry, [*key, "_b"], "left").withColumn("_hit", F.coalesce("_in", "_carry"))
-    return found.select("_l.*", *[F.col(f"_hit.{v}").alias(prefix + v) for v in value],
-                        F.col("_hit._at").alias(prefix + right_at))
+    found = inside.join(carry, [*key, "_b"], "left").withColumn("_hit", F.coalesce("_in", "_carry")).select(
+        *key, F.col("_l").alias("_at_left"), "_hit")
+    return left.withColumn("_at_left", F.col(left_at).cast("bigint")).join(found, [*key, "_at_left"], "left").select(
+        *left.columns, *[F.col(f"_hit.{v}").alias(prefix + v) for v in value],
+        F.col("_hit._at").alias(prefix + right_at))
 
 
 def day_number(date: Column | str) -> Column:

@@ -19,22 +19,21 @@ def trailing_budget(runs: DataFrame, limit: int, estimate: int, span_ms: int = K
     """Every run with the requests of the trailing span up to and including it.
 
     Each run adds its requests at its start and takes them back after the span; a running total
-    over these changes is the trailing sum. Totals run inside hour buckets, and across the few
-    bucket sums, so no task holds the whole ledger.
+    over these changes is the trailing sum. Changes are first folded per millisecond, so an hour bucket holds at most as
+    many rows as it has milliseconds, however many runs it has; across buckets only their sums are ordered. Runs look
+    their total up by an equi-join.
     """
-    gain = runs.select("id", F.col("started_at_ms").alias("t"), F.col("requests_est").alias("v"))
-    loss = runs.select(F.lit(None).cast(runs.schema["id"].dataType).alias("id"),
-                       (F.col("started_at_ms") + span_ms + 1).alias("t"),
-                       (-F.col("requests_est")).alias("v"))
-    changes = gain.unionByName(loss).withColumn("b", F.floor(F.col("t") / bucket_ms))
-    inside = Window.partitionBy("b").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    gain = runs.select(F.col("started_at_ms").alias("t"), F.col("requests_est").alias("v"))
+    loss = runs.select((F.col("started_at_ms") + span_ms + 1).alias("t"), (-F.col("requests_est")).alias("v"))
+    changes = gain.unionByName(loss).groupBy("t").agg(F.sum("v").alias("v")).withColumn("b", F.floor(F.col("t") / bucket_ms))
+    inside = Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     sums = changes.groupBy("b").agg(F.sum("v").alias("s"))
     before = Window.partitionBy(F.lit(1)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select("b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("carry"))
-    used = changes.withColumn("run_sum", F.sum("v").over(inside)).filter(F.col("id").isNotNull()).join(
-        carried, "b").select("id", (F.col("run_sum") + F.col("carry")).alias("used_24h"))
-    return runs.select("id", "started_at_ms", "requests_est").join(used, "id").withColumn(
-        "exhausted", F.col("used_24h") + estimate > limit)
+    used = changes.withColumn("run_sum", F.sum("v").over(inside)).join(carried, "b").select(
+        F.col("t").alias("started_at_ms"), (F.col("run_sum") + F.col("carry")).alias("used_24h"))
+    return runs.select("id", "started_at_ms", "requests_est").join(used, "started_at_ms").select(
+        "id", "started_at_ms", "requests_est", "used_24h", (F.col("used_24h") + estimate > limit).alias("exhausted"))
 
 
 def budget_state(runs: DataFrame, now_ms: int, limit: int, estimate: int) -> DataFrame:
