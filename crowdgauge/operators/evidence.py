@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..functions import values as V
+from ..session import checkpointed
 from . import heat
 from .dedup import cluster_sizes
 
@@ -33,11 +34,12 @@ REPLY_ARROW = "↳ "
 def note_items(mentions: DataFrame, notes: DataFrame, cutoff_ms: int) -> DataFrame:
     """Canonical notes with readable prose, as excerpts around the first mention."""
     window = heat.grouped(mentions.filter(F.col("content_time_ms") >= cutoff_ms), "note")
+    # Notes that name nothing fall out of the join before their texts are cleaned.
     n = notes.filter(F.col("dup_group_id").isNull()).select(
-        F.col("note_id").alias("source_id"), T.clean_tags(T.note_text("title", "note_desc")).alias("full"),
-        F.coalesce("liked_count", F.lit(0)).alias("likes"), F.col("publish_time_ms").alias("ts"),
-        F.col("note_url").alias("url"))
-    rows = n.join(window, "source_id").withColumnRenamed("source_id", "id")
+        F.col("note_id").alias("source_id"), "title", "note_desc", F.coalesce("liked_count", F.lit(0)).alias("likes"),
+        F.col("publish_time_ms").alias("ts"), F.col("note_url").alias("url"))
+    rows = n.join(window, "source_id").select(
+        F.col("source_id").alias("id"), "likes", "ts", "url", "named", T.clean_tags(T.note_text("title", "note_desc")).alias("full"))
     # Positions are computed inside the array, ahead of the explode: the filter on the excerpt
     # below would otherwise be rewritten in terms of the whole text and repeat the search.
     low = rows.withColumn("low", F.lower(T.norm_text("full")))
@@ -102,8 +104,8 @@ def with_parents(picked: DataFrame, comments: DataFrame) -> DataFrame:
 def thread_items(picked: DataFrame, comments: DataFrame) -> DataFrame:
     """Picked comments as conversation lines: text for a card, text for a prompt, thread, depth."""
     rows = with_parents(picked, comments).withColumn("line", T.squeeze("content"))
-    rows = rows.withColumn("substance", T.substance("line")).withColumn(
-        "kept", ~T.is_bot_prompt("line") & (F.col("substance") >= K.MIN_COMMENT_SUBSTANCE))
+    rows = checkpointed(rows.withColumn("substance", T.substance("line")).withColumn(
+        "kept", ~T.is_bot_prompt("line") & (F.col("substance") >= K.MIN_COMMENT_SUBSTANCE)))
     parent = rows.select(
         "ticker", F.col("id").alias("parent"),
         F.substring("line", 1, K.PARENT_SNIPPET).alias("snippet"),
@@ -141,7 +143,9 @@ def gather(mentions: DataFrame, notes: DataFrame, comments: DataFrame, window_ms
     n = note_items(mentions, notes, cutoff).withColumns({
         "type": F.lit("note"), "prompt_text": F.col("text"), "unit": F.col("id"),
         "unit_likes": F.col("likes"), "depth": F.lit(0)})
-    c = thread_items(picked_comments(mentions, notes, comments, cutoff), comments).withColumns({
+    # The picked comments are read by parents, threads and lines: written once, not planned once for each.
+    picked = checkpointed(picked_comments(mentions, notes, comments, cutoff))
+    c = thread_items(picked, comments).withColumns({
         "type": F.lit("comment"), "aside": F.lit(False), "url": F.lit(None).cast("string")})
     order = Window.partitionBy("ticker").orderBy(
         F.desc("unit_likes"), "unit", "depth", "ts", "type", "id")
