@@ -13,6 +13,7 @@ Only (doc_id, piece, length) rows move, and a group is bounded by ``group_pieces
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,16 +46,28 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.runs = Memo(250_000), Memo(250_000)
+        self.model, self.normalizer, self.speller = self.tokenizer.model, self.tokenizer.normalizer, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.chunks, self.runs = Memo(120_000), Memo(120_000)
 
     def ids(self, s: str) -> bytes:
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
     def run(self, s: str) -> bytes:
+        """A run of letters or of marks. What is all letters after normalisation is one piece for the tokenizer's pattern, so
+        it goes straight to the merges."""
         got = self.runs.get(s)
-        return self.runs.put(s, self.ids(s)) if got is None else got
+        if got is None:
+            piece = s.lower() if s.isascii() else self.normalizer.normalize_str(s)
+            if piece.isalpha():
+                spelled = piece if s.isascii() else self.speller.pre_tokenize_str(piece)[0][0]
+                got = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            else:
+                got = self.ids(s)
+            self.runs.put(s, got)
+        return got
 
     def chunk(self, raw: bytes) -> bytes:
         s = raw.decode("utf-8")
