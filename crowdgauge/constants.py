@@ -3,7 +3,7 @@
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
 
-# windows
+# Windows.
 FRESH_HOURS = 24
 CONTEXT_HOURS = 72
 

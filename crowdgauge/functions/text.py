@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 
+# Input patterns (tags, handles, links, emoji codes of the landing texts).
 LATIN_TERM = r"^[0-9a-z&.\- ]+$"
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 TOPIC_TAG = r"#[^#\n]{0,40}\[话题\]#"

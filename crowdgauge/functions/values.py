@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 
+# Input pattern of localised counts.
 COUNT_PATTERN = r"^([0-9]+(?:\.[0-9]+)?)\s*(万|亿|w|k)?\+?$"
 
 

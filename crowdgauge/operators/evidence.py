@@ -74,8 +74,8 @@ def _comment_fields() -> list[Column]:
 
 
 def picked_comments(mentions: DataFrame, notes: DataFrame, comments: DataFrame,
-                    cutoff_ms: int) -> DataFrame:
-    """Direct mentions, and the most liked comments under focused notes."""
+                    cutoff_ms: int, per_note: int = K.THREAD_PER_NOTE) -> DataFrame:
+    """Direct mentions, and the ``per_note`` most liked comments under focused notes."""
     canonical = comments.filter(F.col("dup_group_id").isNull())
     direct = mentions.filter(
         (F.col("content_time_ms") >= cutoff_ms) & (F.col("source_type") == "comment")
@@ -87,7 +87,7 @@ def picked_comments(mentions: DataFrame, notes: DataFrame, comments: DataFrame,
     ).join(direct.select("ticker", "id"), ["ticker", "id"], "left_anti")
     order = Window.partitionBy("ticker", "note_id").orderBy(F.desc("likes"), "id")
     pulled = below.withColumn("_rn", F.row_number().over(order)).filter(
-        F.col("_rn") <= K.THREAD_PER_NOTE).drop("_rn")
+        F.col("_rn") <= per_note).drop("_rn")
     return direct.unionByName(pulled.select(*direct.columns))
 
 
@@ -131,7 +131,7 @@ def thread_items(picked: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def gather(mentions: DataFrame, notes: DataFrame, comments: DataFrame, window_ms: int, now_ms: int,
-           cap: int = K.MAX_ITEMS) -> DataFrame:
+           cap: int = K.MAX_ITEMS, per_note: int = K.THREAD_PER_NOTE) -> DataFrame:
     """Evidence items of every entity with their number ``item_no``."""
     cutoff = now_ms - window_ms
     sizes = cluster_sizes(notes, "note_id", "publish_time_ms", window_ms, now_ms).select(
@@ -144,7 +144,7 @@ def gather(mentions: DataFrame, notes: DataFrame, comments: DataFrame, window_ms
         "type": F.lit("note"), "prompt_text": F.col("text"), "unit": F.col("id"),
         "unit_likes": F.col("likes"), "depth": F.lit(0)})
     # The picked comments are read by parents, threads and lines: written once, not planned once for each.
-    picked = checkpointed(picked_comments(mentions, notes, comments, cutoff))
+    picked = checkpointed(picked_comments(mentions, notes, comments, cutoff, per_note))
     c = thread_items(picked, comments).withColumns({
         "type": F.lit("comment"), "aside": F.lit(False), "url": F.lit(None).cast("string")})
     order = Window.partitionBy("ticker").orderBy(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 
+# Input patterns of the run logs.
 ERROR_LINE = r"^.* ERROR \([^)]+\) - (.*)$"
 EXCEPTION_LINE = r"^[A-Za-z_][\w.]*(?:Error|Exception|Interrupt)\b.*$"
 KEYWORD_LINE = r"Current search keyword: (.+)"

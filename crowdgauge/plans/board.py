@@ -12,6 +12,7 @@ from ..operators.dictionary import Dictionary, classified
 from ..operators.tables import latest_usable
 from .cycle import non_stocks
 
+# Defaults of arguments: top-k reports.
 COMPACT_RADAR = 15
 DETAIL_ITEMS = 30
 
@@ -57,7 +58,8 @@ def payload(stats: DataFrame, notes: DataFrame, dictionary: Dictionary, tracked:
     }
 
 
-def compact(fresh: DataFrame, dictionary: Dictionary, min_mentions: int = K.MIN_MENTIONS) -> DataFrame:
+def compact(fresh: DataFrame, dictionary: Dictionary, min_mentions: int = K.MIN_MENTIONS,
+            radar_rows: int = COMPACT_RADAR) -> DataFrame:
     """(section, pos, ticker, …): ranking, indexes, investments and the first radar rows."""
     c = classified(dictionary.stocks)
     outside = non_stocks(dictionary)
@@ -65,7 +67,7 @@ def compact(fresh: DataFrame, dictionary: Dictionary, min_mentions: int = K.MIN_
         "stocks": boards.ranking(fresh, outside, min_mentions),
         "indexes": boards.class_board(fresh, c.filter("is_index"), min_mentions),
         "investments": boards.class_board(fresh, c.filter("is_investment"), min_mentions),
-        "radar": boards.radar(fresh, outside, min_mentions).limit(COMPACT_RADAR),
+        "radar": boards.radar(fresh, outside, min_mentions).limit(radar_rows),
     }
     out = None
     for name, df in parts.items():
@@ -82,14 +84,14 @@ def rating_queue(fresh: DataFrame, items: DataFrame, dictionary: Dictionary, ana
     return ratings.pending(cand, evidence.fingerprints(items), analyses).join(extra, "ticker", "left")
 
 
-def detail_items(items: DataFrame, now_ms: int) -> DataFrame:
-    return items.filter(F.col("item_no") <= DETAIL_ITEMS).select(
+def detail_items(items: DataFrame, now_ms: int, rows: int = DETAIL_ITEMS) -> DataFrame:
+    return items.filter(F.col("item_no") <= rows).select(
         "ticker", "item_no", "type", "text", "likes", (F.lit(now_ms) - F.col("ts")).alias("age_ms"), "url", "cluster_size")
 
 
-def detail_topics(items: DataFrame, dictionary: Dictionary) -> DataFrame:
+def detail_topics(items: DataFrame, dictionary: Dictionary, rows: int = DETAIL_ITEMS) -> DataFrame:
     """(ticker, topics): sorted topic tags of the shown items."""
-    shown = items.filter(F.col("item_no") <= DETAIL_ITEMS).select("ticker", "item_no", "text")
+    shown = items.filter(F.col("item_no") <= rows).select("ticker", "item_no", "text")
     return matching.topic_hits(shown, dictionary, ["ticker", "item_no"]).groupBy("ticker").agg(
         F.array_sort(F.collect_set("tag")).alias("topics"))
 

@@ -109,3 +109,30 @@ def test_trailing_budget_boundary(spark):
     runs = small_table(spark, [(1, 0, 5), (2, day, 7), (3, day + 1, 1), (4, day + 1, 2)], "id bigint, started_at_ms bigint, requests_est bigint")
     got = {r["id"]: r["used_24h"] for r in ledger.trailing_budget(runs, 100, 0).collect()}
     assert got == {1: 5, 2: 12, 3: 10, 4: 10}
+
+
+def test_asof_and_trailing_sums_with_one_hot_key(spark):
+    """Most rows of one key share a few times: the ordered part holds only the different ones."""
+    from crowdgauge.operators.asof import asof_join
+    from crowdgauge.operators.ledger import trailing_budget
+
+    left = spark.range(5_000).selectExpr("id", "if(id % 10 < 9, 'hot', 'cold') AS k", "cast(id % 7 AS bigint) AS at")
+    right = spark.createDataFrame([("hot", 2, 1.5), ("hot", 5, 2.5), ("cold", 0, 9.0)], "k string, day bigint, close double")
+    got = asof_join(left, right, ["k"], "at", "day", ["close"]).collect()
+    assert len(got) == 5_000
+    for r in got:
+        want = {"hot": None if r["at"] < 2 else 1.5 if r["at"] < 5 else 2.5, "cold": 9.0}[r["k"]]
+        assert r["close"] == want
+    runs = spark.range(300).selectExpr("id", "cast(id % 3 AS bigint) * 10 AS started_at_ms", "2L AS requests_est")
+    used = {r["started_at_ms"]: r["used_24h"] for r in trailing_budget(runs, 10, 1, span_ms=15, bucket_ms=7).collect()}
+    assert used == {0: 200, 10: 400, 20: 400}
+
+
+def test_logs_are_numbered_per_file(spark, tmp_path):
+    from crowdgauge.sources import landing as LD
+
+    for name, n in (("a.log", 50), ("b.log", 3)):
+        (tmp_path / name).write_text("\n".join(f"{name} {k}" for k in range(n)) + "\n")
+    got = {(r["file"][-5:], r["lineno"]): r["line"] for r in LD.read_logs(spark, str(tmp_path)).collect()}
+    assert got == {(name, k): f"{name} {k}" for name, n in (("a.log", 50), ("b.log", 3)) for k in range(n)}
+    assert sorted(r["line"] for r in LD.read_logs(spark, str(tmp_path), tail_lines=2).collect()) == ["a.log 48", "a.log 49", "b.log 1", "b.log 2"]
