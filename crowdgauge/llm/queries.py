@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat
 from . import license_scan as licenses
+from . import lm_score
 from . import ngram_join
 from . import packing
 from . import pieces
@@ -152,3 +153,22 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(low.b, w.doc_id)) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.a = w.doc_id"""
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_lm_scoring"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS w, unnest(list_concat([NULL], w[1:len(w) - 1])) AS v FROM d WHERE len(w) > 0),
+c2 AS (SELECT v, w, count(*) AS c2 FROM p WHERE v IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+c1 AS (SELECT w AS k, count(*) AS c1 FROM p GROUP BY ALL HAVING count(*) >= 2),
+n AS (SELECT count(*)::DOUBLE AS n FROM p),
+t AS (SELECT doc_id, CASE WHEN c2 IS NOT NULL THEN ln(c2) - ln(b.c1) WHEN p.v IS NULL THEN ln(coalesce(a.c1, 1)) - ln(n)
+                          ELSE ln(coalesce(a.c1, 1)) - ln(n) + ln(0.4) END AS s
+      FROM p LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN c1 a ON a.k = p.w LEFT JOIN c1 b ON b.k = p.v, n),
+s AS (SELECT doc_id, count(*) AS n_words, sum(s) AS s FROM t GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(s, 6) AS log_score, round(s / n_words, 6) AS mean_log_score
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
