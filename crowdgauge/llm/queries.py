@@ -157,7 +157,7 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.a = w.doc_id"""
 
 @query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"), least=1, order=3)
 
 
 ORACLES["op5_lm_scoring"] = f"""
