@@ -86,6 +86,34 @@ def test_restores_disguised_words():
     assert model.features("", {}) == (0.0, 0.0, 0.0) and model.features("fine people", {})[0] == 0.0
 
 
+def insults():
+    """A model of a few words, five of them toxic."""
+    counts = {}
+    for w in "you are such a stupid idiot moron loser what trash pathetic people good day fine text here".split() * 5:
+        padded = toxicity.START + w + toxicity.END
+        for k in range(len(padded) - 2):
+            counts[padded[k:k + 3]] = counts.get(padded[k:k + 3], 0) + 1
+    return toxicity.Model({f"={w}": 5.0 for w in ("stupid", "idiot", "moron", "loser", "trash")}, toxicity.trigram_model(counts))
+
+
+def test_long_tokens_are_decoded_whole():
+    model = insults()
+    for token in ("st" + "u" * 60 + "pid", "st" + "u" * 60_000 + "pid", "y.o.u.a.r.e.s.u.c.h.a.s.t.u.p.i.d.i.d.i.o.t", "-".join("youaresuchastupididiot" * 50)):
+        assert model.token_weight(token) == 5.0
+    assert model.token_weight("g.o.o.d." * 20) == model.token_weight("https://example.org/" + "good-day/" * 20) == 0.0
+
+
+def test_suspicion_equals_its_pattern():
+    letter, sign, mark = r"[^\W\d_]", r"0-9@$!|+€£¡(<", re.escape(toxicity.SEPARATORS)
+    pattern = re.compile(f"{letter}.*[{sign}{mark}].*{letter}|[{sign}].*{letter}|{letter}.*[{sign}]|({letter})\\1\\1", re.S)
+    rng = random.Random(6)
+    for _ in range(20_000):
+        token = "".join(rng.choices("aab1_.-!%é\u0664", k=rng.randrange(0, 7)))
+        assert toxicity.suspect(token) == bool(pattern.search(token)), token
+    for token in ("a" + "b1" * 200_000, "ab" * 200_000, "." * 400_000 + "a", "a" + "." * 400_000):
+        toxicity.suspect(token)
+
+
 def test_toxicity_learns_only_from_rows_it_may_read(spark):
     rng = random.Random(2)
     bad = ["zarg", "blorf", "quib"]
