@@ -103,6 +103,18 @@ def test_long_tokens_are_decoded_whole():
     assert model.token_weight("g.o.o.d." * 20) == model.token_weight("https://example.org/" + "good-day/" * 20) == 0.0
 
 
+def test_spaced_words_keep_their_letters():
+    runs = toxicity.spaced_runs
+    assert runs("so s t u p i d.") == ["stupid"] and runs('an "i d i o t"') == ["idiot"] and runs("(i d i o t)") == ["idiot"]
+    assert runs('a "i d i o t", y o u') == ["idiot", "you"] and runs("s t u p i d. i d i o t!") == ["stupid", "idiot"]
+    assert runs("i. d. i. o. t.") == ["idiot"] and runs("a b, c") == [] and runs("1. 2. 3. 4.") == [] and runs("") == []
+    model = insults()
+    for text in ("s t u p i d.", '"i d i o t"', "what (l o s e r), yes"):
+        assert model.features(text, {})[0] == 5.0
+    for ahead in range(45, 55):  # a word at any place of a long run
+        assert model.features("g o o d " * ahead + "i d i o t " + "g o o d " * 30, {})[0] == 5.0
+
+
 def test_suspicion_equals_its_pattern():
     letter, sign, mark = r"[^\W\d_]", r"0-9@$!|+€£¡(<", re.escape(toxicity.SEPARATORS)
     pattern = re.compile(f"{letter}.*[{sign}{mark}].*{letter}|[{sign}].*{letter}|{letter}.*[{sign}]|({letter})\\1\\1", re.S)
