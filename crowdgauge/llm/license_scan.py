@@ -12,7 +12,9 @@ DataFrame functions only. The join follows the prefix-filter scheme for containm
 * Position: of the pairs that meet, one is kept if the tokens left after the first shared place still
   can reach ``need``.
 
-The rest are verified by the size of the intersection. A block is a line.
+The rest are verified by the size of the intersection. A block is a line, or with ``across_lines`` a
+paragraph. Windows as long as the template then go over blank lines, too: they start at each word that
+the template holds, in texts that hold enough of the template's words at all.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved",
 }
 THRESHOLD_PERCENT = 80
+LINE_END, BLANK_LINE = r"\n", r"\n[ \t\r\f\x0B]*\n"
 
 
 def words(c: Column) -> Column:
@@ -65,22 +68,47 @@ def template_table(spark, templates: dict[str, str], percent: int) -> DataFrame:
             .withColumn("size", F.size("tokens")).withColumn("need", need_of(F.col("size"), percent)))
 
 
-def template_bounds(templates: dict[str, str], percent: int) -> tuple[list[str], int]:
-    """All template tokens, and the fewest that any template needs."""
+def template_words(body: str) -> list[str]:
     import re
 
-    sets = [set(re.findall(WORD, re.sub("[A-Z]+", lambda m: m[0].lower(), body))) for body in templates.values()]
+    return re.findall(WORD, re.sub("[A-Z]+", lambda m: m[0].lower(), body))
+
+
+def template_bounds(templates: dict[str, str], percent: int) -> tuple[list[str], int]:
+    """All template tokens, and the fewest that any template needs."""
+    sets = [set(template_words(body)) for body in templates.values()]
     return sorted(set().union(*sets)), min((-(-len(s) * percent // 100) for s in sets), default=1)
 
 
-def lines_of(norm: Column, vocabulary: list[str]) -> Column:
-    """Per line: its number, how many words it has, and which template tokens are among them."""
-    split = F.transform(F.split(norm, "\n"), lambda line: words(line))
+def lines_of(norm: Column, vocabulary: list[str], end: str = LINE_END) -> Column:
+    """Per line, or what else ``end`` ends: its number, how many words it has, and which template tokens are among them."""
+    split = F.transform(F.split(norm, end), lambda line: words(line))
     return F.transform(split, lambda w, i: F.struct(
         i.alias("block"), F.size(w).alias("n"),
         F.array_distinct(F.filter(w, lambda x: x.isin(vocabulary))).alias("tokens")))
 
 
+NEAR = "array<struct<label:string,shared:int,size:int>>"
+
+
+def near_windows(norm: Column, held: Column, templates: dict[str, str], percent: int) -> Column:
+    """Array of (label, shared, size): templates that some window of as many words holds to the threshold. ``held`` are the
+    template tokens of the whole text; only texts that hold enough of them are cut into words again."""
+    def near(label: str, all_words: list[str]) -> Column:
+        tokens = sorted(set(all_words))
+        literal, need = F.array(*map(F.lit, tokens)), -(-len(tokens) * percent // 100)
+
+        def shares(w: Column) -> Column:
+            starts = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(literal, x), i + 1)), lambda i: i.isNotNull())
+            return F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(w, i, len(all_words)), literal)))
+
+        best = F.when(F.size(F.array_intersect(held, literal)) >= need, F.array_max(F.flatten(F.transform(F.array(words(norm)), shares))))
+        row = F.array(F.struct(F.lit(label).alias("label"), best.alias("shared"), F.lit(len(tokens)).alias("size")))
+        return F.filter(row, lambda x: F.coalesce(x["shared"] >= need, F.lit(False)))
+
+    return F.concat(F.array().cast(NEAR), *[near(label, w) for label, body in templates.items() if (w := template_words(body))])
+
+
 def phrase_places(tokens: Column, phrases: dict[str, str]) -> Column:
     """Array of (place, label): every place where the words of a phrase stand one after the other."""
     def places(phrase: str, label: str) -> Column:
@@ -113,11 +141,11 @@ def similar_blocks(blocks: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None,
-                 templates: dict[str, str] | None = None, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+                 templates: dict[str, str] | None = None, percent: int = THRESHOLD_PERCENT, across_lines: bool = False) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row per input row.
 
-    ``labels`` are the phrase labels and those of templates that some line holds to ``percent`` of the
-    template's different words; ``score`` is the best such share, 0 if none, and 1 wherever a phrase stands.
+    ``labels`` are the phrase labels and those of templates that some line (with ``across_lines`` some
+    paragraph or window of the template's length) holds to ``percent`` of the template's different words; ``score`` is the best such share, 0 if none, and 1 wherever a phrase stands.
     Null and empty texts have no words, empty labels and score 0. Repeated rows, and rows that repeat an
     id, get a row each; a null id stays null. Other columns are not read. No rows in, no rows out."""
     spark = docs.sparkSession
@@ -129,16 +157,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                  & F.array_contains(F.col("tokens"), p.split(" ")[-1]) for p in phrases]),
                     phrase_places(F.col("tokens"), phrases))
     lines = F.col("lines")
+    near = near_windows(norm, F.array_distinct(F.flatten("lines.tokens")), templates, percent) if across_lines else F.array().cast(NEAR)
     scanned = written(
         id_and_text(docs, id_col, text_col).select("doc_id", ascii_lower(F.col("text")).alias("norm"))
-        .select("doc_id", tokens.alias("tokens"), lines_of(norm, vocabulary).alias("lines"))
+        .select("doc_id", "norm", tokens.alias("tokens"), lines_of(norm, vocabulary, BLANK_LINE if across_lines else LINE_END).alias("lines"))
         .select("doc_id", F.monotonically_increasing_id().alias("row"),
                 F.aggregate(lines, F.lit(0), lambda total, line: total + line["n"]).cast("long").alias("n_words"),
                 F.coalesce(places, F.array().cast("array<struct<place:bigint,label:string>>")).alias("places"),
-                F.filter(lines, lambda line: F.size(line["tokens"]) >= least).alias("blocks")),
+                F.filter(lines, lambda line: F.size(line["tokens"]) >= least).alias("blocks"), near.alias("near")),
         "license-scan")
     blocks = scanned.select("doc_id", "row", F.explode("blocks").alias("b")).select("doc_id", "row", "b.block", "b.tokens")
     pairs = similar_blocks(blocks, template_table(spark, templates, percent))
+    pairs = pairs.select("row", "label", "shared", "size").unionByName(scanned.select("row", F.inline("near")))
     found = pairs.groupBy("row").agg(F.collect_set("label").alias("extra"),
                                      F.max(F.col("shared") / F.col("size")).alias("share"))
     none = F.array().cast("array<string>")

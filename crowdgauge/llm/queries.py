@@ -45,7 +45,7 @@ FROM d WINDOW w AS (PARTITION BY t)"""
 
 @query
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(table(spark, sf_dir, "documents"), across_lines=True)
 
 
 def _license_sql() -> str:

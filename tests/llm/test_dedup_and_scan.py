@@ -1,11 +1,14 @@
 """Exact dedup and license scans: edge rows, and brute force on whole small tables."""
 
 import hashlib
+import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
 
 from crowdgauge.llm import exact_dedup, license_scan
+from crowdgauge.llm.queries import QUERIES
 
 LONG = "word " * 40_000
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,3 +92,22 @@ def test_similarity_join_finds_what_brute_force_finds(spark):
         assert got[k]["labels"] == ",".join(sorted(near))
         assert got[k]["score"] == pytest.approx(max(near.values(), default=0.0))
     assert scanned(spark, []) == {}
+
+
+def test_templates_that_run_over_line_ends(spark, tmp_path):
+    grants = {k: v for k, v in license_scan.TEMPLATES.items() if k.endswith("-grant")}
+    wrapped = [textwrap.fill(v, 72) for v in grants.values()]
+    assert all("\n" in x for x in wrapped)
+    texts = [*wrapped, *(textwrap.indent(x, " * ") for x in wrapped), *(x.replace("\n", "\r\n\r\n") for x in wrapped)]
+    rows = [(k, f"Copyright someone\n\n{x}\n\nint main") for k, x in enumerate(texts)]
+    rows += [(100, "Licensed under the\nApache License, Version 2.0"), (101, "Released under\n\nthe MIT License"), (102, "All\n\nrights\n\n\nreserved"),
+             (103, "all\n\nof the rights that are reserved"), (104, ""), (105, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op8_license_scans"](spark, str(tmp_path)).collect()}
+    for k in range(len(texts)):
+        label = [*grants][k % len(grants)]
+        assert label in got[k]["labels"].split(",") and got[k]["score"] == 1.0
+        assert got[k]["n_words"] == len(re.findall(r"[a-z0-9]+", rows[k][1].lower()))
+    assert [got[k]["labels"] for k in range(100, 106)] == ["apache,apache-2.0-notice", "mit,mit-notice", "all-rights-reserved", "", "", ""]
+    assert {r["labels"] for r in license_scan.license_scan(docs, templates={}, across_lines=True).collect()} <= {"", "apache", "mit", "gpl"}
