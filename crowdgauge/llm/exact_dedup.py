@@ -64,14 +64,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    Of rows that repeat the winning id one stays. Rows with a null id are compared among themselves. Only rows that
+    Of rows that repeat the winning id with the same text one stays; rows that share an id but not the text are decided each by its
+    own text. Rows with a null id are compared among themselves. Only rows that
     may go, by a filter of fixed size over the ids in question, are joined by id; the others pass as they are
     read."""
-    found = written(exact_dedup(docs, id_col, text_col).select("doc_id", "kept"), "dedup-decisions").filter("doc_id is not null")
-    goes = found.filter("not kept").select("doc_id").distinct()
-    asked = goes.unionByName(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    found = written(exact_dedup(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"), "dedup-decisions").filter("doc_id is not null")
+    goes = found.filter("not kept").select("doc_id", "text_sha256").distinct()
+    asked = goes.select("doc_id").unionByName(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     passed, open_rows = split_by_ids(docs, asked, id_col)
-    norm = f"norm_{uuid.uuid4().hex}"
-    nameless = passed.filter(F.col(id_col).isNull()).withColumn(norm, ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))
-    stays = open_rows.join(goes.withColumnRenamed("doc_id", id_col), id_col, "left_anti").dropDuplicates([id_col]).select(*docs.columns)
+    norm, sha = (f"{n}_{uuid.uuid4().hex}" for n in ("norm", "sha"))
+    lowered = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    nameless = passed.filter(F.col(id_col).isNull()).withColumn(norm, lowered)
+    goes = goes.select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias(sha))
+    stays = open_rows.withColumn(sha, sha256_of(lowered)).join(goes, [id_col, sha], "left_anti").dropDuplicates([id_col, sha]).select(*docs.columns)
     return passed.filter(F.col(id_col).isNotNull()).unionByName(stays).unionByName(nameless.dropDuplicates([norm]).drop(norm))

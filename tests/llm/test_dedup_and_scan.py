@@ -58,6 +58,12 @@ def test_without_copies_keeps_columns_and_one_row(spark):
         (0, "alone"), (0, "same text"), (2, "same text"), (4, ""), (5, "É"), (6, "é"), (8, "WORD WORD")]
 
 
+def test_without_copies_where_ids_clash(spark):
+    rows = [(1, "shared"), (1, "only here"), (2, "Shared"), (3, "one"), (3, "two"), (3, "TWO"), (4, "alone")]
+    got = sorted((r["doc_id"], r["text"].lower()) for r in exact_dedup.without_copies(frame(spark, rows)).collect())
+    assert got == [(1, "only here"), (2, "shared"), (3, "one"), (3, "two"), (4, "alone")]
+
+
 def scanned(spark, rows, **more):
     return {r["doc_id"]: r for r in license_scan.license_scan(frame(spark, rows), **more).collect()}
 
