@@ -1,6 +1,6 @@
 """N-gram Jaccard join: all links between documents whose n-gram sets are similar enough, by prefix trees.
 
-Texts become sets of 64-bit n-gram hashes; equal sets are one from there on. Sets are dealt to groups by
+Texts become sets of 64-bit n-gram hashes; equal sets become one after each key has met its hub. Sets are dealt to groups by
 parts: two sets of the wanted similarity differ in at most ``d`` n-grams, a bound that follows from their sizes, so of
 ``d + 1`` ranges of the hash space at least one holds the same n-grams in both. The digest of a range's n-grams is a key;
 sets of a key may be similar, and similar sets share one. Sizes come in classes, and a set has keys for its own
