@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat
+from . import filter_audit as audit
 from . import license_scan as licenses
 from . import lm_score
 from . import ngram_join
@@ -172,3 +173,40 @@ t AS (SELECT doc_id, CASE WHEN c2 IS NOT NULL THEN ln(c2) - ln(b.c1) WHEN p.v IS
 s AS (SELECT doc_id, count(*) AS n_words, sum(s) AS s FROM t GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(s, 6) AS log_score, round(s / n_words, 6) AS mean_log_score
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _audit_sql() -> str:
+    letters = ", ".join(f"('{f}', {k})" for k, f in enumerate(audit.FILTERS))
+    signs = audit.SIGNS.decode()
+    return f"""
+WITH f AS (SELECT * FROM (VALUES {letters}) AS v(f, k)),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+           WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, part, [len(w) < {audit.LEAST_WORDS}, 100 * len(list_distinct(w)) < {audit.LEAST_DISTINCT_PERCENT} * len(w),
+             100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {audit.MOST_CAPITALS_PERCENT} * length(t),
+             length(translate(t, '{signs}', '')) < length(t), doc_id > min(doc_id) OVER (PARTITION BY t)] AS fails FROM d),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+      FROM x LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+steps AS (SELECT filter_order, u.step, substr(filter_order, u.step, 1) AS letter, k FROM orders, (SELECT unnest(range(1, 6)) AS step) u
+          JOIN f ON f.f = substr(filter_order, u.step, 1)),
+goes AS (SELECT part, fails, n, good, toxic, o.filter_order, min(step) FILTER (fails[k + 1]) AS gone
+         FROM m, orders o JOIN steps s ON s.filter_order = o.filter_order GROUP BY ALL),
+r AS (SELECT part, s.filter_order, s.step, s.letter, sum(n) FILTER (gone IS NULL OR gone > s.step) AS kept, sum(n) FILTER (gone = s.step) AS removed,
+             sum(n) FILTER (gone < s.step AND fails[k + 1]) AS redundant,
+             sum(n) FILTER (fails[k + 1] AND len(list_filter(fails, lambda y: y)) = 1) AS unique_fails,
+             sum(good) FILTER (gone = s.step) AS good_lost, sum(toxic) FILTER (gone = s.step) AS toxic_lost
+      FROM goes JOIN steps s USING (filter_order) GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
+FROM r"""
+
+
+ORACLES["op13_filter_audit"] = _audit_sql()
