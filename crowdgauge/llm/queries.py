@@ -16,6 +16,7 @@ from . import packing
 from . import pieces
 from . import quality
 from . import toxicity as tox
+from . import vector_codes
 from . import warc
 from .common import table
 from .exact_dedup import exact_dedup
@@ -210,3 +211,36 @@ FROM r"""
 
 
 ORACLES["op13_filter_audit"] = _audit_sql()
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    parts, rounds = vector_codes.PARTS, vector_codes.ROUNDS
+    off = "list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT row, p, min(off) AS off, arg_min(e, (off, e)) AS e
+    FROM (SELECT x.row, x.p, b.e, {off} AS off FROM x JOIN b{r} b ON b.p = x.p) GROUP BY row, p)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN (
+    SELECT p, e, list(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END ORDER BY i) AS v
+    FROM (SELECT a.p, a.e, u.i, sum(x.v[u.i])::BIGINT AS s, count(*) AS n FROM a{r} a JOIN x ON x.row = a.row AND x.p = a.p,
+          (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM x))) AS i) u GROUP BY ALL) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, v) AS row, vec_id, label, v FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)),
+x AS MATERIALIZED (SELECT row, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM k, (SELECT unnest(range({parts})) AS p)),
+b0 AS MATERIALIZED (SELECT p, row - 1 AS e, v FROM x WHERE row <= {vector_codes.ENTRIES}),
+{", ".join(steps)},
+c AS (SELECT row, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(off)::BIGINT AS error FROM a{rounds} GROUP BY row),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS sha FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256
+FROM k JOIN c USING (row), h"""
+
+
+ORACLES["op11_vector_codes"] = _codes_sql()
