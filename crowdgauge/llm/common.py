@@ -56,30 +56,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-FILTER_BITS = 1 << 24  # size of a filter over ids: 2 MB, whatever the number of ids
+FILTER_MOST = 1 << 28  # bits of the largest filter that is broadcast: 32 MB
 
 
-def filter_place(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-
-
-def filter_table(ids: DataFrame) -> DataFrame:
-    """(bucket, bits): a bit for each hashed id; at most FILTER_BITS / 32768 rows of 4 KB."""
-    place = ids.select((filter_place(F.col("id")) + 1).alias("place"))
-    return place.groupBy((F.bitmap_bucket_number("place") - 1).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+def filter_table(ids: DataFrame) -> tuple[DataFrame, int] | None:
+    """((bucket, words), bits) with 16 to 32 bits for each id of the table ``ids``, or None if that is more than a broadcast may hold."""
+    bits = 1 << max(15, (16 * ids.count()).bit_length())
+    if bits > FILTER_MOST:
+        return None
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(place.alias("place")).groupBy(F.expr("shiftright(place, 15)").alias("bucket"), F.expr("cast(shiftright(place, 6) & 511 AS int)").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("w"))
+    by_bucket = words.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("word", "w"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    return by_bucket.select("bucket", every.alias("words")), bits
 
 
 def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows surely not among ``ids``, rows that may be), by a filter of fixed size: of the two only the second, as large as
-    ``ids`` and a little more, needs a join by id. Rows with a null id are among the first."""
-    row, hit, bits = (f"{n}_{uuid.uuid4().hex}" for n in ("place", "hit", "bits"))
-    table = filter_table(ids.select(F.col(ids.columns[0]).cast("long").alias("id")).filter("id is not null"))
-    table = F.broadcast(table.select(F.col("bucket").alias(hit), F.col("bits").alias(bits)))
-    placed = docs.withColumn(row, filter_place(F.col(id_col).cast("long")))
-    joined = placed.join(table, (F.floor(placed[row] / 32768) == table[hit]), "left")
-    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(F.col(row) % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.coalesce(F.floor(byte / F.pow(F.lit(2.0), F.col(row) % 8)) % 2 == 1, F.lit(False)) & F.col(id_col).isNotNull()
+    """(rows surely not among ``ids``, rows that may be), by a filter whose size follows the number of ids: of the two only the second,
+    as large as ``ids`` and a little more, needs a join by id. Beyond what may be broadcast all rows may be among them.
+    Rows with a null id are among the first."""
+    found = filter_table(ids.select(F.col(ids.columns[0]).cast("long").alias("id")).filter("id is not null"))
+    if found is None:
+        return docs.filter(F.col(id_col).isNull()), docs.filter(F.col(id_col).isNotNull())
+    table, bits = found
+    row, hit, held = (f"{n}_{uuid.uuid4().hex}" for n in ("place", "hit", "held"))
+    table = F.broadcast(table.select(F.col("bucket").alias(hit), F.col("words").alias(held)))
+    placed = docs.withColumn(row, F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(bits)))
+    joined = placed.join(table, F.shiftright(placed[row], 15) == table[hit], "left")
+    word = F.get(F.col(held), F.shiftright(F.col(row), 6).bitwiseAND(F.lit(511)).cast("int"))
+    bit = F.coalesce(F.getbit(word, F.col(row).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False)) & F.col(id_col).isNotNull()
     return tuple(joined.filter(c).select(*docs.columns) for c in (~bit, bit))
 
 

@@ -15,6 +15,7 @@ from . import ngram_join
 from . import packing
 from . import pieces
 from . import quality
+from . import suffix_dedup as suffixes
 from . import toxicity as tox
 from . import vector_codes
 from . import warc
@@ -244,3 +245,25 @@ FROM k JOIN c USING (row), h"""
 
 
 ORACLES["op11_vector_codes"] = _codes_sql()
+
+
+@query
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_spans")
+
+
+# Texts as hexadecimal digits: byte k stands at digits 2k + 1 and 2k + 2.
+ORACLES["op12_suffix_array_dedup"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row, unnest(range(len(h) // 2 - {suffixes.LENGTH - 1})) AS s, h FROM d WHERE len(h) >= {2 * suffixes.LENGTH}),
+k AS (SELECT row, s, md5_number(substr(h, 2 * s + 1, {2 * suffixes.LENGTH})) AS g FROM w),
+f AS (SELECT row, s FROM (SELECT row, s, count(*) OVER (PARTITION BY g) AS n FROM k) WHERE n > 1),
+i AS (SELECT row, s, coalesce(s > lag(s) OVER (PARTITION BY row ORDER BY s) + {suffixes.LENGTH}, true) AS fresh FROM f),
+r AS (SELECT row, run, min(s) AS a, max(s) + {suffixes.LENGTH} AS b FROM
+      (SELECT row, s, sum(fresh::INT) OVER (PARTITION BY row ORDER BY s) AS run FROM i) GROUP BY row, run),
+p AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS since FROM r),
+t AS (SELECT row, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+             string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM p JOIN d USING (row) GROUP BY row)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (row)"""
