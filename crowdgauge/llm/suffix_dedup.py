@@ -13,9 +13,9 @@ prefixes in one sequential pass, and a common prefix is one more than the least
 symbols are in, suffixes whose common prefix with a neighbour reaches ``length`` are windows that occur twice. Reading the transform
 backwards from the end marks gives each document's windows in turn.
 
-Files. What lies between the steps are tables in the shared folder, read and written sequentially. A group's transform and prefixes are
-two byte arrays of a few MB that each round streams over, and rewrites, as a whole; they stay in the task, since a file of one machine
-would be lost with it.
+Files. What lies between the steps are tables in the shared folder, read and written sequentially. A group's transform,
+a list of places for each symbol, and its prefixes are a few MB that each round streams over, and rewrites, as a whole; they stay in
+the task, since a file of one machine would be lost with it.
 
 Hot grams. A gram with more than ``hot`` different segments is dealt by salts to several groups. Each passes on one row for each
 different window it holds; those that two salts hold occur twice as well.
@@ -35,7 +35,7 @@ from .common import arrow_schema, batch_of, split_by_ids, written
 from .ngram_join import mixed
 
 LENGTH = 200
-GROUP_SEGMENTS, HOT = 8_192, 2_048
+GROUP_SEGMENTS, HOT = 1_024, 1_024
 CHUNK = 1 << 18  # windows of a text that are hashed at once
 BASE = 0x9E3779B97F4A7C15  # fixed value: an odd constant for polynomial hashes
 
@@ -119,53 +119,64 @@ def scanned(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 class Collection:
     """Burrows-Wheeler transform and common prefixes of byte strings, built column by column from the ends. Prefixes are
-    counted up to ``most``."""
+    counted up to ``most``.
+
+    The transform is kept as a list of places for each symbol, one list after the other: ``places`` holds symbol << bits | place in
+    order. An entry's number in it, after the end marks, is the place of the suffix that is longer by the symbol."""
 
     def __init__(self, docs: list[bytes], most: int):
         text = np.frombuffer(b"".join(docs), np.uint8)
         used = np.zeros(256, np.int64)
         used[np.unique(text)] = 1
         symbols = np.cumsum(used) * used  # 1, 2, ... by byte; 0 is the mark before a document's first byte
-        kind = np.uint8 if used.sum() < 256 else np.uint16
-        self.text, self.sizes, self.most = symbols[text].astype(kind), np.array([len(d) for d in docs], np.int64), most
-        self.ends = np.cumsum(self.sizes)
-        self.bwt = np.where(self.sizes > 0, self.text[np.maximum(self.ends - 1, 0)] if len(text) else 0, 0).astype(kind)
+        self.sizes, self.most = np.array([len(d) for d in docs], np.int64), most
+        self.ends, self.total = np.cumsum(self.sizes), len(text) + len(docs)
+        small = self.total < 1 << 24 and used.sum() < 256
+        self.kind, self.bits = (np.uint32, 24) if small else (np.uint64, 48)
+        self.text = symbols[text].astype(self.kind) << self.kind(self.bits)
         self.prefix = np.zeros(len(docs), np.uint8 if most < 256 else np.int64)
-        place, doc = np.arange(len(docs)), np.arange(len(docs))
+        self.places = np.zeros(0, self.kind)
+        doc = np.flatnonzero(self.sizes)
+        doc, own, _ = self.entered(doc, doc, 0)
         for column in range(1, int(self.sizes.max(initial=0)) + 1):
-            going = self.sizes[doc] >= column
-            place, doc = self.round(place[going], doc[going], column)
-
-    def ordered(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """(places of the transform by symbol and place, the inverse of that, how many documents are complete)."""
-        by_symbol = np.argsort(self.bwt, kind="stable")
-        rank = np.empty(len(by_symbol), np.int64)
-        rank[by_symbol] = np.arange(len(by_symbol))
-        return by_symbol, rank, int(len(self.bwt) - np.count_nonzero(self.bwt))
-
-    def round(self, place: np.ndarray, doc: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
-        """Adds the symbol in ``column`` from the end to each of these documents, whose current suffixes are at ``place``."""
-        by_symbol, rank, done = self.ordered()
-        own, symbol, last = rank[place], self.bwt[place], len(self.bwt) - 1
-        target = len(self.sizes) + own - done
-        before, after = by_symbol[np.maximum(own - 1, 0)], by_symbol[np.minimum(own + 1, last)]
-        has_before = (own > done) & (self.bwt[before] == symbol)
-        has_after = (own < last) & (self.bwt[after] == symbol)
-        with_before = np.where(has_before, self.common(before, place, has_before), 0)
-        with_after = self.common(place, after, has_after)[has_after]
-        old = np.ones(len(self.bwt) + len(doc), bool)
+            doc, own = self.round(doc, own, column)
+
+    def entered(self, doc: np.ndarray, place: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Enters the symbol before the suffixes of ``column`` symbols at ``place``; (document, number of the entry, place) by entry."""
+        key = self.text[self.ends[doc] - column - 1] | place.astype(self.kind)
+        turn = np.argsort(key)
+        at = np.searchsorted(self.places, key[turn])
+        self.places = np.insert(self.places, at, key[turn])
+        return doc[turn], at + np.arange(len(at)), place[turn]
+
+    def split(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return key >> self.kind(self.bits), (key & self.kind((1 << self.bits) - 1)).astype(np.int64)
+
+    def round(self, doc: np.ndarray, own: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
+        """Adds to each of these documents the suffix of ``column`` symbols, whose first symbol is the entry ``own``."""
+        last = len(self.places) - 1
+        symbol, place = self.split(self.places[own])
+        symbol_before, before = self.split(self.places[np.maximum(own - 1, 0)])
+        symbol_after, after = self.split(self.places[np.minimum(own + 1, last)])
+        has_before, has_after = (own > 0) & (symbol_before == symbol), (own < last) & (symbol_after == symbol)
+        with_before, with_after = self.common(before, place, has_before), self.common(place, after, has_after)[has_after]
+        target = len(self.sizes) + own
+        old = np.ones(len(self.prefix) + len(doc), bool)
         old[target] = False
-        bwt, prefix = np.empty(len(old), self.bwt.dtype), np.empty(len(old), self.prefix.dtype)
-        bwt[old], prefix[old] = self.bwt, self.prefix
-        left = self.sizes[doc] > column
-        bwt[target] = np.where(left, self.text[np.maximum(self.ends[doc] - column - 1, 0)], 0)
+        prefix = np.empty(len(old), self.prefix.dtype)
+        prefix[old] = self.prefix
         prefix[target] = with_before
         prefix[target[has_after] + 1] = with_after
-        self.bwt, self.prefix = bwt, prefix
-        return target, doc
+        self.prefix = prefix
+        # Of the suffixes that were there, those behind k new ones move by k.
+        runs = np.diff(np.concatenate([[0], target - np.arange(len(target)), [len(old) - len(target)]]))
+        shift = np.repeat(np.arange(len(target) + 1, dtype=self.kind), runs)
+        self.places += shift.take(self.places & self.kind((1 << self.bits) - 1), mode="clip")
+        going = self.sizes[doc] > column
+        return self.entered(doc[going], target[going], column)[:2]
 
     def common(self, a: np.ndarray, b: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        """One more than the common prefix of the suffixes at ``a`` < ``b``, where asked."""
+        """One more than the common prefix of the suffixes at ``a`` < ``b``, where asked, else 0."""
         out = np.zeros(len(a), np.int64)
         if asked.any():
             a, b = a[asked] + 1, b[asked] + 1
@@ -178,17 +189,24 @@ class Collection:
             out[asked] = np.minimum(got + 1, self.most)
         return out
 
-    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, start, first of its kind) of all suffixes of ``most`` symbols or more: ``repeats`` says which have an equal prefix
-        elsewhere. Read backwards, all documents at once, from the end marks."""
-        _, rank, done = self.ordered()
+    def transform(self) -> np.ndarray:
+        """The transform itself: at each place the symbol before that suffix, 0 at the start of a document."""
+        symbol, place = self.split(self.places)
+        out = np.zeros(self.total, np.int64)
+        out[place] = symbol
+        return out
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, start, repeats, first of its kind) of all suffixes of ``most`` symbols or more: ``repeats`` says which have an equal
+        prefix elsewhere. Read backwards, all documents at once, from the end marks."""
+        longer = np.zeros(self.total, np.int64)  # the place of the suffix that is longer by a symbol
+        longer[self.split(self.places)[1]] = len(self.sizes) + np.arange(len(self.places))
         equal = np.append(self.prefix >= self.most, False)
         flag, first = equal[:-1] | equal[1:], ~equal[:-1]
         place, doc, out = np.arange(len(self.sizes)), np.arange(len(self.sizes)), []
         for column in range(1, int(self.sizes.max(initial=0)) + 1):
             going = self.sizes[doc] >= column
-            doc = doc[going]
-            place = len(self.sizes) + rank[place[going]] - done
+            doc, place = doc[going], longer[place[going]]
             if column >= self.most:
                 out.append((doc, self.sizes[doc] - column, flag[place], first[place]))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),) * 2
@@ -216,12 +234,14 @@ def in_groups(segments: DataFrame, length: int) -> DataFrame:
         low, high = np.full(len(at), 1 << 30), np.full(len(at), -1)
         np.minimum.at(low, doc[flag], start[flag])
         np.maximum.at(high, doc[flag], start[flag])
-        out = [[rows["gram"][at[k]], rows["digest"][at[k]], int(low[k]), int(high[k]) + length, None, None] for k in np.flatnonzero(high >= 0)]
-        hot = np.array([rows["hot"][k] for k in at], bool)
-        for k, s in zip(doc[m := first & hot[doc]].tolist(), start[m].tolist()):
-            digest = xxhash.xxh3_128_digest(docs[k][s:s + length])
-            out.append([rows["gram"][at[k]], rows["digest"][at[k]], s, s + length, *np.frombuffer(digest, "<i8").tolist()])
-        return pa.Table.from_batches([batch_of(schema, list(zip(*out)) or [[]] * len(schema))])
+        gram, digest, has = (np.array([rows[c][k] for k in at], np.int64) for c in ("gram", "digest", "hot"))
+        own, won = np.flatnonzero(high >= 0), np.flatnonzero(first & (has[doc] == 1))
+        windows = b"".join(xxhash.xxh3_128_digest(docs[k][s:s + length]) for k, s in zip(doc[won].tolist(), start[won].tolist()))
+        windows, none = np.frombuffer(windows, "<i8").reshape(-1, 2), pa.nulls(len(own), pa.int64())
+        both = lambda a, b: pa.array(np.concatenate([a, b]))
+        return pa.table([both(gram[own], gram[doc[won]]), both(digest[own], digest[doc[won]]), both(low[own], start[won]).cast(pa.int32()),
+                         both(high[own] + length, start[won] + length).cast(pa.int32()),
+                         *[pa.concat_arrays([none, pa.array(np.ascontiguousarray(windows[:, k]))]) for k in (0, 1)]], schema=schema)
 
     return segments.groupBy("grp").applyInArrow(run, FOUND)
 
@@ -272,7 +292,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     Null and empty texts have nothing to remove; texts shorter than ``length`` stay whole. Repeated rows are texts of their own and so
     repeat each other; so do rows that share an id. A null id stays null. Other columns are not read; no rows in, no rows out.
     ``gram`` is the size of the grams by which windows are dealt; ``hot`` and ``group_segments`` bound groups, not results."""
-    gram = gram or max(1, length // 4)
+    gram = gram or max(1, length // 2)
     docs = identified(docs, id_col, text_col)
     rows = written(scanned(docs, length, gram), "segments")
     found, segments = repeats(docs.select("id", "tk", "text"), rows, length, hot, group_segments)
