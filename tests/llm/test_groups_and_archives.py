@@ -77,6 +77,52 @@ def test_no_rows_and_null_ids(spark):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "None"]
 
 
+def test_ids_that_clash_are_decided_by_their_own_text(spark):
+    """An id that carries several texts: each is linked, kept or dropped by itself."""
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text), (2, text + " z"), (2, "u v w x y"), (7, "p q r s"), (7, "P q r s"), (7, "p q r s t"), (7, ""), (7, None), (8, "n o"), (8, "n o")]
+    docs = docs_of(spark, rows)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs, 3, 90).collect())
+    assert got == [(1, 38, 1), (2, 3, 2), (2, 39, 1), (7, 0, 7), (7, 0, 7), (7, 2, 7), (7, 2, 7), (7, 3, 7), (8, 1, 8), (8, 1, 8)]
+    kept = sorted((r.doc_id, (r.text or "").lower()) for r in ngram_join.without_near_copies(docs, 3, 90).collect())
+    assert kept == [(1, text), (2, "u v w x y"), (7, ""), (7, ""), (7, "p q r s"), (7, "p q r s t"), (8, "n o")]
+    near = [(5, text), (5, text + " z"), (6, text + " y")]
+    kept = ngram_join.without_near_copies(docs_of(spark, near), 3, 90).collect()
+    assert [r.doc_id for r in kept] == [5]
+
+
+def table_rows(spark, monkeypatch, rows, width=5, percent=80, group_sets=32):
+    """How many rows each table has that the join writes on its way, and the result."""
+    counts, write = {}, ngram_join.written
+
+    def counting(df, name):
+        out = write(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counting)
+    got = ngram_join.ngram_join(docs_of(spark, rows), width, percent, group_sets=group_sets).collect()
+    monkeypatch.setattr(ngram_join, "written", write)
+    return counts, got
+
+
+def test_tables_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    rng, base = random.Random(4), [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(edited(rng, base, 1))) for k in range(800)]
+    half, _ = table_rows(spark, monkeypatch, rows[:400])
+    whole, got = table_rows(spark, monkeypatch, rows)
+    assert {r.component_id for r in got} == {0}
+    assert not {k: (half[k], n) for k, n in whole.items() if n > 2.5 * half[k] + 20}
+
+
+def test_texts_that_share_only_a_passage_are_not_met_again(spark, monkeypatch):
+    rng, passage = random.Random(6), [f"p{k}" for k in range(40)]
+    rows = [(k, " ".join([f"u{k}x{j}" for j in range(rng.randrange(60, 90))] + passage)) for k in range(500)]
+    counts, got = table_rows(spark, monkeypatch, rows)
+    assert counts["large-keys"] > 200 and counts["rooted"] <= counts["large-keys"] / 5
+    assert all(r.component_id == r.doc_id for r in got)
+
+
 def test_a_large_group_gives_few_links(spark):
     rng = random.Random(1)
     text = [f"w{k}" for k in range(120)]
