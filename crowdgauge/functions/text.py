@@ -126,7 +126,12 @@ def has_term(lower_text, term) -> Column:
 
 def term_position(text, term) -> Column:
     """0-based position of the first mention, -1 when absent."""
-    low, t = F.lower(norm_text(text)), F.lower(_text(term))
+    return position_in(F.lower(norm_text(text)), term)
+
+
+def position_in(lower_text, term) -> Column:
+    """``term_position`` in text that is already normalised and in lower case."""
+    low, t = F.col(lower_text) if isinstance(lower_text, str) else lower_text, F.lower(_text(term))
     return F.when(t == "", F.lit(-1)).when(
         is_latin_term(term), F.regexp_instr(low, bounded_pattern(term)) - 1
     ).otherwise(F.instr(low, t) - 1)

@@ -15,6 +15,7 @@ from ..functions import values as V
 from ..session import checkpointed
 from . import heat
 from .dedup import cluster_sizes
+from .facts import with_facts
 
 ITEM_COLUMNS = ["ticker", "type", "id", "text", "prompt_text", "likes", "ts", "url", "substance",
                 "aside", "cluster_size", "fanout", "unit", "unit_likes", "depth"]
@@ -26,62 +27,46 @@ SIMILAR = "相似"
 ROUNDUP = ("盘点·提及", "股")
 ASIDE_MARK = "顺带提及"
 REPLY_OPEN, REPLY_CLOSE = "回复「", "」: "
-UNDER_POST = "主帖下的评论"
-UNDER_TITLED = ("主帖「", "」下的评论")
 REPLY_ARROW = "↳ "
 
 
-def note_items(mentions: DataFrame, notes: DataFrame, cutoff_ms: int) -> DataFrame:
-    """Canonical notes with readable prose, as excerpts around the first mention."""
-    window = heat.grouped(mentions.filter(F.col("content_time_ms") >= cutoff_ms), "note")
-    # Notes that name nothing fall out of the join before their texts are cleaned.
+def note_items(mentions: DataFrame, notes: DataFrame, comments: DataFrame, cutoff_ms: int) -> DataFrame:
+    """Canonical notes with readable prose, as excerpts around the first mention, which the mentions' facts hold."""
+    window = mentions.filter((F.col("content_time_ms") >= cutoff_ms) & (F.col("source_type") == "note"))
+    told = with_facts(window, notes, comments).select(
+        F.col("source_id").alias("id"), "ticker", F.col("facts.excerpt").alias("text"), F.col("facts.aside").alias("aside"),
+        T.substance("facts.excerpt").alias("substance")).filter(F.col("substance") >= K.MIN_NOTE_SUBSTANCE)
     n = notes.filter(F.col("dup_group_id").isNull()).select(
-        F.col("note_id").alias("source_id"), "title", "note_desc", F.coalesce("liked_count", F.lit(0)).alias("likes"),
+        F.col("note_id").alias("id"), F.coalesce("liked_count", F.lit(0)).alias("likes"),
         F.col("publish_time_ms").alias("ts"), F.col("note_url").alias("url"))
-    rows = n.join(window, "source_id").select(
-        F.col("source_id").alias("id"), "likes", "ts", "url", "named", T.clean_tags(T.note_text("title", "note_desc")).alias("full"))
-    # Positions are computed inside the array, ahead of the explode: the filter on the excerpt
-    # below would otherwise be rewritten in terms of the whole text and repeat the search.
-    low = rows.withColumn("low", F.lower(T.norm_text("full")))
-    found = low.select("id", "likes", "ts", "url", F.inline(F.transform("named", lambda m: F.struct(
-        m["ticker"].alias("ticker"), F.col("full").alias("full"),
-        T.term_position(F.col("low"), m["matched_alias"]).alias("pos"),
-        ((F.length("full") >= K.ASIDE_MIN_LEN) & T.at_most_once(F.col("low"), m["matched_alias"])).alias("aside")))))
-    rows = found.select("ticker", "id", "likes", "ts", "url", T.excerpt("full", "pos").alias("text"), "aside")
-    return rows.withColumn("substance", T.substance("text")).filter(
-        F.col("substance") >= K.MIN_NOTE_SUBSTANCE)
-
-
-def thread_heads(mentions: DataFrame, notes: DataFrame, cutoff_ms: int) -> DataFrame:
+    return told.join(n, "id").select("ticker", "id", "likes", "ts", "url", "text", "aside", "substance")
+
+
+def thread_heads(mentions: DataFrame, notes: DataFrame, comments: DataFrame, cutoff_ms: int) -> DataFrame:
     """(ticker, note_id, head) for notes focused enough that a comment below reacts to the entity."""
     window = mentions.filter(F.col("content_time_ms") >= cutoff_ms)
     fan = heat.source_fanout(window, cutoff_ms).filter(
         (F.col("source_type") == "note") & (F.col("fanout") <= K.THREAD_FANOUT_MAX))
-    focused = window.filter("source_type = 'note'").join(
-        fan.select("source_id"), "source_id", "left_semi").select(
-        "ticker", F.col("source_id").alias("note_id"))
-    title = F.substring(T.clean_tags("title"), 1, K.TITLE_SNIPPET)
-    readable = T.substance(T.clean_tags(T.note_text("title", "note_desc"))) >= K.MIN_NOTE_SUBSTANCE
-    head = F.when(readable, F.concat(F.lit(UNDER_TITLED[0]), title, F.lit(UNDER_TITLED[1]))).otherwise(
-        F.lit(UNDER_POST))
-    return focused.join(notes.select("note_id", head.alias("head")), "note_id")
+    focused = with_facts(window.filter("source_type = 'note'"), notes, comments).join(fan.select("source_id"), "source_id", "left_semi").select(
+        "ticker", F.col("source_id").alias("note_id"), F.col("facts.head").alias("head"))
+    return focused.join(notes.select("note_id"), "note_id", "left_semi")
 
 
 def _comment_fields() -> list[Column]:
-    return [F.col("comment_id").alias("id"), F.col("content"), F.col("note_id"),
+    return [F.col("comment_id").alias("id"), F.col("note_id"),
             F.coalesce("like_count", F.lit(0)).alias("likes"), F.col("create_time_ms").alias("ts"),
             F.when(F.col("parent_comment_id") != "", F.col("parent_comment_id")).alias("parent")]
 
 
 def picked_comments(mentions: DataFrame, notes: DataFrame, comments: DataFrame,
                     cutoff_ms: int, per_note: int = K.THREAD_PER_NOTE) -> DataFrame:
-    """Direct mentions, and the ``per_note`` most liked comments under focused notes."""
+    """Direct mentions, and the ``per_note`` most liked comments under focused notes; without their texts."""
     canonical = comments.filter(F.col("dup_group_id").isNull())
     direct = mentions.filter(
         (F.col("content_time_ms") >= cutoff_ms) & (F.col("source_type") == "comment")
     ).select("ticker", F.col("source_id").alias("id")).join(
         canonical.select(*_comment_fields()), "id").withColumn("head", F.lit(None).cast("string"))
-    heads = thread_heads(mentions, notes, cutoff_ms)
+    heads = thread_heads(mentions, notes, comments, cutoff_ms)
     below = heads.join(
         canonical.filter(F.col("create_time_ms") >= cutoff_ms).select(*_comment_fields()), "note_id"
     ).join(direct.select("ticker", "id"), ["ticker", "id"], "left_anti")
@@ -101,11 +86,18 @@ def with_parents(picked: DataFrame, comments: DataFrame) -> DataFrame:
     return picked.unionByName(context.select(*picked.columns))
 
 
+def lines_of(comments: DataFrame) -> DataFrame:
+    """(id, line, substance, kept): of each comment as much as a card shows, and what the whole of it is worth."""
+    rows = comments.select(F.col("comment_id").alias("id"), T.squeeze("content").alias("_line"))
+    return rows.select("id", F.substring("_line", 1, K.COMMENT_TRUNC).alias("line"), T.substance("_line").alias("substance"),
+                       T.is_bot_prompt("_line").alias("_bot")).select(
+        "id", "line", "substance", (~F.col("_bot") & (F.col("substance") >= K.MIN_COMMENT_SUBSTANCE)).alias("kept"))
+
+
 def thread_items(picked: DataFrame, comments: DataFrame) -> DataFrame:
-    """Picked comments as conversation lines: text for a card, text for a prompt, thread, depth."""
-    rows = with_parents(picked, comments).withColumn("line", T.squeeze("content"))
-    rows = checkpointed(rows.withColumn("substance", T.substance("line")).withColumn(
-        "kept", ~T.is_bot_prompt("line") & (F.col("substance") >= K.MIN_COMMENT_SUBSTANCE)))
+    """Picked comments as conversation lines: text for a card, text for a prompt, thread, depth. Lines are cut where comments are
+    scanned, so no longer text moves."""
+    rows = checkpointed(with_parents(picked, comments).join(lines_of(comments), "id"))
     parent = rows.select(
         "ticker", F.col("id").alias("parent"),
         F.substring("line", 1, K.PARENT_SNIPPET).alias("snippet"),
@@ -140,7 +132,7 @@ def gather(mentions: DataFrame, notes: DataFrame, comments: DataFrame, window_ms
         F.lit("comment").alias("type"), F.col("comment_id").alias("id"), "cluster_size"))
     fan = heat.source_fanout(mentions, cutoff).select(
         F.col("source_type").alias("type"), F.col("source_id").alias("id"), "fanout")
-    n = note_items(mentions, notes, cutoff).withColumns({
+    n = note_items(mentions, notes, comments, cutoff).withColumns({
         "type": F.lit("note"), "prompt_text": F.col("text"), "unit": F.col("id"),
         "unit_likes": F.col("likes"), "depth": F.lit(0)})
     # The picked comments are read by parents, threads and lines: written once, not planned once for each.

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import text as T
 from ..functions import values as V
+from .facts import with_facts
 
 SOURCE = ["source_type", "source_id"]
 
@@ -52,72 +52,38 @@ def comment_mentions(mentions: DataFrame, comments: DataFrame) -> DataFrame:
     return mentions.filter("source_type = 'comment'").join(c, "source_id")
 
 
-def grouped(mentions: DataFrame, source_type: str) -> DataFrame:
-    """(source_id, named): the mentions of each source as one array, at most one per entity.
-
-    Joining sources with this array keeps the join one to one, so a text is shuffled and
-    prepared once however many entities it names.
-    """
-    extra = ["is_index"] if "is_index" in mentions.columns else []
-    arrays = mentions.filter(F.col("source_type") == source_type).groupBy("source_id").agg(
-        F.collect_list(F.struct("ticker", "matched_alias", "content_time_ms", *extra)).alias("named"))
-    return arrays
-
-
 def scored_sources(mentions: DataFrame, notes: DataFrame, comments: DataFrame,
                    cutoffs: dict[str, int], non_stocks: DataFrame,
                    source_cutoff_ms: int | None = None) -> DataFrame:
     """One row per mention and window with everything the score needs. Fan-out is counted in the
-    source's own array, so no window function is needed.
+    source's own array, so no window function is needed. Texts are not read: mentions bring their facts, and of
+    notes and comments only likes and cluster are looked up.
 
     Where mention times equal source times, as in tables this library writes, pass the cutoff as
     ``source_cutoff_ms`` too: old sources are then skipped at the scan.
     """
-    window = with_kind(mentions.filter(F.col("content_time_ms") >= min(cutoffs.values())), non_stocks)
-
-    def exploded(df: DataFrame, prepared: list[str]) -> DataFrame:
-        """One row per (window, mention). Prepared columns travel inside the array: Spark would
-        otherwise put off computing them and repeat it for every row of the explode."""
-        def inside(name: str, cutoff: int) -> Column:
-            return F.transform(
-                F.filter("named", lambda m: m["content_time_ms"] >= cutoff),
-                lambda m: F.struct(F.lit(name).alias("window"), m.alias("m")))
-
-        per_window = F.concat(*[inside(*w) for w in cutoffs.items()])
-        peers = F.transform(per_window, lambda x: F.struct(
-            x["window"].alias("window"), x["m"].alias("m"),
-            F.size(F.filter(per_window, lambda y: (y["window"] == x["window"]) & (
-                y["m"]["is_index"] == x["m"]["is_index"]))).alias("k"),
-            *[F.col(c).alias(c) for c in prepared]))
-        return df.select("source_id", "likes", "canonical", F.explode(peers).alias("x")).select(
-            "source_id", "likes", "canonical", "x.window", "x.m.ticker", "x.m.matched_alias",
-            "x.m.content_time_ms", F.col("x.k").alias("fanout"), *[f"x.{c}" for c in prepared])
-
+    told = with_facts(mentions.filter(F.col("content_time_ms") >= min(cutoffs.values())), notes, comments)
+    window = with_kind(told, non_stocks)
     if source_cutoff_ms is not None:
         notes = notes.filter(F.col("publish_time_ms") >= source_cutoff_ms)
         comments = comments.filter(F.col("create_time_ms") >= source_cutoff_ms)
     canonical = F.col("dup_group_id").isNull().alias("canonical")
-    raw = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("note_desc", F.lit("")))
-    # Texts are prepared where they are scanned, before the join moves them.
-    n = notes.select(F.col("note_id").alias("source_id"), F.col("liked_count").alias("likes"), canonical,
-                     T.clean_tags(T.note_text("title", "note_desc")).alias("text"),
-                     F.lower(T.strip_hashtags(T.norm_text(raw))).alias("prose"))
-    n = n.select("source_id", "likes", "canonical", F.lower(T.norm_text("text")).alias("low"),
-                 "prose", F.length("text").alias("chars"), F.substring("text", 1, K.TOP_QUOTE_LEN).alias("quote"),
-                 (T.substance("text") >= K.QUOTE_MIN_SUBSTANCE).alias("readable"))
-    n = exploded(n.join(grouped(window, "note"), "source_id"), ["low", "prose", "chars", "quote", "readable"]).select(
-        F.lit("note").alias("source_type"), "source_id", "window", "ticker", "content_time_ms", "likes",
-        "fanout", "canonical", "readable", "quote",
-        ((F.col("chars") >= K.ASIDE_MIN_LEN) & T.at_most_once("low", "matched_alias")).alias("aside"),
-        T.has_term("prose", "matched_alias").alias("in_prose"))
-    line = T.squeeze("content")
-    c = comments.select(F.col("comment_id").alias("source_id"), F.col("like_count").alias("likes"), canonical,
-                        F.substring(line, 1, K.TOP_QUOTE_LEN).alias("quote"),
-                        (T.substance(line) >= K.QUOTE_MIN_SUBSTANCE).alias("readable"))
-    c = exploded(c.join(grouped(window, "comment"), "source_id"), ["quote", "readable"]).select(
-        F.lit("comment").alias("source_type"), "source_id", "window", "ticker", "content_time_ms", "likes",
-        "fanout", "canonical", "readable", "quote", F.lit(False).alias("aside"), F.lit(True).alias("in_prose"))
-    return n.unionByName(c)
+    sources = notes.select(F.lit("note").alias("source_type"), F.col("note_id").alias("source_id"), F.col("liked_count").alias("likes"), canonical).unionByName(
+        comments.select(F.lit("comment").alias("source_type"), F.col("comment_id").alias("source_id"), F.col("like_count").alias("likes"), canonical))
+    needed = F.struct("ticker", "content_time_ms", "is_index", *[F.col(f"facts.{c}").alias(c) for c in ("aside", "in_prose", "readable", "quote")])
+    named = window.groupBy(*SOURCE).agg(F.collect_list(needed).alias("named"))
+
+    def inside(name: str, cut: int) -> Column:
+        return F.transform(F.filter("named", lambda m: m["content_time_ms"] >= cut), lambda m: F.struct(F.lit(name).alias("window"), m.alias("m")))
+
+    per_window = F.concat(*[inside(*w) for w in cutoffs.items()])
+    peers = F.transform(per_window, lambda x: F.struct(
+        x["window"].alias("window"), x["m"].alias("m"),
+        F.size(F.filter(per_window, lambda y: (y["window"] == x["window"]) & (y["m"]["is_index"] == x["m"]["is_index"]))).alias("fanout")))
+    # The fan-out is counted before the join, which then is one to one and moves what the explode needs.
+    counted = named.select(*SOURCE, peers.alias("named"))
+    return counted.join(sources, SOURCE).select(*SOURCE, "likes", "canonical", F.inline("named")).select(
+        *SOURCE, "window", "m.ticker", "m.content_time_ms", "likes", "fanout", "canonical", "m.readable", "m.quote", "m.aside", "m.in_prose")
 
 
 def _stats(sources: DataFrame, groups: list[str]) -> DataFrame:

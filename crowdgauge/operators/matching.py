@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from .dictionary import Dictionary, inlined, match_terms_of, tracked_queries, trap_phrases
+from .facts import with_facts
 
 OTHER_CHAR = r"[^0-9a-z&.\- ]"
 
@@ -191,30 +192,34 @@ def mention_texts(notes: DataFrame, comments: DataFrame, cutoff_ms: int,
 
 def extract_mentions(notes: DataFrame, comments: DataFrame, dictionary: Dictionary, window_ms: int,
                      now_ms: int, tracked: DataFrame | None = None,
-                     run_id: int | None = None) -> DataFrame:
-    """One pass of the matcher over the window."""
+                     run_id: int | None = None, facts: bool = False) -> DataFrame:
+    """One pass of the matcher over the window. With ``facts`` each mention also tells what heat and evidence ask of its text: the
+    one time that texts which name something meet their mentions."""
     queries = tracked_queries(dictionary, tracked) if tracked is not None else None
     texts = mention_texts(notes, comments, now_ms - window_ms, queries)
-    return extract(texts, dictionary, tracked).withColumn("run_id", F.lit(run_id).cast("bigint"))
+    found = extract(texts, dictionary, tracked).withColumn("run_id", F.lit(run_id).cast("bigint"))
+    return with_facts(found, notes, comments) if facts else found
 
 
 def refresh_mentions(existing: DataFrame, produced: DataFrame, cutoff_ms: int) -> DataFrame:
     """Merge a pass into the mention table.
 
-    A stronger basis replaces alias and basis; time and run of the first insert stay; rows in
+    A stronger basis replaces alias, basis and facts; time and run of the first insert stay; rows in
     the window that the pass no longer produces are gone; older rows are kept.
     """
     key = ["ticker", "source_type", "source_id"]
-    both = existing.withColumn("_new", F.lit(0)).unionByName(produced.withColumn("_new", F.lit(1)))
+    told = ["facts"] if "facts" in existing.columns and "facts" in produced.columns else []
+    names = [*key, "note_id", "content_time_ms", "run_id", "matched_alias", "match_basis", *told]
+    both = existing.select(*names, F.lit(0).alias("_new")).unionByName(produced.select(*names, F.lit(1).alias("_new")))
     merged = both.groupBy(*key).agg(
         F.min_by(F.struct("note_id", "content_time_ms", "run_id"), "_new").alias("first"),
-        F.min_by(F.struct("matched_alias", "match_basis"),
+        F.min_by(F.struct("matched_alias", "match_basis", *told),
                  F.struct(-strength(F.col("match_basis")), F.col("_new"))).alias("best"),
         F.max("_new").alias("_new"),
     )
     return merged.filter((F.col("_new") == 1) | (F.col("first.content_time_ms") < cutoff_ms)).select(
         *key, "first.note_id", "best.matched_alias", "best.match_basis",
-        "first.content_time_ms", "first.run_id",
+        "first.content_time_ms", "first.run_id", *[f"best.{c}" for c in told],
     )
 
 

@@ -32,7 +32,7 @@ def run_cycle(notes: DataFrame, comments: DataFrame, dictionary: Dictionary, now
     """``notes`` must carry ``simhash``. Duplicates and mentions use the context window, boards
     the fresh one; both sets of statistics come from one scan."""
     marked_notes, marked_comments = dedup.recompute(notes, comments, context_ms, now_ms, radius)
-    mentions = matching.extract_mentions(marked_notes, marked_comments, dictionary, context_ms, now_ms, tracked, run_id)
+    mentions = matching.extract_mentions(marked_notes, marked_comments, dictionary, context_ms, now_ms, tracked, run_id, facts=True)
     stats = heat.compute_windows(mentions, marked_notes, marked_comments,
                                  {"fresh": fresh_ms, "context": context_ms}, now_ms, non_stocks(dictionary),
                                  prune_sources=True)

@@ -22,15 +22,15 @@ def ms_of(ts: Column) -> Column:
         + F.minute(ts) * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("bigint"))
 
 
-def marked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def marked_notes(spark: SparkSession, sf_dir: str, ingested: DataFrame | None = None) -> DataFrame:
     """Notes whose exact copies point at the most liked one (a cheap stand-in for the fingerprint
     pass, which has queries of its own)."""
-    n = notes(spark, sf_dir).withColumn("_norm", T.norm_for_hash("note_desc"))
+    n = (notes(spark, sf_dir) if ingested is None else ingested).withColumn("_norm", T.norm_for_hash("note_desc"))
     return dedup.mark_exact(n, "_norm", "note_id", "liked_count", "publish_time_ms", CONTEXT_MS, NOW_MS).drop("_norm")
 
 
-def marked_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.mark_comments(comments(spark, sf_dir), CONTEXT_MS, NOW_MS)
+def marked_comments(spark: SparkSession, sf_dir: str, ingested: DataFrame | None = None) -> DataFrame:
+    return dedup.mark_comments(comments(spark, sf_dir) if ingested is None else ingested, CONTEXT_MS, NOW_MS)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

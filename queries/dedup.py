@@ -60,8 +60,7 @@ def _(t):
 @Q.add("c03_dedup_counts", "near comments", MARKED + """ SELECT (SELECT count(*) FROM marks WHERE dup_group_id IS NOT NULL) AS note_dups,
   (SELECT count(*) FROM comments WHERE dup_group_id IS NOT NULL) AS comment_dups""")
 def _(t):
-    from crowdgauge.sources import corpus
-    n, c = DD.recompute(t.fingerprinted, corpus.comments(t.spark, t.dir), t.context, t.now)
+    n, c = DD.recompute(t.fingerprinted, t.ingested_comments, t.context, t.now)
     return DD.dup_counts(n, c, t.context, t.now)
 
 
@@ -72,6 +71,5 @@ NEAR_NOTES = "n2 AS (SELECT n.* EXCLUDE (dup_group_id), m.dup_group_id FROM note
        + stats_sql(CUT).replace("JOIN notes n ON", "JOIN n2 n ON").replace("FROM notes n)", "FROM n2 n)")
        + ") SELECT ticker, mentions, note_count, comment_count, focused_mentions, score FROM st")
 def _(t):
-    from crowdgauge.sources import corpus
-    c = run_cycle(t.fingerprinted, corpus.comments(t.spark, t.dir), t.dictionary, t.now, tracked=t.tracked, run_id=7)
+    c = run_cycle(t.fingerprinted, t.ingested_comments, t.dictionary, t.now, tracked=t.tracked, run_id=7)
     return c.stats.filter("window = 'context'").select("ticker", "mentions", "note_count", "comment_count", "focused_mentions", "score")

@@ -24,24 +24,24 @@ def _(t):
 
 @Q.add("c07_thread_lines", "thread_items", "SELECT ticker, id, text, prompt_text, depth, unit, unit_likes FROM thread_items")
 def _(t):
-    picked = E.picked_comments(t.mentions, t.notes, t.comments, t.now - t.context)
+    picked = E.picked_comments(t.told_mentions, t.notes, t.comments, t.now - t.context)
     return E.thread_items(picked, t.comments).select("ticker", "id", "text", "prompt_text", "depth", "unit", "unit_likes")
 
 
 @Q.add("j18_reply_parents", "thread_rows", "SELECT ticker, id, parent FROM thread_rows")
 def _(t):
-    picked = E.picked_comments(t.mentions, t.notes, t.comments, t.now - t.context)
+    picked = E.picked_comments(t.told_mentions, t.notes, t.comments, t.now - t.context)
     return E.with_parents(picked, t.comments).select("ticker", "id", "parent")
 
 
 @Q.add("w07_top_comments_per_note", "picked", "SELECT ticker, id, head FROM picked WHERE head IS NOT NULL")
 def _(t):
-    return E.picked_comments(t.mentions, t.notes, t.comments, t.now - t.context).filter("head IS NOT NULL").select("ticker", "id", "head")
+    return E.picked_comments(t.told_mentions, t.notes, t.comments, t.now - t.context).filter("head IS NOT NULL").select("ticker", "id", "head")
 
 
 @Q.add("w08_thread_likes", "thread_items", "SELECT DISTINCT ticker, unit, unit_likes FROM thread_items")
 def _(t):
-    picked = E.picked_comments(t.mentions, t.notes, t.comments, t.now - t.context)
+    picked = E.picked_comments(t.told_mentions, t.notes, t.comments, t.now - t.context)
     return E.thread_items(picked, t.comments).select("ticker", "unit", "unit_likes").distinct()
 
 

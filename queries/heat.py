@@ -6,7 +6,6 @@ from crowdgauge.operators import dedup as DD
 from crowdgauge.operators import heat as H
 from crowdgauge.operators import keywords as KW
 from crowdgauge.operators import tables as TB
-from crowdgauge.sources import corpus
 
 from .base import Registry
 from .sqlparts import CUT
@@ -36,8 +35,8 @@ def _(t):
 
 @Q.add("j05_known_note_comments", "comments0 notes0", "SELECT comment_id FROM comments0 c WHERE EXISTS (SELECT 1 FROM notes0 n WHERE n.note_id = c.note_id AND n.liked_count >= 300)")
 def _(t):
-    n = corpus.notes(t.spark, t.dir).filter("liked_count >= 300")
-    return corpus.comments(t.spark, t.dir).join(n.select("note_id"), "note_id", "left_semi").select("comment_id")
+    n = t.ingested_notes.filter("liked_count >= 300")
+    return t.ingested_comments.join(n.select("note_id"), "note_id", "left_semi").select("comment_id")
 
 
 @Q.add("j06_unmatched_notes", "mentions notes", "SELECT note_id FROM notes n WHERE dup_group_id IS NULL AND NOT EXISTS (SELECT 1 FROM mentions m WHERE m.source_type = 'note' AND m.source_id = n.note_id)")
@@ -48,7 +47,7 @@ def _(t):
 
 @Q.add("j07_notes_without_comments", "notes0 comments0", "SELECT note_id FROM notes0 n WHERE NOT EXISTS (SELECT 1 FROM comments0 c WHERE c.note_id = n.note_id)")
 def _(t):
-    return TB.without_comments(corpus.notes(t.spark, t.dir), corpus.comments(t.spark, t.dir)).select("note_id")
+    return TB.without_comments(t.ingested_notes, t.ingested_comments).select("note_id")
 
 
 YIELD = """SELECT n.source_keyword AS keyword, count(DISTINCT n.note_id) AS notes, count(DISTINCT m.source_id) AS with_stock,
@@ -63,12 +62,12 @@ def yields(df):
 
 @Q.add("g11_keyword_yield", "mentions notes0", YIELD.format("true"))
 def _(t):
-    return yields(KW.yield_stats(corpus.notes(t.spark, t.dir), t.mentions))
+    return yields(KW.yield_stats(t.ingested_notes, t.mentions))
 
 
 @Q.add("j08_keyword_yield_of_run", "mentions notes0", YIELD.format("n.last_seen_run_id = 2"))
 def _(t):
-    return yields(KW.yield_stats(corpus.notes(t.spark, t.dir), t.mentions, run_id=2))
+    return yields(KW.yield_stats(t.ingested_notes, t.mentions, run_id=2))
 
 
 @Q.add("g01_source_tickers", "mentions", "SELECT source_type, source_id, array_to_string(list_sort(list(DISTINCT ticker)), ',') AS tickers FROM mentions GROUP BY 1, 2")

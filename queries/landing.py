@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from crowdgauge import schemas as S
 from crowdgauge.operators import keywords as KW
-from crowdgauge.sources import corpus
 from crowdgauge.sources import landing as LD
 
 from .base import Registry
@@ -41,7 +40,7 @@ FOLD = f"""SELECT note_id, arg_max(title, line_no) AS title, arg_max(liked_count
   SELECT coalesce(o.note_id, f.note_id) AS note_id, coalesce(f.title, o.title) AS title, coalesce(f.liked_count, o.liked_count) AS liked_count, coalesce(o.publish_time_ms, f.publish_time_ms) AS publish_time_ms,
     CASE WHEN o.note_id IS NULL THEN 9 ELSE 1 END AS first_seen_run_id, CASE WHEN f.note_id IS NULL THEN 1 ELSE 9 END AS last_seen_run_id FROM o FULL JOIN f ON f.note_id = o.note_id""")
 def _(t):
-    old = corpus.notes(t.spark, t.dir).filter("liked_count >= 500").select(
+    old = t.ingested_notes.filter("liked_count >= 500").select(
         "note_id", "title", "note_desc", "liked_count", "publish_time_ms", "source_keyword", F.lit(1).cast("bigint").alias("first_seen_run_id"),
         F.lit(1).cast("bigint").alias("last_seen_run_id"), F.lit(0).cast("bigint").alias("fetched_at_ms"))
     return LD.ingest_notes(old, notes_in(t), 9, t.context, t.now).select("note_id", "title", "liked_count", "publish_time_ms", "first_seen_run_id", "last_seen_run_id")
@@ -51,7 +50,7 @@ def _(t):
   CASE WHEN length(regexp_replace(lower(content), '[^0-9a-z一-鿿]+', '', 'g')) >= 8 THEN regexp_replace(lower(content), '[^0-9a-z一-鿿]+', '', 'g') END AS content_norm_hash
   FROM land_c c WHERE ts >= {CUT} AND EXISTS (SELECT 1 FROM notes0 n WHERE n.note_id = c.note_id AND n.liked_count >= 200)""")
 def _(t):
-    known = corpus.notes(t.spark, t.dir).filter("liked_count >= 200")
+    known = t.ingested_notes.filter("liked_count >= 200")
     return LD.comment_rows(comments_in(t), known, 9, t.context, t.now).select("comment_id", "note_id", "like_count", "create_time_ms", "content_norm_hash")
 
 
@@ -59,7 +58,7 @@ def _(t):
   (SELECT count(*) FROM land_c WHERE ts IS NOT NULL) AS comments_seen, (SELECT count(*) FROM land_c c WHERE ts >= {CUT} AND note_id IN (SELECT note_id FROM notes0)) AS comments_fresh,
   (SELECT count(*) FROM land_n WHERE {BAD_N}) + (SELECT count(*) FROM land_c WHERE ts IS NULL) AS malformed""")
 def _(t):
-    return LD.accounting(notes_in(t), comments_in(t), corpus.notes(t.spark, t.dir), t.context, t.now)
+    return LD.accounting(notes_in(t), comments_in(t), t.ingested_notes, t.context, t.now)
 
 
 @Q.add("j22_keyword_attribution", "land_n land_c", """

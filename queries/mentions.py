@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from crowdgauge.operators import dictionary as D
 from crowdgauge.operators import matching as M
-from crowdgauge.sources import corpus
 
 from .base import Registry
 from .sqlparts import CUT, FRESH_CUT
@@ -14,7 +13,7 @@ M_COLS = "ticker, source_type, source_id, note_id, matched_alias, match_basis, c
 
 
 def unmarked(t):
-    return corpus.notes(t.spark, t.dir), corpus.comments(t.spark, t.dir)
+    return t.ingested_notes, t.ingested_comments
 
 
 def texts(t):

@@ -187,8 +187,7 @@ def _(t):
 
 @Q.add("p01_freshness", "notes0", "SELECT note_id, publish_time_ms FROM notes0 WHERE publish_time_ms >= {}".format(1704153600000 + 28 * K.DAY_MS - K.DAY_MS))
 def _(t):
-    from crowdgauge.sources import corpus
-    return corpus.notes(t.spark, t.dir).filter(F.col("publish_time_ms") >= t.now - t.fresh).select("note_id", "publish_time_ms")
+    return t.ingested_notes.filter(F.col("publish_time_ms") >= t.now - t.fresh).select("note_id", "publish_time_ms")
 
 
 @Q.add("p02_canonical", "notes comments", "SELECT note_id AS id FROM notes WHERE dup_group_id IS NULL UNION ALL SELECT comment_id FROM comments WHERE dup_group_id IS NULL")
