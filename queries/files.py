@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crowdgauge import schemas as S
 from crowdgauge.session import ensure_checkpoint_dir
+from crowdgauge.sources import growing as GR
 from crowdgauge.sources import landing as LD
 from crowdgauge.sources.store import KeyedTable
 from crowdgauge.streaming import pipelines as SP
@@ -43,14 +44,35 @@ def landing_comments(t):
                                          F.lit(t.now).cast("string").alias("create_time"))
 
 
-@Q.add("a12_log_lines", "", """SELECT run, CAST(n AS BIGINT) AS lineno, line FROM (
-  SELECT conv_id % 5 AS run, replace(replace(text, chr(10), ' '), chr(13), ' ') AS line, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY conv_id % 5) AS total
-  FROM conversations WINDOW w AS (PARTITION BY conv_id % 5 ORDER BY conv_id, turn))""")
-def _(t):
+RUN = "conv_id // 40"  # conversations of one log, so that the number of logs follows the table
+
+
+def logs_of(t):
+    """The conversations as one log for each run; returns the folder."""
     path = folder(t, "logs")
-    c = t.raw("conversations").select((F.col("conv_id") % 5).alias("run"), "conv_id", "turn", F.translate("text", "\n\r", "  ").alias("value"))
+    c = t.raw("conversations").select(F.floor(F.col("conv_id") / 40).alias("run"), "conv_id", "turn", F.translate("text", "\n\r", "  ").alias("value"))
     c.repartition("run").sortWithinPartitions("run", "conv_id", "turn").select("run", "value").write.partitionBy("run").text(path)
-    return LD.read_logs(t.spark, path).select(F.regexp_extract("file", "run=([0-9]+)", 1).cast("long").alias("run"), "lineno", "line")
+    return path
+
+
+def run_of(file):
+    return F.regexp_extract(file, "run=([0-9]+)", 1).cast("long").alias("run")
+
+
+LOG_SQL = f"SELECT {RUN} AS run, replace(replace(text, chr(10), ' '), chr(13), ' ') AS line, conv_id, turn FROM conversations"
+
+
+@Q.add("a12_log_lines", "", f"SELECT CAST(run AS BIGINT) AS run, row_number() OVER (PARTITION BY run ORDER BY conv_id, turn) - 1 AS lineno, line FROM ({LOG_SQL})")
+def _(t):
+    return LD.read_logs(t.spark, logs_of(t)).select(run_of("file"), "lineno", "line")
+
+
+@Q.add("a12_log_slice", "", f"""SELECT CAST(run AS BIGINT) AS run, CAST(start AS BIGINT) AS start, line FROM (
+  SELECT run, line, sum(strlen(line) + 1) OVER (PARTITION BY run ORDER BY conv_id, turn) - strlen(line) - 1 AS start FROM ({LOG_SQL})) WHERE start >= 1000""")
+def _(t):
+    # From the byte before, so that a line which starts at 1000 is told from the rest of one that doesn't.
+    rows = GR.line_slice(t.spark, logs_of(t), "*.txt", start=999)
+    return rows.filter("start >= 1000").select(run_of("file"), "start", "line")
 
 
 @Q.add("g21_line_counts", "", """SELECT 'search_contents' AS prefix, count(*) AS lines FROM documents UNION ALL SELECT 'search_comments', count(*) FROM conversations""")
@@ -61,13 +83,33 @@ def _(t):
     return LD.line_counts(t.spark, path)
 
 
+def grown(t, df, path, prefix, late=None):
+    """JSON lines dealt to files by id; rows for which ``late`` holds come last in their file. Without them the files are the
+    beginnings of what they are with them."""
+    spark, raw = t.spark, f"{path}/_raw-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct(*df.columns)).alias("value")
+    rows = df.select("note_id", (late if late is not None else F.lit(False)).alias("late"), line)
+    rows.repartition(8, "note_id").sortWithinPartitions("late", "note_id").select("value").write.text(raw)
+    jvm = spark._jvm
+    at, to = jvm.org.apache.hadoop.fs.Path(raw), jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in (x.getPath().getName() for x in fs.listStatus(at)):
+        if f.startswith("part-"):
+            file = jvm.org.apache.hadoop.fs.Path(to, f"{prefix}_{f[5:10]}.jsonl")
+            fs.delete(file, False)
+            fs.rename(jvm.org.apache.hadoop.fs.Path(at, f), file)
+
+
 @Q.add("st01_landing_stream", "", """SELECT CAST(doc_id AS VARCHAR) AS note_id, md5(text) AS digest FROM documents""")
 def _(t):
-    path = folder(t, "landing")
-    written(landing_notes(t), path, "search_contents")
+    path, notes, late = folder(t, "landing"), landing_notes(t), F.pmod(F.xxhash64("note_id"), F.lit(2)) == 1
     written(landing_comments(t), path, "search_comments")
-    stream = SP.landing_stream(t.spark, path, LD.NOTE_FILES, S.LANDING_NOTE)
-    return SP.run_available(stream.filter("_bad is null").select("note_id", F.md5("desc").alias("digest")), "st01")
+    for rows in (notes.filter(~late), notes):  # the files grow between two runs of the stream
+        grown(t, rows, path, "search_contents", late)
+        stream = GR.growing_json(t.spark, path, LD.NOTE_FILES, S.LANDING_NOTE)
+        stream.filter("_bad is null").select("note_id", F.md5("desc").alias("digest")).writeStream.format("parquet").option("path", f"{path}-rows").option(
+            "checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("note_id string, digest string").parquet(f"{path}-rows")
 
 
 @Q.add("st03_stream_upsert", "", f"""SELECT CAST(doc_id AS VARCHAR) AS note_id, split_part(text, chr(10), 1) || ' again' AS title, CAST(2 AS BIGINT) AS seen,
