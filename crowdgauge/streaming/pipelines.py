@@ -12,10 +12,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import constants as K
 from ..functions import values as V
-from ..operators.tables import upsert
-from ..operators.trend import new_snapshots
 from ..session import ensure_checkpoint_dir
-from ..sources.store import KeyedTable
+from ..sources.store import CycleTable, KeyedTable
 
 
 def landing_stream(spark: SparkSession, folder: str, files: str, schema: str,
@@ -47,25 +45,30 @@ def first_seen(stream: DataFrame, key: str) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark([key])
 
 
-def upsert_batches(table: KeyedTable, key: list[str], order: str, preserve: list[str],
+def upsert_batches(table: KeyedTable, order: str, preserve: list[str],
                    prepare: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each micro-batch into a keyed table."""
+    """A foreachBatch function that merges each micro-batch into the buckets of a keyed table that it touches."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare(batch) if prepare else batch
-        table.write(upsert(table.read(before=batch_id), rows, key, order, preserve), batch_id)
+        table.merge(prepare(batch) if prepare else batch, order, preserve, batch_id)
 
     return write
 
 
-def snapshot_batches(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+def snapshot_batches(table: CycleTable) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that appends score snapshots once per (ticker, cycle)."""
+    return table.append_absent
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        old = table.read(before=batch_id)
-        table.write(old.unionByName(new_snapshots(old, batch.select(*old.columns))), batch_id)
 
-    return write
+def with_late_parents(comments: DataFrame, notes: DataFrame, comment_time: str, note_time: str, hold: str = "72 hours") -> DataFrame:
+    """Comments whose note is seen at most ``hold`` before or after them, each once. Either side is held until the other comes or the
+    watermark passes; both times are timestamps. On batch DataFrames the same join without the holding."""
+    n = notes.select("note_id", F.col(note_time).alias("_note_time")).withWatermark("_note_time", hold)
+    n = n.dropDuplicatesWithinWatermark(["note_id"]) if notes.isStreaming else n.groupBy("note_id").agg(F.min("_note_time").alias("_note_time"))
+    c = comments.withWatermark(comment_time, hold)
+    near = (F.col("_note_time") >= F.col(comment_time) - F.expr(f"INTERVAL {hold}")) & (F.col("_note_time") <= F.col(comment_time) + F.expr(f"INTERVAL {hold}"))
+    n = n.withColumnRenamed("note_id", "_note_id")
+    return c.join(n, (F.col("note_id") == F.col("_note_id")) & near).drop("_note_id", "_note_time")
 
 
 def sliding_heat(mentions: DataFrame, time: str = "event_time", size: str = "24 hours",
@@ -82,28 +85,39 @@ def keyword_counts(notes: DataFrame) -> DataFrame:
     return notes.groupBy(F.coalesce("source_keyword", F.lit("?")).alias("keyword")).count()
 
 
-def marker_alarms(lines: DataFrame, marker: str = K.CAPTCHA_MARKER, threshold: int = K.CAPTCHA_ALARM) -> DataFrame:
-    """One alarm per (run_id, keyword) when its marker count reaches the threshold.
-
-    The state of a key is two numbers. Lines are reduced to per-line counts before the shuffle.
-    """
+def marker_alarms(lines: DataFrame, marker: str = K.CAPTCHA_MARKER, threshold: int = K.CAPTCHA_ALARM, since: int | None = None,
+                  time: str | None = None, idle_hours: int = 24) -> DataFrame:
+    """One alarm (run_id, keyword, captchas) when the marker count of a run and keyword reaches the threshold; ``captchas`` is the count
+    at that moment. Lines are reduced to per-line counts before the shuffle. With ``since``, lines that start before
+    that byte, as column ``start`` has it, are not counted. The state of a key is two numbers. With a timestamp column
+    ``time``, a timer ends it ``idle_hours`` of event time after its last count; a timer in processing time would keep a run
+    over what is available from ever ending."""
+    if since is not None:
+        lines = lines.filter(F.col("start") >= since)
     n = (F.length("line") - F.length(F.replace("line", F.lit(marker), F.lit("")))) / len(marker)
-    counted = lines.select("run_id", "keyword", n.cast("bigint").alias("n")).filter("n > 0")
+    counted = lines.select("run_id", "keyword", *([time] if time else []), n.cast("bigint").alias("n")).filter("n > 0")
+    if time:
+        counted = counted.withWatermark(time, f"{idle_hours} hours")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         import pandas
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         total, raised = state.get if state.exists else (0, False)
         for b in batches:
             total += int(b["n"].sum())
         due = total >= threshold and not raised
         state.update((total, bool(raised or due)))
+        if time:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_hours * K.HOUR_MS + 1)
         if due:
             yield pandas.DataFrame({"run_id": [key[0]], "keyword": [key[1]], "captchas": [total]})
 
     return counted.groupBy("run_id", "keyword").applyInPandasWithState(
         step, "run_id bigint, keyword string, captchas bigint", "total bigint, raised boolean",
-        "append", GroupStateTimeout.NoTimeout)
+        "append", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -111,14 +125,24 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
 
     Results and progress are files in the shared folder, so nothing gathers on the driver and a restarted run takes
     up where it stopped. In complete and update mode each trigger writes a version of its own; the last one is
-    read."""
+    read. A stream that had nothing to read gives an empty table."""
     spark = stream.sparkSession
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True)
+    schema = stream.schema
     if mode == "append":
-        q = writer.format("parquet").option("path", f"{root}/rows").start()
-    else:
-        q = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/rows/version={n}")).start()
-    q.awaitTermination()
-    rows = spark.read.schema(stream.schema).parquet(f"{root}/rows" if mode == "append" else f"{root}/rows/version={q.lastProgress['batchId']}")
-    return rows
+        writer.format("parquet").option("path", f"{root}/rows").start().awaitTermination()
+        return spark.read.schema(schema).parquet(f"{root}/rows") if _holds(spark, f"{root}/rows") else spark.createDataFrame([], schema)
+    written: list[int] = []
+
+    def version(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/version={n}")
+        written.append(n)
+
+    writer.foreachBatch(version).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{root}/rows/version={written[-1]}") if written else spark.createDataFrame([], schema)
+
+
+def _holds(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -80,11 +80,12 @@ def _(t):
 
 @Q.add("p14_chart_rows", "snaps ana", """SELECT s.ticker, s.score, s.mentions, CASE WHEN a.run_id % 7 = 0 THEN 'neut' WHEN a.bull > a.bear THEN 'bull' WHEN a.bull < a.bear THEN 'bear' ELSE 'neut' END AS sign,
   coalesce(1706400000000 - a.generated_at_ms > 21600000, false) AS stale
-  FROM (SELECT 'U' || CAST(row_number() OVER (ORDER BY ticker, snapped_at_ms) % 11 AS VARCHAR) AS ticker, score, mentions FROM snaps) s
+  FROM (SELECT 'U' || CAST(CAST('0x' || substr(md5(ticker || '-' || CAST(snapped_at_ms AS VARCHAR)), 1, 8) AS BIGINT) % 11 AS VARCHAR) AS ticker, score, mentions FROM snaps) s
   LEFT JOIN (SELECT * FROM ana WHERE run_id = (SELECT max(run_id) FROM ana)) a ON a.ticker = s.ticker WHERE s.mentions > 0""")
 def _(t):
-    from pyspark.sql import Window
-    s = t.snapshots.withColumn("n", F.row_number().over(Window.orderBy("ticker", "snapped_at_ms")) % 11).select(F.concat(F.lit("U"), F.col("n").cast("string")).alias("ticker"), "score", "mentions")
+    digits = F.substring(F.md5(F.concat_ws("-", "ticker", F.col("snapped_at_ms").cast("string"))), 1, 8)
+    n = F.conv(digits, 16, 10).cast("long") % 11
+    s = t.snapshots.select(F.concat(F.lit("U"), n.cast("string")).alias("ticker"), "score", "mentions")
     a = t.analyses
     last = a.agg(F.max("run_id").alias("m")).scalar()
     return B.chart_rows(s, a.withColumn("_m", last).filter("run_id = _m"), 1706400000000)

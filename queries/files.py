@@ -8,7 +8,7 @@ from crowdgauge import schemas as S
 from crowdgauge.session import ensure_checkpoint_dir
 from crowdgauge.sources import growing as GR
 from crowdgauge.sources import landing as LD
-from crowdgauge.sources.store import KeyedTable
+from crowdgauge.sources.store import CycleTable, KeyedTable
 from crowdgauge.streaming import pipelines as SP
 
 from .base import Registry
@@ -116,7 +116,7 @@ def _(t):
   CAST({1704153600000 + 28 * 86400000} - doc_id * 1000 AS BIGINT) AS publish_time_ms FROM documents""")
 def _(t):
     path = folder(t, "landing")
-    table = KeyedTable(t.spark, f"{path}-table", "note_id string, title string, seen bigint, publish_time_ms bigint")
+    table = KeyedTable(t.spark, f"{path}-table", "note_id string, title string, seen bigint, publish_time_ms bigint", ["note_id"])
     for seen, suffix in ((1, ""), (2, " again")):  # a second crawl meets every note again, its time moved
         written(landing_notes(t, suffix).withColumn("time", (F.col("time").cast("long") + (seen - 1) * 5).cast("string")), path, "search_contents")
 
@@ -125,7 +125,7 @@ def _(t):
             return good.select("note_id", "title", F.lit(seen).cast("long").alias("seen"), LD.V.normalize_ts("time").alias("publish_time_ms"))
 
         stream = SP.landing_stream(t.spark, path, LD.NOTE_FILES, S.LANDING_NOTE)
-        stream.writeStream.foreachBatch(SP.upsert_batches(table, ["note_id"], "seen", ["publish_time_ms"], prepare)).option(
+        stream.writeStream.foreachBatch(SP.upsert_batches(table, "seen", ["publish_time_ms"], prepare)).option(
             "checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
     return table.read()
 
@@ -137,10 +137,19 @@ def _(t):
     have = t.snapshots.columns
     rows = t.snapshots.select(*[F.col(c) if c in have else F.lit(0).alias(c) for c in names])
     rows = t.spark.createDataFrame([], S.SNAPSHOTS).unionByName(rows.select(*[F.col(f.name).cast(f.dataType) for f in t.spark.createDataFrame([], S.SNAPSHOTS).schema]))
+    table = CycleTable(t.spark, f"{path}-table", S.SNAPSHOTS, ["ticker", "snapped_at_ms"], "snapped_at_ms")
     for _ in range(2):  # every cycle arrives twice
-        rows.coalesce(1).write.mode("append").parquet(path)
-    table = KeyedTable(t.spark, f"{path}-table", S.SNAPSHOTS)
-    stream = t.spark.readStream.schema(S.SNAPSHOTS).option("maxFilesPerTrigger", 1).parquet(path)
-    stream.writeStream.foreachBatch(SP.snapshot_batches(table)).option("checkpointLocation", f"{path}-progress").trigger(
-        availableNow=True).start().awaitTermination()
+        rows.write.mode("append").parquet(path)
+        stream = t.spark.readStream.schema(S.SNAPSHOTS).parquet(path)
+        stream.writeStream.foreachBatch(SP.snapshot_batches(table)).option("checkpointLocation", f"{path}-progress").trigger(
+            availableNow=True).start().awaitTermination()
     return table.read().select("ticker", "snapped_at_ms", "score", "mentions")
+
+
+@Q.add("st03_first_seen", "", "SELECT CAST(doc_id AS VARCHAR) AS note_id FROM documents")
+def _(t):
+    path = folder(t, "landing")
+    for suffix in ("", " again"):
+        written(landing_notes(t, suffix), path, "search_contents")
+    stream = SP.fresh_only(SP.landing_stream(t.spark, path, LD.NOTE_FILES, S.LANDING_NOTE), "time", 10**15, t.now)
+    return SP.run_available(SP.first_seen(stream, "note_id").select("note_id"), "st03_first")

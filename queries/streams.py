@@ -29,11 +29,19 @@ def _(t):
     return SP.run_available(SP.keyword_counts(d), "st08_keyword_counts", "complete")
 
 
-@Q.add("st07_captcha_alarms", "", "SELECT conv_id % 10 AS run_id, role AS keyword FROM conversations GROUP BY 1, 2 HAVING sum(CASE WHEN turn % 2 = 1 THEN 1 ELSE 0 END) >= 10")
+@Q.add("st07_captcha_alarms", "", "SELECT conv_id % 10 AS run_id, role AS keyword, CAST(sum(CASE WHEN turn % 2 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS captchas FROM conversations GROUP BY 1, 2 HAVING captchas >= 10")
 def _(t):
     c = stream(t, "conversations").select((F.col("conv_id") % 10).alias("run_id"), F.col("role").alias("keyword"),
                                           F.when(F.col("turn") % 2 == 1, F.concat(F.lit("CAPTCHA appeared "), "text")).otherwise(F.col("text")).alias("line"))
-    return SP.run_available(SP.marker_alarms(c), "st07_captcha_alarms").select("run_id", "keyword")
+    return SP.run_available(SP.marker_alarms(c), "st07_captcha_alarms")
+
+
+@Q.add("st04_late_parents", "", "SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents WHERE n_chars > 1000)")
+def _(t):
+    at = F.timestamp_millis(F.lit(t.now) + F.pmod(F.col("id"), F.lit(48)) * 3_600_000)
+    notes = stream(t, "documents").filter("n_chars > 1000").withColumn("id", F.col("doc_id")).select(F.col("doc_id").cast("string").alias("note_id"), at.alias("seen"))
+    c = stream(t, "conversations").withColumn("id", F.col("conv_id") * 7).withColumns({"note_id": F.col("conv_id").cast("string"), "seen": at})
+    return SP.run_available(SP.with_late_parents(c, notes, "seen", "seen").select("conv_id", "turn"), "st04_late")
 
 
 @Q.add("st04_known_note_comments", "", "SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents WHERE n_chars > 1000)")
