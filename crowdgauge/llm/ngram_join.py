@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch_of, id_and_text, split_by_ids, written
@@ -227,7 +227,7 @@ def tree_links(ids: list[int], sets: list[np.ndarray], roots: list[int], sides:
     return links
 
 
-ROW = "key long, hub long, node long, spare int, hub_spare int, id long, n long, digest binary, sketch binary"
+ROW = "key long, hub long, node long, spare int, id long, n long, digest binary, sketch binary"
 
 
 def rows_of(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
@@ -269,12 +269,12 @@ def prints_and_keys(docs: DataFrame, width: int, percent: int, id_col: str, text
 
 
 def with_hubs(rows: DataFrame) -> DataFrame:
-    """Prints as they are, and for every key the members other than its smallest one, with that as ``hub``. Rows are dealt
-    by key and stream by in order; memory holds one batch. Keys of one set alone end here."""
+    """Prints as they are, and for every key of several sets its members, with the smallest one, itself a member, as ``hub``. Rows are
+    dealt by key and stream by in order; memory holds one batch. Keys of one set alone end here."""
     schema = arrow_schema(ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last = told = None  # (key, hub, spare of the hub) of the row before; the last key whose hub has been put out
         for b in batches:
             prints = b.filter(b.column("n").is_valid())
             if prints.num_rows:
@@ -289,7 +289,10 @@ def with_hubs(rows: DataFrame) -> DataFrame:
             last = key[-1], hub[-1], hub_spare[-1]
             keep = np.nonzero(hub != node)[0]
             if len(keep):
-                yield rows_of(schema, len(keep), key=key[keep], hub=hub[keep], node=node[keep], spare=spare[keep], hub_spare=hub_spare[keep])
+                first = keep[np.concatenate([[key[keep[0]] != told], key[keep[1:]] != key[keep[:-1]]])]
+                told = key[keep[-1]]
+                both = lambda x, y: np.concatenate([x[keep], y[first]])
+                yield rows_of(schema, len(keep) + len(first), key=both(key, key), hub=both(hub, hub), node=both(node, hub), spare=both(spare, hub_spare))
 
     dealt = F.coalesce("key", F.xxhash64("id", F.lit(1)))
     return rows.repartition(dealt).sortWithinPartitions("key", "node").mapInArrow(run, ROW)
@@ -349,29 +352,41 @@ def links_of(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def chunked_hubs(edges: DataFrame, size: int) -> DataFrame:
     """(hub, chunks): how many chunks of about ``size`` members a hub has."""
-    return edges.select("hub", "node").distinct().groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / size).alias("chunks"))
+    return edges.groupBy("hub").agg(F.ceil((F.count(F.lit(1)) - 1) / size).alias("chunks"))
 
 
 def hub_groups(edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """First round: each hub with its members, in chunks."""
-    dealt = edges.select("hub", "node").distinct().join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    dealt = edges.filter("hub <> node").join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     heads = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("hub", "chunk", F.col("hub").alias("node"))
     return dealt.select("hub", "chunk", "node").unionByName(heads).select(
         F.concat_ws("-", "hub", "chunk").alias("grp"), "node", F.col("node").alias("root"), F.lit(2).alias("side"))
 
 
 def rare_keys(edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(hub, node) of what the first round has left open: of each set those keys of hubs with several chunks that stay when, class by
-    class, it leaves out as many of the largest as it may; hubs are chosen anew, and are members themselves."""
-    large = edges.join(chunks.filter("chunks > 1").select("hub"), "hub", "left_semi")
-    members = written(large.select("key", "node", "spare").unionByName(
-        large.select("key", F.col("hub").alias("node"), F.col("hub_spare").alias("spare"))).distinct(), "large-keys")
-    sizes = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key-sizes")
-    # The keys of one set and class are a few hundred at most times its size.
-    rank = F.row_number().over(Window.partitionBy("node", F.col("spare").bitwiseAND(255)).orderBy(F.desc("size"), "key"))
-    kept = written(members.join(sizes, "key").withColumn("rank", rank).filter(F.col("rank") > F.shiftright("spare", 8)).select("key", "node"), "rare-keys")
-    hubs = written(kept.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("high")).filter("hub < high").select("key", "hub"), "rare-hubs")
-    return kept.join(hubs, "key").select("hub", "node").distinct()
+    """(hub, node) of what the first round has left open: a set stays with the hubs of those keys that it keeps when, of its keys of
+    hubs with several chunks, it leaves out, class by class, as many of the largest as it may. A key is as large as its
+    hub has chunks, ties go by key: an order that is the same for all sets."""
+    schema = arrow_schema(ddl := "hub long, node long")
+    large = edges.join(chunks.filter("chunks > 1"), "hub").select("node", F.transform("keys", lambda k: F.struct(
+        F.col("chunks").alias("size"), k["key"].alias("key"), k["spare"].alias("spare"), F.col("hub").alias("hub"))).alias("keys"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, flat = b.column(1).offsets.to_numpy(), b.column(1).flatten()
+            size, key, spare, hub = (flat.field(c).to_numpy() for c in ("size", "key", "spare", "hub"))
+            node = np.repeat(b.column(0).to_numpy(), np.diff(offsets))
+            kind = spare & 255
+            order = np.lexsort((key, -size, kind, node))
+            node, kind, spare, hub = node[order], kind[order], spare[order], hub[order]
+            start = np.concatenate([[True], (node[1:] != node[:-1]) | (kind[1:] != kind[:-1])]) if len(node) else np.zeros(0, bool)
+            rank = np.arange(len(node)) - np.maximum.accumulate(np.where(start, np.arange(len(node)), 0))
+            kept = np.unique(np.stack([hub, node], 1)[rank >= spare >> 8], axis=0)
+            yield batch_of(schema, [kept[:, 0], kept[:, 1]])
+
+    # The keys of one set are a few hundred at most times its size.
+    per_node = large.groupBy("node").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    return per_node.mapInArrow(run, ddl)
 
 
 def open_groups(members: DataFrame, roots: DataFrame, size: int) -> DataFrame:
@@ -400,7 +415,8 @@ def set_components(docs: DataFrame, width: int, percent: int, id_col: str, text_
     the text has no n-grams, or if no row of that set has an id."""
     rows = written(with_hubs(prints_and_keys(docs, width, percent, id_col, text_col)), "prints")
     prints = rows.filter("n is not null").select(F.col("id").alias("doc_id"), "n", "node", "digest", "sketch")
-    edges = written(rows.filter("hub is not null").select("key", "hub", "node", "spare", "hub_spare").distinct(), "edges")
+    # The keys by which a member has a hub are a few hundred at most times its size; two tasks may have put out the same set.
+    edges = written(rows.filter("hub is not null").groupBy("hub", "node").agg(F.collect_set(F.struct("key", "spare")).alias("keys")), "edges")
     # For each set the smallest id that carries it; texts are read again by that.
     least = written(prints.filter("digest is not null and doc_id is not null").groupBy("node", "digest").agg(F.min("doc_id").alias("low")), "sets")
     sketches = prints.filter("sketch is not null").select("node", "n", "sketch").distinct()

@@ -119,7 +119,7 @@ def test_texts_that_share_only_a_passage_are_not_met_again(spark, monkeypatch):
     rng, passage = random.Random(6), [f"p{k}" for k in range(40)]
     rows = [(k, " ".join([f"u{k}x{j}" for j in range(rng.randrange(60, 90))] + passage)) for k in range(500)]
     counts, got = table_rows(spark, monkeypatch, rows)
-    assert counts["large-keys"] > 200 and counts["rooted"] <= counts["large-keys"] / 5
+    assert counts["edges"] > 400 and counts["rooted"] <= counts["edges"] / 4
     assert all(r.component_id == r.doc_id for r in got)
 
 
