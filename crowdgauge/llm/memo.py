@@ -10,13 +10,29 @@ def held(kind, make=None):
     """The one large object a Python worker keeps between tasks, such as an encoder with its memory. Asking for another
     kind lets go of it, so a worker that serves one stage after the other never holds two; None only lets go."""
     if kind not in HELD:
-        HELD.clear()
+        if HELD:
+            HELD.clear()
+            give_back()
         if make is None:
             return None
         HELD[kind] = make()
     return HELD[kind]
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine: a worker lives through many stages, and allocators keep what each of them used."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 class Memo:
     """Two generations of at most ``size`` entries: what is asked for again moves to the young one, and the old
     one goes when the young one is full. Keys longer than ``longest`` are not kept, so that a memory of texts is bounded

@@ -51,7 +51,7 @@ class Shingler:
     def __init__(self, width: int):
         from .memo import Memo
 
-        self.width, self.words = width, Memo(200_000)
+        self.width, self.words = width, Memo(120_000)
 
     def word(self, w: bytes) -> int:
         import xxhash
@@ -249,7 +249,7 @@ def prints_and_keys(docs: DataFrame, width: int, percent: int, id_col: str, text
         import xxhash
         from crowdgauge.llm.memo import Memo, held
 
-        shingler, known, seen = held(("shingles", width), lambda: Shingler(width)), [], Memo(100_000)
+        shingler, known, seen = held(("shingles", width), lambda: Shingler(width)), [], Memo(30_000)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)

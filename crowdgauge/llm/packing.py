@@ -50,7 +50,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.normalizer, self.speller = self.tokenizer.model, self.tokenizer.normalizer, ByteLevel(add_prefix_space=False, use_regex=False)
-        self.chunks, self.runs = Memo(120_000), Memo(120_000)
+        self.chunks, self.runs = Memo(80_000), Memo(80_000)
 
     def ids(self, s: str) -> bytes:
         return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()

@@ -160,21 +160,24 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.a = w.doc_id"""
 
 @query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(table(spark, sf_dir, "documents"), least=1, order=3)
+    scores = lm_score.lm_scores(table(spark, sf_dir, "documents"), least=1, order=3)
+    # Logs are summed in another order each time; four digits are the same in all of them.
+    return scores.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
 
 
 ORACLES["op5_lm_scoring"] = f"""
-WITH d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-p AS (SELECT doc_id, unnest(w) AS w, unnest(list_concat([NULL], w[1:len(w) - 1])) AS v FROM d WHERE len(w) > 0),
-c2 AS (SELECT v, w, count(*) AS c2 FROM p WHERE v IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
-c1 AS (SELECT w AS k, count(*) AS c1 FROM p GROUP BY ALL HAVING count(*) >= 2),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT row, w[i - 2] AS u, w[i - 1] AS v, w[i] AS w, i FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c3 AS (SELECT u, v, w, count(*) AS c FROM p WHERE i > 2 GROUP BY ALL),
+c2 AS (SELECT v, w, count(*) AS c FROM p WHERE i > 1 GROUP BY ALL),
+c1 AS (SELECT w, count(*) AS c FROM p GROUP BY ALL),
 n AS (SELECT count(*)::DOUBLE AS n FROM p),
-t AS (SELECT doc_id, CASE WHEN c2 IS NOT NULL THEN ln(c2) - ln(b.c1) WHEN p.v IS NULL THEN ln(coalesce(a.c1, 1)) - ln(n)
-                          ELSE ln(coalesce(a.c1, 1)) - ln(n) + ln(0.4) END AS s
-      FROM p LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN c1 a ON a.k = p.w LEFT JOIN c1 b ON b.k = p.v, n),
-s AS (SELECT doc_id, count(*) AS n_words, sum(s) AS s FROM t GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(s, 6) AS log_score, round(s / n_words, 6) AS mean_log_score
-FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
+t AS (SELECT row, CASE WHEN i = 1 THEN ln(a.c) - ln(n) WHEN i = 2 THEN ln(b.c) - ln(x.c) ELSE ln(c3.c) - ln(y.c) END AS s
+      FROM p JOIN n ON true JOIN c1 a ON a.w = p.w LEFT JOIN c1 x ON x.w = p.v AND i = 2 LEFT JOIN c2 b ON b.v = p.v AND b.w = p.w AND i = 2
+      LEFT JOIN c3 ON c3.u = p.u AND c3.v = p.v AND c3.w = p.w AND i > 2 LEFT JOIN c2 y ON y.v = p.u AND y.w = p.v AND i > 2),
+s AS (SELECT row, count(*) AS n_words, sum(s) AS s FROM t GROUP BY row)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(round(s, 6), 4) AS log_score, round(round(s / n_words, 6), 4) AS mean_log_score
+FROM d LEFT JOIN s USING (row)"""
 
 
 @query
