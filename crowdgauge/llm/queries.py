@@ -161,8 +161,8 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.a = w.doc_id"""
 @query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lm_score.lm_scores(table(spark, sf_dir, "documents"), least=1, order=3)
-    # Logs are summed in another order each time; four digits are the same in all of them.
-    return scores.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
+    # Logs are summed in another order each time; four digits, the rest cut off, are the same in all of them.
+    return scores.withColumns({c: F.expr(f"cast(round({c} * 1e6) AS bigint) div 100 / 1e4") for c in ("log_score", "mean_log_score")})
 
 
 ORACLES["op5_lm_scoring"] = f"""
@@ -176,7 +176,7 @@ t AS (SELECT row, CASE WHEN i = 1 THEN ln(a.c) - ln(n) WHEN i = 2 THEN ln(b.c) -
       FROM p JOIN n ON true JOIN c1 a ON a.w = p.w LEFT JOIN c1 x ON x.w = p.v AND i = 2 LEFT JOIN c2 b ON b.v = p.v AND b.w = p.w AND i = 2
       LEFT JOIN c3 ON c3.u = p.u AND c3.v = p.v AND c3.w = p.w AND i > 2 LEFT JOIN c2 y ON y.v = p.u AND y.w = p.v AND i > 2),
 s AS (SELECT row, count(*) AS n_words, sum(s) AS s FROM t GROUP BY row)
-SELECT doc_id, coalesce(n_words, 0) AS n_words, round(round(s, 6), 4) AS log_score, round(round(s / n_words, 6), 4) AS mean_log_score
+SELECT doc_id, coalesce(n_words, 0) AS n_words, (round(s * 1e6)::BIGINT // 100) / 1e4 AS log_score, (round(s / n_words * 1e6)::BIGINT // 100) / 1e4 AS mean_log_score
 FROM d LEFT JOIN s USING (row)"""
 
 
