@@ -12,9 +12,9 @@ DataFrame functions only. The join follows the prefix-filter scheme for containm
 * Position: of the pairs that meet, one is kept if the tokens left after the first shared place still
   can reach ``need``.
 
-The rest are verified by the size of the intersection. A block is a line, or with ``across_lines`` a
-paragraph. Windows as long as the template then go over blank lines, too: they start at each word that
-the template holds, in texts that hold enough of the template's words at all.
+The rest are verified by the size of the intersection. A block is a line. With ``across_lines`` windows as long as the template
+are looked at as well, over line ends: they start at each word that the template holds, in texts that hold enough of the
+template's words at all.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved",
 }
 THRESHOLD_PERCENT = 80
-LINE_END, BLANK_LINE = r"\n", r"\n[ \t\r\f\x0B]*\n"
+LINE_END = r"\n"
 
 
 def words(c: Column) -> Column:
@@ -144,8 +144,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  templates: dict[str, str] | None = None, percent: int = THRESHOLD_PERCENT, across_lines: bool = False) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row per input row.
 
-    ``labels`` are the phrase labels and those of templates that some line (with ``across_lines`` some
-    paragraph or window of the template's length) holds to ``percent`` of the template's different words; ``score`` is the best such share, 0 if none, and 1 wherever a phrase stands.
+    ``labels`` are the phrase labels and those of templates that some line (with ``across_lines`` also some
+    window of the template's length) holds to ``percent`` of the template's different words; ``score`` is the best such share, 0 if none, and 1 wherever a phrase stands.
     Null and empty texts have no words, empty labels and score 0. Repeated rows, and rows that repeat an
     id, get a row each; a null id stays null. Other columns are not read. No rows in, no rows out."""
     spark = docs.sparkSession
@@ -160,7 +160,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = near_windows(norm, F.array_distinct(F.flatten("lines.tokens")), templates, percent) if across_lines else F.array().cast(NEAR)
     scanned = written(
         id_and_text(docs, id_col, text_col).select("doc_id", ascii_lower(F.col("text")).alias("norm"))
-        .select("doc_id", "norm", tokens.alias("tokens"), lines_of(norm, vocabulary, BLANK_LINE if across_lines else LINE_END).alias("lines"))
+        .select("doc_id", "norm", tokens.alias("tokens"), lines_of(norm, vocabulary).alias("lines"))
         .select("doc_id", F.monotonically_increasing_id().alias("row"),
                 F.aggregate(lines, F.lit(0), lambda total, line: total + line["n"]).cast("long").alias("n_words"),
                 F.coalesce(places, F.array().cast("array<struct<place:bigint,label:string>>")).alias("places"),
