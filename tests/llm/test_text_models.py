@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crowdgauge.llm import chat, pieces, quality, toxicity
+from crowdgauge.llm.memo import Memo
 
 WORDS = "the of and to in is that for it with as was on be at by".split()
 
@@ -82,8 +83,8 @@ def test_restores_disguised_words():
     for disguised, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("stuuuupid", "stupid"), ("l.o.s.e.r", "loser"), ("tr@$h", "trash")):
         assert model.decode(disguised) == [word]
         assert model.token_weight(disguised) == 5.0
-    assert model.features("this is s t u p i d , yes", {})[0] == 5.0
-    assert model.features("", {}) == (0.0, 0.0, 0.0) and model.features("fine people", {})[0] == 0.0
+    assert model.features("this is s t u p i d , yes", Memo(1_000))[0] == 5.0
+    assert model.features("", Memo(1_000)) == (0.0, 0.0, 0.0) and model.features("fine people", Memo(1_000))[0] == 0.0
 
 
 def insults():
@@ -110,9 +111,9 @@ def test_spaced_words_keep_their_letters():
     assert runs("i. d. i. o. t.") == ["idiot"] and runs("a b, c") == [] and runs("1. 2. 3. 4.") == [] and runs("") == []
     model = insults()
     for text in ("s t u p i d.", '"i d i o t"', "what (l o s e r), yes"):
-        assert model.features(text, {})[0] == 5.0
+        assert model.features(text, Memo(1_000))[0] == 5.0
     for ahead in range(45, 55):  # a word at any place of a long run
-        assert model.features("g o o d " * ahead + "i d i o t " + "g o o d " * 30, {})[0] == 5.0
+        assert model.features("g o o d " * ahead + "i d i o t " + "g o o d " * 30, Memo(1_000))[0] == 5.0
 
 
 def test_suspicion_equals_its_pattern():
