@@ -2,15 +2,17 @@
 text for comments.
 
 Copies are collapsed before anything is compared, so a third of the corpus being one post costs
-one row. Only distinct fingerprints are compared, and only when they agree on enough whole bit
-blocks: of ``radius + k`` blocks at least ``k`` are intact in any pair within the radius, so the
-recall is exact for every ``k``; ``k`` grows with the number of fingerprints to keep key groups
-small. Key groups that are still large are split again by further blocks.
+one row. Distinct fingerprints that are equal outside a few bits are within the radius whatever
+those bits hold: each is tied to the least of its group, and a dense ball contracts to one label
+by a linear number of links. Only fingerprints of different labels are compared then, and only when
+they agree on a whole bit block: of ``radius + 1`` blocks one is intact in any pair within the
+radius. Key groups that are still costly are keyed again by a block of their other bits, by the
+same argument, so nothing is lost.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,6 @@ from ..functions import python_text as P
 from ..functions import text as T
 from ..session import checkpointed
 
-GROUP_TARGET = 64
-
 
 def fingerprinted(notes: DataFrame, unit: str = "char", size: int = 2,
                   digest: str = "blake2b") -> DataFrame:
@@ -31,64 +31,95 @@ def fingerprinted(notes: DataFrame, unit: str = "char", size: int = 2,
     return notes.withColumn("simhash", P.simhash64(text, unit, size, digest))
 
 
-def _masks(blocks: int, keep: int) -> list[int]:
-    """Bit masks of every choice of ``keep`` out of ``blocks`` blocks, as signed 64-bit values."""
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    out = []
-    for chosen in combinations(parts, keep):
-        mask = 0
-        for part in chosen:
-            mask |= part
-        out.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
-    return out
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _split(bits: list[int], blocks: int) -> list[int]:
+    """Masks of runs of about equal length that cover the given bit positions."""
+    edges = [round(i * len(bits) / blocks) for i in range(blocks + 1)]
+    return [sum(1 << x for x in bits[i:j]) for i, j in zip(edges, edges[1:], strict=False) if j > i]
 
 
-def intact_blocks(distinct: int, radius: int) -> int:
-    """Smallest number of intact blocks whose key space keeps groups near GROUP_TARGET."""
-    keep = 1
-    while keep < 4 and 2 ** (64 * keep / (radius + keep)) * GROUP_TARGET < distinct:
-        keep += 1
-    return keep
+def _finer(mask: int, radius: int) -> list[int]:
+    """The mask with each block of its other bits: a pair that agrees on the mask agrees on one of these, too."""
+    return [mask | m for m in _split([i for i in range(64) if not mask >> i & 1], radius + 1)] or [mask]
 
 
-def _keyed(hashes: DataFrame, masks: list[int], within: str | None = None) -> DataFrame:
-    base = F.coalesce(F.col(within), F.lit(0)) if within else F.lit(0).cast("bigint")
-    keys = F.array(*[F.lit(m).cast("bigint") for m in masks])
-    return hashes.select(
-        "h", *([within] if within else []), F.explode(keys).alias("_m")
-    ).withColumn("mask", F.col("_m").bitwiseOR(base)).select(
-        "h", "mask", F.col("h").bitwiseAND(F.col("mask")).alias("key")
-    )
+def _distinct(hashes: DataFrame, column: str) -> DataFrame:
+    return hashes.select(F.col(column).alias("h")).filter(F.col("h").isNotNull() & (F.col("h") != 0)).distinct()
 
 
-def _pairs(keyed: DataFrame, radius: int) -> DataFrame:
-    a, b = keyed.alias("a"), keyed.alias("b")
+def _pairs(rows: DataFrame, radius: int) -> DataFrame:
+    """Close pairs of different labels: those outside a group's main label meet the whole group, the others only them."""
+    a, b = rows.filter("stray").alias("a"), rows.alias("b")
     same = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key"))
+    once = ~F.col("b.stray") | (F.col("a.h") < F.col("b.h"))
     close = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))) <= radius
-    return a.join(b, same & (F.col("a.h") < F.col("b.h")) & close).select(
-        F.col("a.h").alias("a"), F.col("b.h").alias("b"))
+    first = F.col("a.h") < F.col("b.h")
+    return a.join(b, same & once & (F.col("a.label") != F.col("b.label")) & close).select(
+        F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b"),
+        F.when(first, F.col("a.label")).otherwise(F.col("b.label")).alias("a_label"),
+        F.when(first, F.col("b.label")).otherwise(F.col("a.label")).alias("b_label"))
+
+
+def pairs_across(labelled: DataFrame, radius: int, group_limit: int = 2_000, levels: int = 3) -> DataFrame:
+    """(a, b, a_label, b_label): every pair a < b within ``radius`` whose labels differ. ``labelled`` has distinct (h, label).
+
+    Groups in which all agree on the label are settled. A group whose strays times members exceed the square of
+    ``group_limit`` goes down a level to finer keys; on the last one all are compared."""
+    masks, found = {0: _finer(0, radius)}, []
+    members = labelled.select("h", "label", F.lit(0).cast("bigint").alias("mask"))
+    for level in range(levels):
+        finer = F.create_map(*[x for m, ms in masks.items() for x in (
+            F.lit(_signed(m)).cast("bigint"), F.array(*[F.lit(_signed(x)).cast("bigint") for x in ms]))])
+        members = members.select("h", "label", F.explode(F.element_at(finer, F.col("mask"))).alias("mask")).withColumn(
+            "key", F.col("h").bitwiseAND(F.col("mask")))
+        sizes = members.groupBy("mask", "key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("mask", "key").agg(
+            F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("main")).filter("n > top")
+        costly = F.lit(level + 1 < levels) & (
+            (F.col("n") - F.col("top")).cast("double") * F.col("n") > float(group_limit) ** 2)
+        rows = checkpointed(members.join(sizes, ["mask", "key"]).select(
+            "h", "label", "mask", "key", (F.col("label") != F.col("main")).alias("stray"), costly.alias("costly")))
+        found.append(_pairs(rows.filter("not costly"), radius))
+        members = rows.filter("costly").select("h", "label", "mask")
+        if members.isEmpty():
+            break
+        masks = {x: _finer(x, radius) for ms in masks.values() for x in ms}
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_pairs(hashes: DataFrame, radius: int = K.HAMMING_MAX, column: str = "simhash",
                group_limit: int = 2_000) -> DataFrame:
     """All pairs (a < b) of distinct non-zero fingerprints within ``radius``, exactly."""
-    distinct = hashes.select(F.col(column).alias("h")).filter(
-        F.col("h").isNotNull() & (F.col("h") != 0)).distinct()
-    distinct = checkpointed(distinct)
-    count = distinct.count()
-    keyed = _keyed(distinct, _masks(radius + intact_blocks(count, radius),
-                                    intact_blocks(count, radius)))
-    sizes = keyed.groupBy("mask", "key").count()
-    large = sizes.filter(F.col("count") > group_limit).select("mask", "key")
-    small = keyed.join(large, ["mask", "key"], "left_anti")
-    # Members of a large group already agree on its key; any close pair among them agrees on
-    # three more whole blocks as well, so splitting by those loses nothing.
-    again = _keyed(
-        keyed.join(large, ["mask", "key"], "left_semi").select("h", F.col("mask").alias("had")),
-        _masks(radius + 3, 3), within="had",
-    ).distinct()
-    return _pairs(small, radius).unionByName(_pairs(again, radius)).distinct()
+    distinct = _distinct(hashes, column)
+    return pairs_across(distinct.withColumn("label", F.col("h")), radius, group_limit).select("a", "b")
+
+
+def near_links(hashes: DataFrame, radius: int = K.HAMMING_MAX, width: int = 6) -> DataFrame:
+    """(a, b): fingerprints that are equal outside one of the blocks of at most ``width`` and ``radius`` bits, each with the
+    least of its group. A group has no more members than a block has values, a fingerprint no more groups than blocks."""
+    blocks = _split(list(range(64)), -(-64 // max(min(radius, width), 1))) if radius else []
+    outside = F.array(*[F.lit(_signed(((1 << 64) - 1) ^ m)).cast("bigint") for m in blocks]).cast("array<bigint>")
+    groups = hashes.select("h", F.explode(outside).alias("mask")).groupBy(
+        "mask", F.col("h").bitwiseAND(F.col("mask")).alias("key")).agg(F.collect_list("h").alias("hs"))
+    least = groups.filter(F.size("hs") > 1).select(F.array_min("hs").alias("a"), F.explode("hs").alias("b"))
+    return least.filter("a <> b").distinct()
+
+
+def near_components(hashes: DataFrame, radius: int = K.HAMMING_MAX, column: str = "simhash") -> DataFrame:
+    """(node, root) of every distinct non-zero fingerprint: root is the least that close pairs lead to.
+
+    Links contract dense balls first; pairs are sought between what is left apart, and joined as edges of labels."""
+    distinct = checkpointed(_distinct(hashes, column))
+    tied = connected_components(near_links(distinct, radius))
+    labelled = checkpointed(distinct.join(tied, distinct["h"] == tied["node"], "left").select(
+        "h", F.coalesce("root", "h").alias("label")))
+    across = pairs_across(labelled, radius).select(
+        F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b"))
+    roots = connected_components(across)
+    return labelled.join(roots, labelled["label"] == roots["node"], "left").select(
+        F.col("h").alias("node"), F.coalesce("root", "label").alias("root"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -132,7 +163,7 @@ def note_clusters(notes: DataFrame, window_ms: int, now_ms: int,
     best = F.struct(F.coalesce("liked_count", F.lit(0)).alias("likes"), "note_id")
     groups = checkpointed(window.groupBy("simhash").agg(
         F.max(best).alias("best"), F.count(F.lit(1)).alias("n")))
-    roots = connected_components(near_pairs(groups, radius))
+    roots = near_components(groups, radius)
     labelled = groups.join(roots, groups["simhash"] == roots["node"], "left").select(
         "simhash", "best", "n", F.coalesce("root", "simhash").alias("root"))
     clusters = labelled.groupBy("root").agg(
