@@ -32,14 +32,16 @@ def yield_stats(notes: DataFrame, mentions: DataFrame, run_id: int | None = None
     ).orderBy(F.desc("with_stock"), F.desc("notes"), "keyword")
 
 
-def attribution(landed_notes: DataFrame, landed_comments: DataFrame, order: str = "line_no") -> DataFrame:
+def attribution(landed_notes: DataFrame, landed_comments: DataFrame, order: str = "line_no",
+                by: tuple[str, ...] = ()) -> DataFrame:
     """Per keyword: landed note lines and comment lines. A comment belongs to the keyword of its
-    note's last line; comments of unknown notes are not counted."""
+    note's last line; comments of unknown notes are not counted. With ``by`` (say the run), both
+    tables have these columns and are counted apart for each of their values."""
     kw = F.coalesce(F.when(F.col("source_keyword") != "", F.col("source_keyword")), F.lit("?"))
     n = landed_notes.withColumn("keyword", kw)
-    owner = n.filter(F.col("note_id").isNotNull() & (F.col("note_id") != "")).groupBy("note_id").agg(
+    owner = n.filter(F.col("note_id").isNotNull() & (F.col("note_id") != "")).groupBy(*by, "note_id").agg(
         F.max_by("keyword", order).alias("keyword"))
-    per_note = landed_comments.groupBy("note_id").agg(F.count(F.lit(1)).alias("c"))
-    comments = per_note.join(owner, "note_id").groupBy("keyword").agg(F.sum("c").alias("comments"))
-    notes = n.groupBy("keyword").agg(F.count(F.lit(1)).alias("notes"))
-    return notes.join(comments, "keyword", "full_outer").fillna(0, ["notes", "comments"])
+    per_note = landed_comments.groupBy(*by, "note_id").agg(F.count(F.lit(1)).alias("c"))
+    comments = per_note.join(owner, [*by, "note_id"]).groupBy(*by, "keyword").agg(F.sum("c").alias("comments"))
+    notes = n.groupBy(*by, "keyword").agg(F.count(F.lit(1)).alias("notes"))
+    return notes.join(comments, [*by, "keyword"], "full_outer").fillna(0, ["notes", "comments"])

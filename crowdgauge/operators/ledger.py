@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import values as V
+from ..session import checkpointed
 
 
 def cycle_estimate(keywords: DataFrame, notes_per_keyword: int, comments_per_note: int) -> DataFrame:
@@ -57,11 +58,12 @@ def admission(runs: DataFrame, *, limit: int, estimate: int, cooldown_ms: int, g
     """What the gate would have answered at each run's start, from the runs before it.
 
     Precedence: login cooldown (never forceable), minimum gap, daily budget. Columns: id, reason,
-    until_ms, retry_after_ms, force_allowed.
+    until_ms, retry_after_ms, force_allowed. Rows are dealt by ranges of their ids, however these are spaced, and scanned
+    within a range; one row a range carries the last start and flag on.
     """
     base = F.coalesce("finished_at_ms", "started_at_ms")
     flagged = F.when(F.col("error") == "login_required", F.struct(F.col("id").alias("flag_id"), base.alias("base")))
-    rows = runs.withColumns({"_flag": flagged, "_b": F.floor(F.col("id") / 10_000)})
+    rows = checkpointed(runs.withColumn("_flag", flagged).repartitionByRange("id").withColumn("_b", F.spark_partition_id()))
     inside = Window.partitionBy("_b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns({
         "_f": F.last("_flag", ignorenulls=True).over(inside),
