@@ -7,7 +7,7 @@ broadcasts by itself while they are below the broadcast threshold, and shuffles
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,17 +48,30 @@ class Dictionary:
         )
 
     @classmethod
-    def from_json(cls, spark: SparkSession, path: str) -> Dictionary:
+    def from_json(cls, spark: SparkSession, path: str, overlay: str | None = None) -> Dictionary:
+        """The dictionary document at ``path``, merged with the one at ``overlay`` if that is there. An overlay that is no
+        JSON document reads as an empty one."""
         doc = spark.read.schema(DOCUMENT_SCHEMA).json(path, multiLine=True)
         stocks = doc.select(F.inline("stocks")).withColumnRenamed("name_cn", "name")
         topics = doc.select(F.posexplode("topic_tags").alias("ord", "t"))
-        return cls(
+        base = cls(
             with_array_defaults(stocks),
             doc.select(F.explode("context_words").alias("word")),
             doc.select(F.explode("collision_tickers").alias("ticker")),
             doc.select(F.posexplode("traps").alias("ord", "phrase")),
             topics.select("ord", "t.tag", "t.aliases"),
         )
+        if overlay is None:
+            return base
+        at = spark._jvm.org.apache.hadoop.fs.Path(overlay)
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return base.merged(cls.from_json(spark, overlay)) if there else base
+
+    def merged(self, overlay: Dictionary) -> Dictionary:
+        """Entities, context words and collisions of both; traps and topics are the base's alone."""
+        return replace(self, stocks=merge_overlay(self.stocks, overlay.stocks),
+                       context_words=merge_words(self.context_words, overlay.context_words),
+                       collisions=merge_words(self.collisions, overlay.collisions))
 
 
 def with_array_defaults(stocks: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .. import schemas as S
+from ..functions.values import token_cost
 from .evidence import fingerprints, pick_quotes, previous_summaries
 from .quotes import quotes_from_ids
 from .tables import latest
@@ -51,29 +52,50 @@ def prefixed_summary(ticker: Column, summary: Column) -> Column:
 
 def analysis_rows(ratings: DataFrame, items: DataFrame, now_ms: int, window_ms: int,
                   scores: DataFrame | None = None, model: str = "rater",
-                  run_id: int | None = None) -> DataFrame:
-    """Rows for the analysis table from validated ratings (ticker + parse_reply fields)."""
+                  run_id: int | None = None, usage: DataFrame | None = None) -> DataFrame:
+    """Rows for the analysis table from validated ratings (ticker + parse_reply fields). ``usage`` has (ticker, input_tokens,
+    output_tokens), say from ``allocate``; the cost follows from them."""
     base = ratings.withColumnRenamed("notable_quote_ids", "ids").withColumn("submission_id", F.col("ticker"))
     quotes = quotes_from_ids(base, items).select("ticker", "quotes")
     rows = base.drop("ids", "submission_id").join(fingerprints(items), "ticker").join(quotes, "ticker", "left")
-    rows = (rows.join(scores.select("ticker", "score"), "ticker", "left")
-            if scores is not None else rows.withColumn("score", F.lit(0.0)))
     sentiment = F.to_json(F.struct("bullish", "bearish", "neutral"))
-    return rows.select(
-        "ticker", F.lit(run_id).cast("bigint").alias("run_id"), F.lit(now_ms).alias("generated_at_ms"),
-        F.lit(now_ms - window_ms).alias("window_start_ms"), F.lit(now_ms).alias("window_end_ms"),
-        "note_count", (F.col("item_count") - F.col("note_count")).alias("comment_count"),
-        F.coalesce("score", F.lit(0.0)).alias("popularity_score"),
+    rows = (rows.join(usage.select("ticker", "input_tokens", "output_tokens"), "ticker", "left") if usage is not None
+            else rows.withColumns({c: F.lit(None).cast("bigint") for c in ("input_tokens", "output_tokens")}))
+    return _scored(rows, scores).select(
+        *_base(now_ms, window_ms, model, run_id),
         sentiment.alias("sentiment_counts"),
         prefixed_summary(F.col("ticker"), F.col("summary")).alias("summary"),
         F.to_json(F.slice("bull_points", 1, K.MAX_POINTS)).alias("bull_points"),
         F.to_json(F.slice("bear_points", 1, K.MAX_POINTS)).alias("bear_points"),
         F.to_json(F.coalesce("quotes", F.array().cast(EMPTY))).alias("notable_quotes"),
-        "irrelevant_item_count", F.col("item_count").alias("input_item_count"), "input_hash",
-        F.lit(model).alias("model"), F.lit("ok").alias("status"),
+        "irrelevant_item_count", "input_tokens", "output_tokens",
+        F.round(token_cost("input_tokens", "output_tokens"), 6).alias("cost_usd"),
+        F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"),
     )
 
 
+def _scored(rows: DataFrame, scores: DataFrame | None) -> DataFrame:
+    return (rows.join(scores.select("ticker", "score"), "ticker", "left")
+            if scores is not None else rows.withColumn("score", F.lit(0.0)))
+
+
+def _base(now_ms: int, window_ms: int, model: str, run_id: int | None) -> list[Column]:
+    """The columns every row of the analysis table has, over fingerprints with ``score``."""
+    return [
+        F.col("ticker"), F.lit(run_id).cast("bigint").alias("run_id"), F.lit(now_ms).alias("generated_at_ms"),
+        F.lit(now_ms - window_ms).alias("window_start_ms"), F.lit(now_ms).alias("window_end_ms"),
+        F.col("note_count"), (F.col("item_count") - F.col("note_count")).alias("comment_count"),
+        F.coalesce("score", F.lit(0.0)).alias("popularity_score"),
+        F.col("item_count").alias("input_item_count"), F.col("input_hash"), F.lit(model).alias("model")]
+
+
+def error_rows(failures: DataFrame, items: DataFrame, now_ms: int, window_ms: int, scores: DataFrame | None = None,
+               model: str = "rater", run_id: int | None = None) -> DataFrame:
+    """Rows for the analysis table from failed requests (ticker, error): the evidence they were made on and no rating."""
+    rows = failures.select("ticker", "error").join(fingerprints(items), "ticker")
+    return _scored(rows, scores).select(*_base(now_ms, window_ms, model, run_id), F.lit("error").alias("status"), "error")
+
+
 def is_current(evidence: DataFrame, analyses: DataFrame, statuses=("ok", "no_api_key")) -> DataFrame:
     """(ticker, input_hash, current): was the latest analysis made on exactly this evidence?"""
     last = latest(analyses.select("ticker", "generated_at_ms", "input_hash", "status"), ["ticker"],

@@ -1,5 +1,7 @@
 """Dictionary operators over a dictionary derived from the part and customer tables."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from crowdgauge.operators import dictionary as D
@@ -33,6 +35,23 @@ def _(t):
     return listed(D.merge_overlay(t.part_stocks, t.part_overlay))
 
 
+def worded(t, word, parts, every):
+    """A dictionary of parts: a word of each name, and every so manieth part a collision."""
+    p = t.raw("part").filter(parts)
+    return replace(t.dictionary, stocks=t.part_stocks, context_words=p.select(F.split("p_name", " ")[word].alias("word")).filter("word is not null").distinct(),
+                   collisions=p.filter(F.col("p_size") % every == 0).select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("ticker")))
+
+
+@Q.add("a10_overlay_words", "", """SELECT 'word' AS kind, w AS value FROM (SELECT string_split(p_name, ' ')[1] AS w FROM part WHERE p_partkey % 2 = 0 UNION SELECT string_split(p_name, ' ')[2] FROM part WHERE p_partkey % 3 = 0) WHERE w IS NOT NULL
+  UNION ALL SELECT 'collision', 'P' || p_partkey FROM part WHERE (p_partkey % 2 = 0 AND p_size % 5 = 0) OR (p_partkey % 3 = 0 AND p_size % 3 = 0)
+  UNION ALL SELECT 'trap', 'anea' UNION ALL SELECT 'trap', 'erin of' UNION ALL SELECT 'trap', 'thon the'""")
+def _(t):
+    both = worded(t, 0, "p_partkey % 2 = 0", 5).merged(worded(t, 1, "p_partkey % 3 = 0", 3))
+    return both.context_words.select(F.lit("word").alias("kind"), F.col("word").alias("value")).unionByName(
+        both.collisions.select(F.lit("collision").alias("kind"), F.col("ticker").alias("value"))).unionByName(
+        both.traps.select(F.lit("trap").alias("kind"), F.col("phrase").alias("value")))
+
+
 @Q.add("t03_ordered_union", "pstocks pover", f"SELECT ticker, aliases FROM ({MERGED})")
 def _(t):
     return listed(D.merge_overlay(t.part_stocks, t.part_overlay)).select("ticker", "aliases")

@@ -29,15 +29,21 @@ def _(t):
 
 
 @Q.add("a13_analysis_rows", "prints stats", """SELECT p.ticker, p.note_count, p.item_count - p.note_count AS comment_count, s.score AS popularity_score,
-  '{"bullish":3,"bearish":1,"neutral":0}' AS sentiment_counts, p.ticker || ': fine day' AS summary, '["a","b","c","d"]' AS bull_points, p.input_hash, 'ok' AS status
-  FROM prints p JOIN stats s ON s.ticker = p.ticker""")
+  '{"bullish":3,"bearish":1,"neutral":0}' AS sentiment_counts, p.ticker || ': fine day' AS summary, '["a","b","c","d"]' AS bull_points, p.input_hash, 'ok' AS status,
+  p.item_count * 100 AS input_tokens, p.item_count * 7 AS output_tokens, round((p.item_count * 100 * 0.14::DOUBLE + p.item_count * 7 * 0.28::DOUBLE) / 1e6, 6) AS cost_usd, CAST(NULL AS VARCHAR) AS error
+  FROM prints p JOIN stats s ON s.ticker = p.ticker
+  UNION ALL SELECT ticker, note_count, item_count - note_count, 0.0, NULL, NULL, NULL, input_hash, 'error', NULL, NULL, NULL, 'no reply for ' || ticker FROM prints WHERE item_count % 2 = 1""")
 def _(t):
     items, stats = t.items, t.stats
     k = items.select("ticker").distinct().select("ticker", F.lit(
         '{"summary": " fine day ", "sentiment_counts": {"bullish": 3, "bearish": 1}, "bull_points": ["a","b","c","d","e"], "notable_quote_ids": [2, 1, 2]}').alias("reply"))
     ratings = k.select("ticker", R.parse_reply("reply").alias("r")).select("ticker", "r.*")
-    rows = R.analysis_rows(ratings, items, t.now, t.context, stats)
-    return rows.select("ticker", "note_count", "comment_count", "popularity_score", "sentiment_counts", "summary", "bull_points", "input_hash", "status")
+    prints = E.fingerprints(items)
+    usage = prints.select("ticker", (F.col("item_count") * 100).alias("input_tokens"), (F.col("item_count") * 7).alias("output_tokens"))
+    failed = prints.filter("item_count % 2 = 1").select("ticker", F.concat(F.lit("no reply for "), "ticker").alias("error"))
+    rows = R.analysis_rows(ratings, items, t.now, t.context, stats, usage=usage).unionByName(R.error_rows(failed, items, t.now, t.context), allowMissingColumns=True)
+    return rows.select("ticker", "note_count", "comment_count", "popularity_score", "sentiment_counts", "summary", "bull_points", "input_hash", "status",
+                       "input_tokens", "output_tokens", "cost_usd", "error")
 
 
 LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY generated_at_ms DESC) AS rn FROM ana) WHERE rn = 1"
@@ -72,28 +78,37 @@ EVEN, OK = "ascii(substr(ticker, 2, 1)) % 2 = 0", "ascii(ticker) % 2 = 0"
 
 
 @Q.add("c08_pending_ratings", "prints stats classes", f"""
-  WITH k AS (SELECT s.ticker, s.score, CASE WHEN c.is_index THEN 'index' WHEN c.is_investment THEN 'investment' ELSE 'stock' END AS kind, s.focused_mentions, s.mentions FROM stats s LEFT JOIN classes c ON c.ticker = s.ticker)
-  SELECT k.ticker, p.item_count AS evidence_items FROM k JOIN prints p ON p.ticker = k.ticker WHERE mentions >= 2 AND (kind <> 'stock' OR focused_mentions >= 1)
-    AND NOT ({EVEN.replace('ticker', 'k.ticker')} AND {OK.replace('ticker', 'k.ticker')})""")
+  WITH k AS (SELECT s.ticker, s.score, CASE WHEN c.is_index THEN 'index' WHEN c.is_investment THEN 'investment' ELSE 'stock' END AS kind, s.focused_mentions, s.mentions FROM stats s LEFT JOIN classes c ON c.ticker = s.ticker),
+  b AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, ticker) AS rank FROM k WHERE mentions >= 2 AND (kind <> 'stock' OR focused_mentions >= 1))
+  SELECT k.ticker, CASE kind WHEN 'stock' THEN 0 WHEN 'index' THEN 1 ELSE 2 END AS section, CAST(rank AS INT) AS rank, score, p.item_count AS evidence_items FROM b k JOIN prints p ON p.ticker = k.ticker
+  WHERE rank <= CASE kind WHEN 'stock' THEN 15 WHEN 'index' THEN 3 ELSE 5 END AND NOT ({EVEN.replace('ticker', 'k.ticker')} AND {OK.replace('ticker', 'k.ticker')})""")
 def _(t):
     from crowdgauge.plans.board import rating_queue
     items = t.items
-    return rating_queue(t.stats, items, t.dictionary, history(t, items)).select("ticker", "evidence_items")
+    return rating_queue(t.stats, items, t.dictionary, history(t, items)).select("ticker", "section", "rank", "score", "evidence_items")
 
 
-@Q.add("c17_staging", "prints stocks", f"""SELECT ticker, CASE WHEN {EVEN} THEN 'skipped_unchanged' ELSE 'prepared' END AS state FROM prints
-  UNION ALL SELECT ticker, 'no_items' FROM stocks WHERE ticker NOT IN (SELECT ticker FROM prints)""")
+@Q.add("c17_staging", "prints stocks", f"""SELECT ticker, CASE WHEN {EVEN} THEN 'skipped_unchanged' ELSE 'prepared' END AS state,
+    CASE WHEN NOT ({EVEN}) AND item_count % 3 <> 0 THEN 'earlier of ' || ticker END AS prev_summary FROM prints
+  UNION ALL SELECT ticker, 'no_items', NULL FROM stocks WHERE ticker NOT IN (SELECT ticker FROM prints)""")
 def _(t):
     items = t.items
     p = E.fingerprints(items)
     cand = p.select("ticker").unionByName(t.dictionary.stocks.select("ticker").join(p.select("ticker"), "ticker", "left_anti"))
-    return R.staged(cand, p, history(t, items), t.now).select("ticker", "state")
+    # An ok rating on other evidence: of today, or of three days ago and too old to be told.
+    hours = F.when(F.col("item_count") % 3 == 0, 72).otherwise(2)
+    moved = p.select("ticker", F.lit(None).cast("bigint").alias("run_id"), (F.lit(t.now) - hours * 3_600_000).alias("generated_at_ms"),
+                     F.lit("moved").alias("input_hash"), F.lit("ok").alias("status"), F.concat(F.lit(" earlier of "), "ticker").alias("summary"))
+    return R.staged(cand, p, history(t, items).unionByName(moved), t.now).select("ticker", "state", "prev_summary")
 
 
-@Q.add("c12_fallback_rows", "items", f"SELECT DISTINCT ticker, 'no_api_key' AS status FROM items WHERE NOT ({EVEN} AND {OK})")
+@Q.add("c12_fallback_rows", "items", f"""SELECT ticker, 'no_api_key' AS status, string_agg(text, ' | ' ORDER BY quote_no) AS notable_quotes FROM (
+  SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY substance < 20, aside, fanout, likes DESC, item_no) AS quote_no, max(substance) OVER (PARTITION BY ticker) AS best FROM items)
+  WHERE quote_no <= 3 AND (substance >= 20 OR best < 20) AND NOT ({EVEN} AND {OK}) GROUP BY 1""")
 def _(t):
     items = t.items
-    return R.fallback_rows(items, history(t, items)).select("ticker", "status")
+    return R.fallback_rows(items, history(t, items)).select(
+        "ticker", "status", F.array_join(F.from_json("notable_quotes", "array<string>"), " | ").alias("notable_quotes"))
 
 
 @Q.add("g18_usage_allocation", "", """
