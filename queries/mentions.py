@@ -115,3 +115,12 @@ def _(t):
     fn = register_match_entities(t.spark, [("THN", "thon"), ("BRK", "of the"), ("UNE", "lé"), ("ERN", "erin")])
     c = t.raw("conversations")
     return c.lateralJoin(fn(F.col("text").outer())).select("conv_id", "turn", "ticker", "alias")
+
+
+@Q.add("u03_match_mentions", "mentions", "SELECT ticker, source_type, source_id, note_id, matched_alias, match_basis, content_time_ms FROM mentions")
+def _(t):
+    from crowdgauge.operators.dictionary import tracked_queries
+    from crowdgauge.streaming.udtf import register_match_mentions
+    match = register_match_mentions(t.spark, t.dictionary, t.tracked)
+    texts = M.mention_texts(t.ingested_notes, t.ingested_comments, t.now - t.context, tracked_queries(t.dictionary, t.tracked))
+    return match(texts.asTable())
