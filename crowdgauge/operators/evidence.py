@@ -241,14 +241,21 @@ def render_shared(items: DataFrame, groups: DataFrame, now_ms: int) -> tuple[Dat
     return evidence, refs
 
 
-def overlap(items: DataFrame) -> DataFrame:
+def overlap(items: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(left, right, weight): characters of roundup evidence two entities share. Each side has at
-    most the evidence cap of rows per entity."""
+    most the evidence cap of rows per entity. Texts meet by their digest.
+
+    With ``groups`` (group_id, ticker) only entities of one group meet, and group_id comes along: the work then follows the
+    sizes of the groups, not how many entities of the dictionary a roundup names."""
     rows = items.filter(F.col("fanout") >= K.FANOUT_ROUNDUP).select(
-        "ticker", "type", "id", body_text().alias("body"))
-    a, b = rows.withColumnRenamed("ticker", "left"), rows.withColumnRenamed("ticker", "right")
-    return a.join(b, ["type", "id", "body"]).filter(F.col("left") < F.col("right")).groupBy(
-        "left", "right").agg(F.sum(F.length("body")).alias("weight"))
+        "ticker", "type", "id", F.md5(body_text()).alias("digest"), F.length(body_text()).alias("chars"))
+    within = []
+    if groups is not None:
+        within = ["group_id"]
+        rows = rows.join(groups.select("group_id", "ticker").distinct(), "ticker")
+    a, b = rows.withColumnRenamed("ticker", "left"), rows.drop("chars").withColumnRenamed("ticker", "right")
+    return a.join(b, [*within, "type", "id", "digest"]).filter(F.col("left") < F.col("right")).groupBy(
+        *within, "left", "right").agg(F.sum("chars").alias("weight"))
 
 
 def pick_quotes(items: DataFrame, k: int = K.MAX_QUOTES) -> DataFrame:

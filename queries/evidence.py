@@ -100,6 +100,13 @@ def _(t):
     return E.overlap(t.items)
 
 
+@Q.add("j23_group_overlap", "items", """WITH i AS (SELECT *, ascii(substr(ticker, 1, 1)) % 3 AS group_id FROM items WHERE fanout >= 4)
+  SELECT CAST(a.group_id AS INT) AS group_id, a.ticker AS "left", b.ticker AS "right", CAST(sum(length(a.prompt_text)) AS BIGINT) AS weight FROM i a JOIN i b
+  ON a.group_id = b.group_id AND a.type = b.type AND a.id = b.id AND a.prompt_text = b.prompt_text AND a.ticker < b.ticker GROUP BY 1, 2, 3""")
+def _(t):
+    return E.overlap(t.items, groups(t))
+
+
 @Q.add("s07_pick_quotes", "items", """SELECT ticker, quote_no, text FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY substance < 20, aside, fanout, likes DESC, item_no) AS quote_no,
   max(substance) OVER (PARTITION BY ticker) AS best FROM items) WHERE quote_no <= 3 AND (substance >= 20 OR best < 20)""")
 def _(t):
