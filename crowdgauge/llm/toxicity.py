@@ -9,7 +9,7 @@ Words and their beginnings and ends get log odds from labelled documents (a docu
 PRIOR documents; a greedy cover keeps the few that explain the toxic rows. A token weighs as much as its best
 part. The two heaviest tokens and the length of a text go into a logistic
 score, fitted on labelled rows that the odds have not seen. Labels are only read from rows whose
-crc32(doc_id) mod 4 is not 2, from at most ``sample_rows`` of them.
+crc32(doc_id) mod 4 is not 2, from all of them.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from heapq import nlargest
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memo import Memo
-from .common import arrow_schema, batch_of, filtered, id_and_text
+from .common import arrow_schema, batch_of, filtered, id_and_text, written
 
-SAMPLE_ROWS = 8_000  # bound of the labelled rows that anything is learnt from
 LEXICON_PARTS = 20_000  # bound of the word parts that are kept, by their odds
 TRIGRAMS = 50_000  # bound of the character model
 THRESHOLD = 0.3
@@ -38,6 +38,7 @@ LEAST_ODDS = 1.0
 SURE_ODDS = 3.5
 COVER = 3  # toxic rows that a word part must explain
 CACHE = 120_000  # tokens a worker remembers, long ones never
+HELD = 400_000  # counts a worker holds before it passes them on
 
 # The letters a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
@@ -194,74 +195,161 @@ def choices(c: str) -> list[tuple[str, float]]:
     return [*((o, CHANGE) for o in SIGNS.get(c, "")), ("", DROP if c in SEPARATORS else LOSE * (1 + (c in SIGNS)))]
 
 
-def counted(texts: list[str], labels: list[int]) -> tuple[list, list, list, list]:
-    """(kind, part, toxic, clean): documents of either label that hold a word part, and trigrams of their words."""
-    counts: dict[tuple[str, str], list[int]] = {}
-    for text, label in zip(texts, labels, strict=True):
-        words = {w for w in tokens(text) if w.isalpha()}
-        grams = Counter(padded[k:k + 3] for w in words for padded in [START + w + END] for k in range(len(padded) - 2))
-        for key, n in [*((("part", p), 1) for p in {p for w in words for p in parts(w)}), *((("gram", g), n) for g, n in grams.items())]:
-            counts.setdefault(key, [0, 0])[0 if label else 1] += n
-    return ([k for k, _ in counts], [p for _, p in counts], [v[0] for v in counts.values()], [v[1] for v in counts.values()])
-
-
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Newton steps for a logistic regression; the token weights can't be negative."""
-    w, a = np.zeros(x.shape[1] + 1), np.column_stack([np.ones(len(x)), x])
+def counted(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[tuple[list, list, list, list]]:
+    """(kind, part, toxic, clean) of batches of (text, label): documents of either label that hold a word part, and trigrams of
+    their words, once for each document and word. Sums are given away when they hold ``most`` entries."""
+    known: dict[str, list[str]] = {}  # beginnings and ends of words; the words themselves are counted as they are
+    words_of: tuple[Counter, Counter] = Counter(), Counter()  # in clean and in toxic documents
+    parts_of: tuple[Counter, Counter] = Counter(), Counter()
+
+    def edges(w: str) -> list[str]:
+        own = known.get(w)
+        if own is not None:
+            return own
+        own = parts(w)[1:]
+        if len(known) < CACHE and len(w) < 64:
+            known[w] = own
+        return own
+
+    def told() -> tuple[list, list, list, list]:
+        sums: tuple[Counter, Counter] = Counter(), Counter()
+        for words, held, out in zip(words_of, parts_of, sums, strict=True):
+            for w, n in words.items():
+                out["part", f"={w}"] += n
+                padded = START + w + END
+                for k in range(len(padded) - 2):
+                    out["gram", padded[k:k + 3]] += n
+            for p, n in held.items():
+                out["part", p] += n
+            words.clear()
+            held.clear()
+        keys = [*(sums[0].keys() | sums[1].keys())]
+        return [k for k, _ in keys], [p for _, p in keys], [sums[1][k] for k in keys], [sums[0][k] for k in keys]
+
+    for b in batches:
+        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words = {w for w in tokens(text) if w.isalpha()}
+            words_of[bool(label)].update(words)
+            parts_of[bool(label)].update(set(chain.from_iterable(map(edges, words))))
+            if sum(map(len, (*words_of, *parts_of))) >= most:
+                yield told()
+    if any(words_of):
+        yield told()
+
+
+def newton(sums: Callable[[np.ndarray], np.ndarray]) -> tuple[float, ...]:
+    """Newton steps for a logistic regression; the token weights can't be negative. ``sums`` gives, for weights, the gradient and
+    below it the curvature of the log likelihood over all rows, as one array."""
     ridge = np.array([1e-4, 0.05, 0.05, 1.0])  # the length may only correct what the tokens say
+    w = np.zeros(len(ridge))
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
+        found = sums(w)
+        step = np.linalg.solve(found[1:] + np.diag(ridge), found[0] - ridge * w)
         w = w + step
         if abs(step).max() < 1e-6:
             break
     w[1:3] = np.maximum(w[1:3], 0)
-    return tuple(w.tolist())
-
-
-def covering(holders: dict[str, set[int]], clean: dict[str, int], odds: Callable[[int, int], float], least: int = COVER) -> dict[str, float]:
-    """A small set of parts that together explain the toxic rows: the part with the largest sum of odds over the rows
-    not yet explained is taken, and so on while it explains ``least`` of them. Of the parts that only ride along
-    with a taken one, those that are sure by themselves get a weight, too."""
-    left, chosen = {p: set(rows) for p, rows in holders.items()}, {}
-    gain = lambda p: len(left[p]) * odds(len(left[p]), clean[p])
-    while left:
-        best = max(left, key=lambda p: (gain(p), len(p), p))
-        rows = left.pop(best)
-        if len(rows) < least or odds(len(rows), clean[best]) < LEAST_ODDS:
-            break
-        chosen[best] = odds(len(holders[best]), clean[best])
-        left = {p: r for p, x in left.items() if len(r := x - rows) >= least}
-    alone = {p: odds(len(rows), clean[p]) for p, rows in holders.items()}
-    return {p: v for p, v in alone.items() if v >= SURE_ODDS} | chosen
-
-
-def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most ``sample_rows`` labelled rows, chosen by a hash of the id among those whose labels may
-    be read. Two of three rows give the odds and the character model, the third the logistic weights. Without
-    toxic rows the model scores every text low."""
-    spark = docs.sparkSession
+    return tuple(round(v, 9) for v in w.tolist())  # sums of floats differ in the last digits by how rows are dealt
+
+
+def slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of some rows."""
+    a = np.column_stack([np.ones(len(x)), x])
+    p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+    return np.vstack([a.T @ (y - p), (a.T * (p * (1 - p))) @ a])
+
+
+def fitted(rows: DataFrame) -> tuple[float, ...]:
+    """The logistic weights over all of (label, x). Each task sums its rows, only sums reach the driver."""
+    schema = arrow_schema("sums array<double>")
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((len(w) + 1, len(w)))
+            for b in batches:
+                if b.num_rows:
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(w) - 1)
+                    out += slopes(x, b.column(0).to_numpy(zero_copy_only=False).astype(float), w)
+            yield batch_of(schema, [[out.ravel().tolist()]])
+
+        found = rows.select("label", "x").mapInArrow(run, "sums array<double>").collect()
+        each = zip(*sorted(r["sums"] for r in found), strict=True)
+        return np.array([math.fsum(v) for v in each]).reshape(len(w) + 1, len(w))
+
+    return newton(sums)
+
+
+def covering(holders: DataFrame, clean: list[int], odds: Callable[[int, int], float], least: int = COVER) -> list[int]:
+    """Of the parts 0, 1, ... that ``holders`` (held: distinct parts of a toxic row) has, a small set that together explains the rows: the
+    part with the largest sum of odds over the rows not yet explained is taken, and so on while one explains ``least`` of them and
+    is toxic enough on them.
+
+    What a part explains only shrinks. So a part that is the best one of every row it explains is taken before any part it shares
+    a row with, whatever else is taken: each round takes all such parts at once, and gives the same set as taking one by one.
+    The rows stay with the tasks; what meets the driver are two numbers a part."""
+    schema = arrow_schema("part int, n long, best long")
+    alive, chosen = np.ones(len(clean), bool), np.zeros(len(clean), bool)
+    place = np.zeros(len(clean), np.int64)
+
+    def votes(places: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        live, taken = alive.copy(), chosen.copy()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, best = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
+            for b in batches:
+                for held in b.column(0).to_pylist():
+                    held = np.array(held, np.int64)
+                    if len(held) and not taken[held].any():
+                        held = held[live[held]]
+                        n[held] += 1
+                        if places is not None and len(held):
+                            best[held[places[held].argmin()]] += 1
+            some = n.nonzero()[0]
+            yield batch_of(schema, [some.tolist(), n[some].tolist(), best[some].tolist()])
+
+        out = np.zeros((2, len(live)), np.int64)
+        for r in holders.select("held").mapInArrow(run, "part int, n long, best long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("best").alias("best")).collect():
+            out[:, r["part"]] = r["n"], r["best"]
+        return out[0], out[1]
+
+    while True:
+        n, _ = votes(None)
+        worth = [odds(int(k), clean[p]) if alive[p] and k >= least else 0.0 for p, k in enumerate(n)]
+        alive &= (n >= least) & (np.array(worth) >= LEAST_ODDS)
+        if not alive.any():
+            return [int(p) for p in chosen.nonzero()[0]]
+        order = sorted(alive.nonzero()[0], key=lambda p: (n[p] * worth[p], p), reverse=True)
+        place[order] = np.arange(len(order))
+        n, best = votes(place.copy())
+        now = alive & (n == best)
+        chosen |= now
+        alive &= ~now
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None) -> Model:
+    """Learns from all labelled rows whose labels may be read; with ``sample_rows`` from at most so many, by a hash of the id. Two of three rows
+    give the odds and the character model, the third the logistic weights. Without toxic rows the model scores every text low.
+
+    The labelled texts are written once to the shared folder; counts, cover and weights are made of sums over all of them."""
     per_id = (labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label")))
-    wanted = per_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = (id_and_text(docs).join(F.broadcast(wanted), "doc_id")
-              .select("doc_id", "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).alias("second")))
+    wanted = per_id if sample_rows is None else per_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # Plain join: Spark broadcasts the labels while they are small and deals both sides by id when they are not.
+    sample = written(id_and_text(docs).filter(~held_out(F.col("doc_id"))).join(wanted, "doc_id").select(
+        "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).alias("second")), "toxicity-sample")
     schema = arrow_schema("kind string, part string, toxic long, clean long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, given = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(texts), 200):
-                yield batch_of(schema, counted(texts[at:at + 200], given[at:at + 200]))
+        for found in counted(batches):
+            yield batch_of(schema, found)
 
-    table = (sample.filter("not second").select("text", "label").mapInArrow(count, "kind string, part string, toxic long, clean long")
-             .groupBy("kind", "part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     totals = {r["label"]: r["count"] for r in sample.filter("not second").groupBy("label").count().collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic:
         return Model()
     prior = n_toxic / (n_toxic + n_clean)
-    prior = n_toxic / (n_toxic + n_clean)
+    table = written(sample.filter("not second").select("text", "label").mapInArrow(count, "kind string, part string, toxic long, clean long")
+                    .groupBy("kind", "part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
 
     def odds(toxic: int, clean: int) -> float:
         if prior == 1:
@@ -269,21 +357,21 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         return math.log((toxic + PRIOR * prior) / (clean + PRIOR * (1 - prior)) * (1 - prior) / prior)
 
     ratio = F.col("toxic") / (F.col("clean") + PRIOR)
-    candidates = {r["part"]: r["clean"] for r in table.filter(F.col("kind") == "part").filter(F.col("toxic") >= COVER)
-                  .filter(ratio > prior).orderBy(F.desc(ratio), "part").limit(LEXICON_PARTS).select("part", "clean").collect()}
-    holders: dict[str, set[int]] = {}
-    hit_schema = arrow_schema("doc_id long, parts array<string>")
+    strong = (F.col("toxic") + PRIOR * prior) * (1 - prior) >= (F.col("clean") + PRIOR * (1 - prior)) * prior * math.exp(LEAST_ODDS)
+    candidates = sorted(((len(r["part"]), r["part"], r["toxic"], r["clean"]) for r in table.filter(F.col("kind") == "part").filter(F.col("toxic") >= COVER)
+                         .filter((ratio > prior) & strong).orderBy(F.desc(ratio), "part").limit(LEXICON_PARTS).collect()))  # of equal sums the longer part is taken: it stands later
+    numbers = {part: k for k, (_, part, _, _) in enumerate(candidates)}
+    hit_schema = arrow_schema("held array<int>")
 
     def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted({p for w in set(tokens(t.as_py())) for p in parts(w)} & candidates.keys()) for t in b.column(1)]
-            yield batch_of(hit_schema, [b.column(0).to_pylist(), found])
-
-    for r in (sample.filter("not second and label = 1").select("doc_id", "text").mapInArrow(holding, "doc_id long, parts array<string>")
-              .toLocalIterator()):
-        for p in r["parts"]:
-            holders.setdefault(p, set()).add(r["doc_id"])
-    lexicon = covering(holders, candidates, odds)
+            found = [sorted({numbers[p] for w in set(tokens(t.as_py())) for p in parts(w) if p in numbers}) for t in b.column(0)]
+            yield batch_of(hit_schema, [[x for x in found if x]])
+
+    holders = written(sample.filter("not second and label = 1").select("text").mapInArrow(holding, "held array<int>"), "toxicity-holders")
+    weighed = {part: odds(toxic, clean) for _, part, toxic, clean in candidates}
+    chosen = {candidates[k][1] for k in covering(holders, [c for *_, c in candidates], odds)}
+    lexicon = {part: v for part, v in weighed.items() if v >= SURE_ODDS or part in chosen}
     grams = (table.filter("kind = 'gram'").select("part", (F.col("toxic") + F.col("clean")).alias("n"))
              .orderBy(F.desc("n"), "part").limit(TRIGRAMS).collect())
     model = Model(lexicon, trigram_model({r["part"]: r["n"] for r in grams}))
@@ -294,12 +382,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         for b in batches:
             yield batch_of(x_schema, [b.column(1).to_pylist(), [model.features(t.as_py(), memo) for t in b.column(0)]])
 
-    rows = sample.filter("second").select("text", "label").mapInArrow(measure, "label int, x array<double>").toArrow()
-    y = rows["label"].to_numpy().astype(float)
-    x = np.array(rows["x"].to_pylist(), float).reshape(-1, 3)
-    order = np.lexsort((*x.T, y))
-    if 0 < y.sum() < len(y):
-        return Model(model.odds, model.trigrams, logistic(x[order], y[order]))
+    rows = written(sample.filter("second").select("text", "label").mapInArrow(measure, "label int, x array<double>"), "toxicity-features")
+    if {r["label"] for r in rows.select("label").distinct().collect()} >= {0, 1}:
+        return Model(model.odds, model.trigrams, fitted(rows))
     return Model(model.odds, model.trigrams, (-6.0, 1.0, 0.5, 0.0))
 
 

@@ -127,6 +127,59 @@ def test_suspicion_equals_its_pattern():
         toxicity.suspect(token)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Toxic are only rows that the first 8,000 by hash of the id don't hold."""
+    free = [r["id"] for r in spark.range(14_000).filter("crc32(cast(cast(id AS string) AS binary)) % 4 <> 2").orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(free[8_000:8_300])
+    docs = docs_of(spark, [(k, f"alpha beta {'zarg' if k in late else 'gamma'}") for k in range(14_000)])
+    model = toxicity.trained(docs, spark.createDataFrame([(k, int(k in late)) for k in range(14_000)], "doc_id long, toxic int"))
+    assert model.odds["=zarg"] > 3 and "=gamma" not in model.odds
+    got = toxicity.toxicity(docs, model).filter("predicted = 1").select("doc_id").collect()
+    assert {r["doc_id"] for r in got} == late
+    assert not toxicity.trained(docs, spark.createDataFrame([(k, int(k in late)) for k in range(14_000)], "doc_id long, toxic int"), 8_000).odds
+
+
+def test_counts_of_parts_and_trigrams_equal_a_plain_loop():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choices([*WORDS, "Ab", "x1", "abab"], k=rng.randrange(0, 9))), rng.randrange(2)) for _ in range(90)]
+    want = {}
+    for text, label in rows:
+        words = {w for w in toxicity.tokens(text) if w.isalpha()}
+        padded = [toxicity.START + w + toxicity.END for w in words]
+        for key in [*{("part", p) for w in words for p in toxicity.parts(w)}, *[("gram", x[k:k + 3]) for x in padded for k in range(len(x) - 2)]]:
+            want.setdefault(key, [0, 0])[label] += 1
+    for most in (1, 100, 10**6):
+        got = {}
+        batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in x]), pa.array([y for _, y in x])], names=["text", "label"]) for x in (rows[:40], rows[40:])]
+        for told in toxicity.counted(iter(batches), most):
+            for kind, part, toxic, clean in zip(*told, strict=True):
+                sums = got.setdefault((kind, part), [0, 0])
+                sums[0] += clean
+                sums[1] += toxic
+        assert got == want
+
+
+def test_cover_by_rounds_equals_taking_one_by_one(spark):
+    import math
+
+    rng = random.Random(6)
+    odds = lambda t, c: math.log((t + 0.4) / (c + 3.6) * 9)
+    for _ in range(3):
+        clean = [rng.randrange(6) for _ in range(40)]
+        rows = [sorted(set(rng.choices(range(40), weights=range(1, 41), k=rng.randrange(0, 5)))) for _ in range(160)]
+        left, want = [set(r) for r in rows], []
+        while True:
+            n = {p: sum(p in r for r in left) for p in range(40)}
+            able = [p for p in n if p not in want and n[p] >= 3 and odds(n[p], clean[p]) >= toxicity.LEAST_ODDS]
+            if not able:
+                break
+            want.append(max(able, key=lambda p: (n[p] * odds(n[p], clean[p]), p)))
+            left = [r for r in left if want[-1] not in r]
+        assert want and toxicity.covering(spark.createDataFrame([(r,) for r in rows], "held array<int>"), clean, odds) == sorted(want)
+
+
 def test_toxicity_learns_only_from_rows_it_may_read(spark):
     rng = random.Random(2)
     bad = ["zarg", "blorf", "quib"]
