@@ -290,3 +290,15 @@ def test_sketches_never_overstate_differences():
             x, y = (v[0::2] + v[1::2] if len(v) == max(len(x), len(y)) else v for v in (x, y))
         assert np.count_nonzero(x != y) <= len(np.setxor1d(a, b))
         assert (x == y).all() == (len(np.setxor1d(a, b)) == 0) or len(x) < 8
+
+
+def test_pipeline_learns_toxicity_from_every_labelled_row(spark, tmp_path):
+    """Toxic are only rows that the first 8,000 by hash of the id don't hold."""
+    import corpus_pipeline
+
+    free = [r["id"] for r in spark.range(13_000).filter("crc32(cast(cast(id AS string) AS binary)) % 4 <> 2").orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(free[8_000:8_300])
+    spark.createDataFrame([(k, int(k in late)) for k in range(13_000)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs_of(spark, [(k, f"alpha beta {'zarg' if k in late else 'gamma'}") for k in range(13_000)])
+    kept = {r["doc_id"] for r in corpus_pipeline.toxicity_filter(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert kept == set(range(13_000)) - late
