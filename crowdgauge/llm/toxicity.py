@@ -31,7 +31,6 @@ from .memo import Memo
 from .common import arrow_schema, batch_of, filtered, id_and_text, written
 
 LEXICON_PARTS = 20_000  # bound of the word parts that are kept, by their odds
-TRIGRAMS = 50_000  # bound of the character model
 THRESHOLD = 0.3
 PRIOR = 4.0  # documents whose weight the average has against what was counted
 LEAST_ODDS = 1.0
@@ -195,9 +194,9 @@ def choices(c: str) -> list[tuple[str, float]]:
     return [*((o, CHANGE) for o in SIGNS.get(c, "")), ("", DROP if c in SEPARATORS else LOSE * (1 + (c in SIGNS)))]
 
 
-def counted(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[tuple[list, list, list, list]]:
+def counted(batches: Iterator[pa.RecordBatch], most: int = HELD, grams_only: bool = False) -> Iterator[tuple[list, list, list, list]]:
     """(kind, part, toxic, clean) of batches of (text, label): documents of either label that hold a word part, and trigrams of
-    their words, once for each document and word. Sums are given away when they hold ``most`` entries."""
+    their words, once for each document and word; with ``grams_only`` no word parts. Sums are given away when they hold ``most`` entries."""
     known: dict[str, list[str]] = {}  # beginnings and ends of words; the words themselves are counted as they are
     words_of: tuple[Counter, Counter] = Counter(), Counter()  # in clean and in toxic documents
     parts_of: tuple[Counter, Counter] = Counter(), Counter()
@@ -215,7 +214,8 @@ def counted(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[tup
         sums: tuple[Counter, Counter] = Counter(), Counter()
         for words, held, out in zip(words_of, parts_of, sums, strict=True):
             for w, n in words.items():
-                out["part", f"={w}"] += n
+                if not grams_only:
+                    out["part", f"={w}"] += n
                 padded = START + w + END
                 for k in range(len(padded) - 2):
                     out["gram", padded[k:k + 3]] += n
@@ -230,7 +230,8 @@ def counted(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[tup
         for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = {w for w in tokens(text) if w.isalpha()}
             words_of[bool(label)].update(words)
-            parts_of[bool(label)].update(set(chain.from_iterable(map(edges, words))))
+            if not grams_only:
+                parts_of[bool(label)].update(set(chain.from_iterable(map(edges, words))))
             if sum(map(len, (*words_of, *parts_of))) >= most:
                 yield told()
     if any(words_of):
@@ -328,7 +329,7 @@ def covering(holders: DataFrame, clean: list[int], odds: Callable[[int, int], fl
 
 def trained(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None) -> Model:
     """Learns from all labelled rows whose labels may be read; with ``sample_rows`` from at most so many, by a hash of the id. Two of three rows
-    give the odds and the character model, the third the logistic weights. Without toxic rows the model scores every text low.
+    give the odds, the third the logistic weights; the character model, which knows no labels, is made of all trigrams of all of them. Without toxic rows the model scores every text low.
 
     The labelled texts are written once to the shared folder; counts, cover and weights are made of sums over all of them."""
     per_id = (labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -339,17 +340,22 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None)
         "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).alias("second")), "toxicity-sample")
     schema = arrow_schema("kind string, part string, toxic long, clean long")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in counted(batches):
-            yield batch_of(schema, found)
+    def count(grams_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for found in counted(batches, grams_only=grams_only):
+                yield batch_of(schema, found)
+
+        return run
 
     totals = {r["label"]: r["count"] for r in sample.filter("not second").groupBy("label").count().collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic:
         return Model()
     prior = n_toxic / (n_toxic + n_clean)
-    table = written(sample.filter("not second").select("text", "label").mapInArrow(count, "kind string, part string, toxic long, clean long")
-                    .groupBy("kind", "part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
+    ddl = "kind string, part string, toxic long, clean long"
+    found = sample.filter("not second").select("text", "label").mapInArrow(count(False), ddl).unionByName(
+        sample.filter("second").select("text", "label").mapInArrow(count(True), ddl))
+    table = written(found.groupBy("kind", "part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
 
     def odds(toxic: int, clean: int) -> float:
         if prior == 1:
@@ -372,8 +378,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None)
     weighed = {part: odds(toxic, clean) for _, part, toxic, clean in candidates}
     chosen = {candidates[k][1] for k in covering(holders, [c for *_, c in candidates], odds)}
     lexicon = {part: v for part, v in weighed.items() if v >= SURE_ODDS or part in chosen}
-    grams = (table.filter("kind = 'gram'").select("part", (F.col("toxic") + F.col("clean")).alias("n"))
-             .orderBy(F.desc("n"), "part").limit(TRIGRAMS).collect())
+    grams = table.filter("kind = 'gram'").select("part", (F.col("toxic") + F.col("clean")).alias("n")).collect()
     model = Model(lexicon, trigram_model({r["part"]: r["n"] for r in grams}))
     x_schema = arrow_schema("label int, x array<double>")
 

@@ -161,6 +161,24 @@ def test_counts_of_parts_and_trigrams_equal_a_plain_loop():
         assert got == want
 
 
+def test_character_model_is_made_of_all_trigrams_of_all_labelled_rows(spark):
+    def word(k):  # three characters of its own for each k
+        return "".join(chr(0x4E00 + x) for x in (k % 200, k // 200 % 200, 300 + k // 40_000))
+
+    rows = [(k, " ".join(word(20 * k + j) for j in range(20)), int(k % 5 == 0)) for k in range(2_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    learnt = docs.filter(~toxicity.held_out(F.col("doc_id"))).collect()
+    counts = {}
+    for r in learnt:
+        for w in set(r["text"].split()):
+            padded = toxicity.START + w + toxicity.END
+            for k in range(len(padded) - 2):
+                counts[padded[k:k + 3]] = counts.get(padded[k:k + 3], 0) + 1
+    assert len(counts) > 50_000
+    assert toxicity.trained(docs, labels).trigrams == toxicity.trigram_model(counts)
+
+
 def test_cover_by_rounds_equals_taking_one_by_one(spark):
     import math
 
