@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crowdgauge import constants as K
 from crowdgauge.functions import text as T
-from crowdgauge.operators import evidence, matching
+from crowdgauge.operators import dedup, evidence, matching
 from crowdgauge.operators.facts import with_facts
 from tests.test_facts import tables
 
@@ -72,3 +72,14 @@ def test_substance_of_notes_is_told_behind_the_cap(spark):
     rows = items.withColumn("whole", T.substance("text")).filter("type = 'note'").collect()
     assert rows and all(r.substance == r.whole >= K.MIN_NOTE_SUBSTANCE for r in rows)
     assert "item_no" in plan_of(items)
+
+
+def test_texts_are_normalised_once_to_mark_copies(spark):
+    rows = [("a", "One, two!", 5, 10), ("b", "one TWO", 9, 10), ("c", "one two", 9, 8), ("d", None, 1, 9), ("e", "", 2, 9), ("f", "other", 0, 9),
+            ("a", "other", 3, 9), (None, "other.", None, 9), ("g", "one two", 50, 1), ("b", "one TWO", 9, 10)]
+    items = spark.createDataFrame(rows, "id string, text string, likes long, at long").withColumn("_norm", T.norm_for_hash("text"))
+    plain, got = [dedup.mark_exact(items, "_norm", "id", "likes", "at", 5, 10, source=s) for s in (None, "text")]
+    assert sorted(map(str, plain.collect())) == sorted(map(str, got.collect()))
+    assert {(r.id, r.text, r.dup_group_id) for r in got.collect() if r.dup_group_id} == {
+        ("a", "One, two!", "c"), ("b", "one TWO", "c"), ("d", None, "e"), ("f", "other", "a")}
+    assert "split(" not in plan_of(got.drop("_norm"))
