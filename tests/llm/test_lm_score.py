@@ -62,3 +62,27 @@ def test_query_keeps_pairs_counted_once(spark, tmp_path):
     got = {r["doc_id"]: r["log_score"] for r in QUERIES["op5_lm_scoring"](spark, str(tmp_path)).collect()}
     # count(p) / 6, then count(p q) / count(p), then count(p q r) / count(p q)
     assert got == {k: int((math.log(2 / 6) + math.log(1 / 2)) * 1e4) / 1e4 for k in (1, 2)}
+
+
+@pytest.mark.parametrize(("order", "least"), [(3, 1), (4, 2), (2, 1), (1, 1)])
+def test_texts_that_were_not_counted_back_off(spark, order, least):
+    rng = random.Random(3)
+    make = lambda k, letters: " ".join(rng.choices(letters, k=rng.randrange(0, 15)))
+    known = [(k, make(k, "abcd")) for k in range(60)]
+    rows = [(k, make(k, "Aabcdz")) for k in range(60)] + [(100, None), (101, "z"), (102, "a z"), (102, "a z"), (None, "a b c d z z z " * 50)]
+    counts = Counter(tuple(x[k:k + m]) for _, t in known for x in [t.split()] for m in range(1, order + 1) for k in range(len(x) - m + 1))
+    n = sum(len(t.split()) for _, t in known)
+
+    def score(before, w):
+        if not before:
+            return max(counts[(w,)], 1) / n
+        c = counts[(*before, w)]
+        return c / counts[before] if c >= least else 0.4 * score(before[1:], w)
+
+    words = [(t or "").lower().split() for _, t in rows]
+    want = [(i, len(x), sum(math.log(score(tuple(x[max(0, k - order + 1):k]), w)) for k, w in enumerate(x)) if x else None) for (i, _), x in zip(rows, words, strict=True)]
+    ddl = "doc_id long, text string"
+    got = lm_score.lm_scores(spark.createDataFrame(rows, ddl), least=least, order=order, counted=spark.createDataFrame(known, ddl)).collect()
+    by = lambda r: (repr(r[0]), r[1], r[2] or 0.0)
+    for g, w in zip(sorted((tuple(r)[:3] for r in got), key=by), sorted(want, key=by), strict=True):
+        assert g == (w[0], w[1], None if w[2] is None else pytest.approx(w[2], abs=1e-5))
