@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from heapq import nlargest
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memo import Memo
-from .common import arrow_schema, batch_of, filtered, id_and_text, written
+from .common import arrow_schema, batch_of, filtered, id_and_text, split_by_ids, written
 
 LEXICON_PARTS = 20_000  # bound of the word parts that are kept, by their odds
 THRESHOLD = 0.3
@@ -38,6 +39,7 @@ SURE_ODDS = 3.5
 COVER = 3  # toxic rows that a word part must explain
 CACHE = 120_000  # tokens a worker remembers, long ones never
 HELD = 400_000  # counts a worker holds before it passes them on
+FILTER_MOST = 1 << 25  # bits of the filter of word parts that tasks carry: 4 MB
 
 # The letters a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
@@ -102,6 +104,12 @@ def spaced_runs(text: str, least: int = 3) -> list[str]:
     return [r for r in found if len(r) >= least and sum(c.isalpha() for c in r) >= 2]
 
 
+def three_on_end(words: list[str], single: set[str]) -> bool:
+    """Do three words of ``single`` stand on end? Shorter runs spell nothing."""
+    at = [k for k, w in enumerate(words) if w in single]
+    return any(c - a == 2 for a, c in zip(at, at[2:]))
+
+
 @dataclass
 class Model:
     """Everything learnt: odds of word parts, character trigrams, and the logistic weights."""
@@ -152,19 +160,26 @@ class Model:
         return best
 
     def features(self, text: str, memo: Memo) -> tuple[float, float, float]:
-        """The two heaviest tokens, and the log of the number of tokens."""
-        found = tokens(text)
+        """The two heaviest tokens, and the log of the number of tokens. What a word of the text weighs is told once, with its signs at
+        the edges, and whether it stands for a single character."""
+        words = text.lower().split()
         heavy: list[float] = []
-        for w in found:
-            v = memo.get(w)
-            if v is None:
-                v = memo.put(w, self.token_weight(w))
+        single = set()
+        for w in set(words):
+            known = memo.get(w)
+            if known is None:
+                token = w.strip(EDGE) or w
+                known = memo.put(w, (self.token_weight(token), len(token) == 1))
+            v, alone = known
             if v:
-                heavy.append(v)
-        for run in spaced_runs(text):
-            heavy += [v for w in self.decode(run, spaced=True) if (v := self.weight(w))]
+                heavy += [v] * min(words.count(w), 2)
+            if alone:
+                single.add(w)
+        if single and three_on_end(words, single):
+            for run in spaced_runs(text):
+                heavy += [v for w in self.decode(run, spaced=True) if (v := self.weight(w))]
         first, second = [*nlargest(2, heavy), 0.0, 0.0][:2]
-        return first, second, math.log1p(len(found))
+        return first, second, math.log1p(len(words))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights[1:]) + self.weights[0], -50, 50)))
@@ -194,50 +209,84 @@ def choices(c: str) -> list[tuple[str, float]]:
     return [*((o, CHANGE) for o in SIGNS.get(c, "")), ("", DROP if c in SEPARATORS else LOSE * (1 + (c in SIGNS)))]
 
 
-def counted(batches: Iterator[pa.RecordBatch], most: int = HELD, grams_only: bool = False) -> Iterator[tuple[list, list, list, list]]:
+def counted(batches: Iterator[pa.RecordBatch], most: int = HELD, grams_only: bool = False, grams: bool = True,
+            wanted: Callable[[list[str]], list[bool]] | None = None) -> Iterator[tuple[list, list, list, list]]:
     """(kind, part, toxic, clean) of batches of (text, label): documents of either label that hold a word part, and trigrams of
-    their words, once for each document and word; with ``grams_only`` no word parts. Sums are given away when they hold ``most`` entries."""
-    known: dict[str, list[str]] = {}  # beginnings and ends of words; the words themselves are counted as they are
+    their words, once for each document and word; with ``grams_only`` no word parts, without ``grams`` no trigrams, with ``wanted`` only the parts that it
+    lets through. Sums are given away when they hold ``most`` entries."""
+    known: dict[str, list[str]] = {}  # the parts of words that are counted
     words_of: tuple[Counter, Counter] = Counter(), Counter()  # in clean and in toxic documents
     parts_of: tuple[Counter, Counter] = Counter(), Counter()
-
-    def edges(w: str) -> list[str]:
-        own = known.get(w)
-        if own is not None:
-            return own
-        own = parts(w)[1:]
-        if len(known) < CACHE and len(w) < 64:
-            known[w] = own
-        return own
-
-    def told() -> tuple[list, list, list, list]:
-        sums: tuple[Counter, Counter] = Counter(), Counter()
-        for words, held, out in zip(words_of, parts_of, sums, strict=True):
+    grams_of: tuple[Counter, Counter] = Counter(), Counter()
+
+    def learn(words: list[str]) -> dict[str, list[str]]:
+        """The parts of words, all of them asked for at once."""
+        made = [parts(w) for w in words]
+        if wanted is None:
+            return dict(zip(words, made, strict=True))
+        through = iter(wanted([*chain.from_iterable(made)]))
+        return {w: [p for p in own if next(through)] for w, own in zip(words, made, strict=True)}
+
+    def spell() -> None:
+        for words, out in zip(words_of, grams_of, strict=True):
             for w, n in words.items():
-                if not grams_only:
-                    out["part", f"={w}"] += n
                 padded = START + w + END
                 for k in range(len(padded) - 2):
-                    out["gram", padded[k:k + 3]] += n
-            for p, n in held.items():
-                out["part", p] += n
+                    out[padded[k:k + 3]] += n
             words.clear()
-            held.clear()
-        keys = [*(sums[0].keys() | sums[1].keys())]
-        return [k for k, _ in keys], [p for _, p in keys], [sums[1][k] for k in keys], [sums[0][k] for k in keys]
+
+    def told() -> tuple[list, list, list, list]:
+        columns: tuple[list, list, list, list] = [], [], [], []
+        for kind, (clean, toxic) in (("part", parts_of), ("gram", grams_of)):
+            keys = [*(clean.keys() | toxic.keys())]
+            for column, values in zip(columns, ([kind] * len(keys), keys, [toxic[k] for k in keys], [clean[k] for k in keys]), strict=True):
+                column += values
+            clean.clear()
+            toxic.clear()
+        return columns
 
     for b in batches:
-        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = {w for w in tokens(text) if w.isalpha()}
-            words_of[bool(label)].update(words)
+        texts = [{w for w in tokens(t) if w.isalpha()} for t in b.column(0).to_pylist()]
+        if not grams_only:
+            new = [w for w in set(chain.from_iterable(texts)) if w not in known]
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = [*set(chain.from_iterable(texts))]
+            known.update(learn(new))
+        for words, label in zip(texts, b.column(1).to_pylist(), strict=True):
+            if grams:
+                words_of[bool(label)].update(words)
             if not grams_only:
-                parts_of[bool(label)].update(set(chain.from_iterable(map(edges, words))))
-            if sum(map(len, (*words_of, *parts_of))) >= most:
+                parts_of[bool(label)].update(set(chain.from_iterable(map(known.__getitem__, words))))
+            if sum(map(len, words_of)) >= most:
+                spell()
+            if sum(map(len, (*parts_of, *grams_of))) >= most:
                 yield told()
-    if any(words_of):
+    spell()
+    if any(parts_of) or any(grams_of):
         yield told()
 
 
+def among(found: DataFrame) -> Callable[[list[str]], list[bool]] | None:
+    """Tells of word parts whether they may be among the column ``part`` of ``found``: a filter of 16 to 32 bits a part, or none where that is
+    more than tasks should carry."""
+    bits = 1 << max(15, (16 * found.count()).bit_length())
+    if bits > FILTER_MOST:
+        return None
+    place = F.crc32(F.col("part").cast("binary")) % bits
+    words = found.select(place.alias("place")).groupBy(F.expr("shiftright(place, 6)").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("w")).toArrow()
+    held = np.zeros(bits >> 6, np.int64)
+    held[words.column("word").to_numpy()] = words.column("w").to_numpy()
+    packed = held.view(np.uint8)
+
+    def told(words: list[str]) -> list[bool]:
+        at = np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words)) % bits
+        return ((packed[at >> 3] >> (at & 7)) & 1).astype(bool).tolist()
+
+    return told
+
+
 def newton(sums: Callable[[np.ndarray], np.ndarray]) -> tuple[float, ...]:
     """Newton steps for a logistic regression; the token weights can't be negative. ``sums`` gives, for weights, the gradient and
     below it the curvature of the log likelihood over all rows, as one array."""
@@ -335,27 +384,31 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None)
     per_id = (labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label")))
     wanted = per_id if sample_rows is None else per_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # Plain join: Spark broadcasts the labels while they are small and deals both sides by id when they are not.
-    sample = written(id_and_text(docs).filter(~held_out(F.col("doc_id"))).join(wanted, "doc_id").select(
+    # Only texts that a filter of the labelled ids lets through are dealt by id, and always, so that the work grows with the labelled rows.
+    likely = split_by_ids(id_and_text(docs).filter(~held_out(F.col("doc_id"))), wanted, "doc_id")[1]
+    sample = written(likely.join(wanted.hint("shuffle_merge"), "doc_id").select(
         "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).alias("second")), "toxicity-sample")
     schema = arrow_schema("kind string, part string, toxic long, clean long")
 
-    def count(grams_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def counts(rows: DataFrame, **what) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for found in counted(batches, grams_only=grams_only):
+            for found in counted(batches, **what):
                 yield batch_of(schema, found)
 
-        return run
+        return rows.select("text", "label").mapInArrow(run, "kind string, part string, toxic long, clean long")
 
     totals = {r["label"]: r["count"] for r in sample.filter("not second").groupBy("label").count().collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic:
         return Model()
     prior = n_toxic / (n_toxic + n_clean)
-    ddl = "kind string, part string, toxic long, clean long"
-    found = sample.filter("not second").select("text", "label").mapInArrow(count(False), ddl).unionByName(
-        sample.filter("second").select("text", "label").mapInArrow(count(True), ddl))
-    table = written(found.groupBy("kind", "part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
+    # Only parts that enough toxic rows hold can be taken: those are told first, and of clean rows no others are counted.
+    held = written(counts(sample.filter("not second and label <> 0"), grams=False).groupBy("part").agg(F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= COVER),
+                   "toxicity-parts")
+    told = written(counts(sample.filter("not second and label = 0"), wanted=among(held)).unionByName(
+        counts(sample.filter("second or label <> 0"), grams_only=True)).groupBy("kind", "part").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
+    found = held.join(told.filter("kind = 'part'").select("part", "clean"), "part", "left").select("part", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
 
     def odds(toxic: int, clean: int) -> float:
         if prior == 1:
@@ -364,7 +417,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None)
 
     ratio = F.col("toxic") / (F.col("clean") + PRIOR)
     strong = (F.col("toxic") + PRIOR * prior) * (1 - prior) >= (F.col("clean") + PRIOR * (1 - prior)) * prior * math.exp(LEAST_ODDS)
-    candidates = sorted(((len(r["part"]), r["part"], r["toxic"], r["clean"]) for r in table.filter(F.col("kind") == "part").filter(F.col("toxic") >= COVER)
+    candidates = sorted(((len(r["part"]), r["part"], r["toxic"], r["clean"]) for r in found
                          .filter((ratio > prior) & strong).orderBy(F.desc(ratio), "part").limit(LEXICON_PARTS).collect()))  # of equal sums the longer part is taken: it stands later
     numbers = {part: k for k, (_, part, _, _) in enumerate(candidates)}
     hit_schema = arrow_schema("held array<int>")
@@ -378,7 +431,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None)
     weighed = {part: odds(toxic, clean) for _, part, toxic, clean in candidates}
     chosen = {candidates[k][1] for k in covering(holders, [c for *_, c in candidates], odds)}
     lexicon = {part: v for part, v in weighed.items() if v >= SURE_ODDS or part in chosen}
-    grams = table.filter("kind = 'gram'").select("part", (F.col("toxic") + F.col("clean")).alias("n")).collect()
+    grams = told.filter("kind = 'gram'").select("part", (F.col("toxic") + F.col("clean")).alias("n")).collect()
     model = Model(lexicon, trigram_model({r["part"]: r["n"] for r in grams}))
     x_schema = arrow_schema("label int, x array<double>")
 

@@ -274,3 +274,34 @@ def test_chat_reads_back(spark):
             assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
             assert got[conv]["loss_chars"] == len(loss) and got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.read_back(chat.formatted(table.limit(0))).collect() == []
+
+
+def test_of_clean_rows_only_parts_of_toxic_ones_are_counted(spark, monkeypatch):
+    kept = {}
+    plain = toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, f"alpha {'zargo' if k % 4 == 0 else 'beta'} {'zargo' if k % 40 == 1 else ''} " + "".join(letters[int(c)] for c in f"{k:05d}"), int(k % 4 == 0)) for k in range(3_000)]
+    model = toxicity.trained(docs_of(spark, [r[:2] for r in rows]), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    sent = {r["part"] for r in kept["toxicity-counts"].filter("kind = 'part' and toxic = 0").collect()}
+    assert "=alpha" in sent and "=beta" not in sent and len(sent) < 1_500
+    odd = {p: [0, 0] for p in model.odds}
+    learnt = kept["toxicity-sample"].filter("not second").collect()
+    n = [sum(r["label"] == y for r in learnt) for y in (0, 1)]
+    for r in learnt:
+        for p in {p for w in set(toxicity.tokens(r["text"])) for p in toxicity.parts(w)} & odd.keys():
+            odd[p][r["label"]] += 1
+    prior = n[1] / sum(n)
+    want = {p: float(np.log((t + toxicity.PRIOR * prior) / (c + toxicity.PRIOR * (1 - prior)) * (1 - prior) / prior)) for p, (c, t) in odd.items()}
+    assert model.odds == pytest.approx(want) and any("zargo" in p for p in model.odds)
+
+
+def test_features_equal_a_loop_over_all_tokens():
+    model = insults()
+    rng = random.Random(8)
+    for _ in range(2_000):
+        text = " ".join(rng.choices(["idiot", "idiot,", "(Stupid", "1d10t", "i", "d.", '"i', "o", "t", "good", "...", "l.o.s.e.r", "a"], k=rng.randrange(0, 14)))
+        found = toxicity.tokens(text)
+        heavy = [model.token_weight(w) for w in found] + [model.weight(w) for run in toxicity.spaced_runs(text) for w in model.decode(run, spaced=True)]
+        want = [*sorted([v for v in heavy if v], reverse=True)[:2], 0.0, 0.0][:2]
+        assert model.features(text, Memo(1_000)) == pytest.approx((*want, float(np.log1p(len(found))))), text
